@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,7 +51,34 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
+def columns(**kinds: str) -> T.StructType:
+    """A schema from simple type names, ``x[]`` for arrays; unlike DDL it needs no session."""
+    return T.StructType([T.StructField(n, T.ArrayType(_TYPES[k[:-2]]) if k.endswith("[]") else _TYPES[k]) for n, k in kinds.items()])
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null counting as none, without building them."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "w")
     return F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")).cast("long")
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[str]], pd.DataFrame], schema: T.StructType, chunk_chars: int = 2_000_000) -> DataFrame:
+    """``work`` on the whole texts (null as empty) of every row, some at a time; the identifier goes along untouched."""
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *schema])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = ["" if x is None else x for x in b.column(1).to_pylist()]
+            start = chars = 0
+            for i, x in enumerate(texts):
+                chars += len(x)
+                if chars >= chunk_chars or i == len(texts) - 1:
+                    made = pa.RecordBatch.from_pandas(work(texts[start : i + 1]), schema=arrow, preserve_index=False)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i + 1 - start), *made.columns], names=out.fieldNames())
+                    start, chars = i + 1, 0
+
+    return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, out)

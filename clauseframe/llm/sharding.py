@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import materialize
+from clauseframe.llm.common import columns, materialize
 
 #: Rows of a block of slots at most: what one task sorts.
 BLOCK_ROWS = 1 << 15
@@ -121,7 +121,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 1, block_rows: int = BLOC
                 block[at] = plan[s][pos[at]]
             yield pd.DataFrame({"__src": src, "__pos": pos, "__block": block, "__shard": shard[block].astype(np.int32), "__first": first[block]})
 
-    places = T.StructType.fromDDL("__src int, __pos long, __block int, __shard int, __first long")
+    places = columns(__src="int", __pos="long", __block="int", __shard="int", __first="long")
     dealt = _with_row(numbered, deal, places)
     w = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed), "__src", "__pos"), "__src", "__pos")
     placed = dealt.withColumn("__slot", F.col("__first") + F.row_number().over(w) - 1)
