@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, quality, sharding
+from clauseframe.llm import chat, exact_dedup, mixing, quality, sharding
 from clauseframe.session import table
 
 SHARDS = 8
@@ -117,9 +117,20 @@ FROM base LEFT JOIN by_line USING (doc_id) JOIN by_n USING (doc_id)
 """
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents by source weights takes of each."""
+    m = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    goals = spark.createDataFrame([(s.name, s.size, s.target) for s in m.plan], "name string, source_size long, target double")
+    taken = mixing.taken_words(m)
+    # One row a source, and the plan bounds the sources.
+    met = taken.join(F.broadcast(goals), F.col("__source").eqNullSafe(F.col("name")))
+    return met.select(F.col("__row.doc_id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding, "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules,
+        "op9_source_mixing": op9_source_mixing,
     }
 
 
