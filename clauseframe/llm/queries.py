@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, mixing, quality, sharding
+from clauseframe.llm import chat, exact_dedup, mixing, quality, sharding, url_filter
 from clauseframe.session import table
 
 SHARDS = 8
@@ -127,10 +127,24 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(F.col("__row.doc_id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
+#: The list of the contract.
+URL_RULES = [
+    url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and verdict of every page's URL; the trees are fitted on the URLs that the rules label."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.labelled_by_rules(pages, URL_RULES))
+    return url_filter.judge(pages, URL_RULES, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding, "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules,
-        "op9_source_mixing": op9_source_mixing,
+        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter,
     }
 
 
