@@ -26,7 +26,7 @@ OUTPUT_SHARDS = 64
 MOST_TIMES = 3
 ROUNDS = 24
 #: Documents of a bucket, about: what one task orders. Slots that one row of the plan stands for.
-BUCKET_ROWS, RUN_SLOTS = 20_000, 4096
+BUCKET_ROWS, RUN_SLOTS = 4_000, 4096
 #: More sources than this don't fit the driver's plan.
 MOST_SOURCES = 200_000
 

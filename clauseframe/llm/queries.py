@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, mixing, quality, sharding, url_filter
+from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, quality, sharding, url_filter
 from clauseframe.session import table
 
 SHARDS = 8
@@ -76,6 +76,11 @@ FROM p GROUP BY conv_id
 """
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the group that links of similar shingle sets put it in."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and the verdict for every document."""
     return quality.repetition_quality(table(spark, sf_dir, "documents"))
@@ -143,7 +148,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_sharding": op1_sharding, "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules,
+        "op1_sharding": op1_sharding, "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
         "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter,
     }
 
