@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, quality, sharding, url_filter
+from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, quality, sharding, toxicity, url_filter
 from clauseframe.session import table
 
 SHARDS = 8
@@ -24,6 +24,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The chain's order: junk first, as it changes what words look like, then toxic.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(table(spark, sf_dir, "documents"), labels, CATEGORIES)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the chain's probabilities; those that are probably toxic are not kept."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir))
+    toxic = F.col("p_toxic") >= toxicity.THRESHOLD
+    return scored.select("doc_id", "p_low_quality", "p_toxic", toxic.alias("toxic"), (~toxic).alias("kept"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of identical texts; the largest doc_id stays."""
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
@@ -148,7 +164,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_sharding": op1_sharding, "op4_chat_format": op4_chat_format, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
+        "op1_sharding": op1_sharding, "op4_chat_format": op4_chat_format, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
         "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter,
     }
 
