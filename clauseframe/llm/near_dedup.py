@@ -34,7 +34,9 @@ BASE, RATE, TOP = 1.05, 20.0, 2**16 - 2
 #: A pair is compared in full unless its estimate is so many deviations below the threshold.
 DEVIATIONS = 5.0
 #: Members of a block; words of the texts that are worked on at once.
-BLOCK, CHUNK_CHARS = 512, 2_000_000
+BLOCK, CHUNK_CHARS = 256, 2_000_000
+#: Bits of a filter of classes, as a power of two at most (64 MB), and bits that it sets for each.
+FILTER_BITS, PROBES = 29, 4
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,9 +99,10 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.take_along_axis(j, like.argmax(axis=1)[:, None] if like.shape[1] == j.shape[1] else np.full((len(a), 1), 16), axis=1)[:, 0]
 
 
-def _may_link(a, b, na, nb, similarity: float) -> np.ndarray:
+def _promise(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """How far each pair's estimate is above what leaves the threshold possible; below 0 if it doesn't."""
     slack = DEVIATIONS * math.sqrt(similarity * (1 - similarity) / REGISTERS)
-    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb)) & (estimate(a, b, na, nb) >= similarity - slack)
+    return np.where(np.minimum(na, nb) >= similarity * np.maximum(na, nb), estimate(a, b, na, nb) - similarity + slack, -1.0)
 
 
 def _sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,7 +138,7 @@ def _regs(column: pa.Array) -> np.ndarray:
 
 
 def _filter_pairs(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b), those whose sketches leave the threshold possible."""
+    """Of the pairs (a, b), those whose sketches leave the threshold possible, with how far they do."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
@@ -144,10 +147,11 @@ def _filter_pairs(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataF
             for i in range(0, whole.num_rows, 4096):
                 b = whole.slice(i, 4096)
                 na, nb = b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float)
-                may = _may_link(_regs(b.column(4)), _regs(b.column(5)), na, nb, similarity)
-                yield b.select(["a", "b"]).filter(pa.array(may))
+                promise = _promise(_regs(b.column(4)), _regs(b.column(5)), na, nb, similarity)
+                made = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(promise)], names=["a", "b", "promise"])
+                yield made.filter(pa.array(promise >= 0))
 
-    return met.mapInArrow(run, columns(a="long", b="long"))
+    return met.mapInArrow(run, columns(a="long", b="long", promise="double"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -168,53 +172,89 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
     return met.mapInArrow(run, columns(a="long", b="long"))
 
 
+def _marks(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits (keys x PROBES) that a filter of 2**bits bits has for each key."""
+    with np.errstate(over="ignore"):
+        return np.stack([_mix(keys.astype(np.uint64) + np.uint64(k + 1) * _STEP) >> np.uint64(64 - bits) for k in range(PROBES)], axis=1)
+
+
+def _filter_of(nodes: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of some classes: 16 bits for each, FILTER_BITS in all at most, whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _marks(b.column(0).to_numpy(), bits).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mark"])
+
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(max(1, nodes.count()) * 16))))
+    got = nodes.select("node").mapInArrow(run, columns(word="long", mark="long")).groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    words[got["word"].to_numpy()] = got["mark"].to_numpy().view(np.uint64)
+    return bits, words
+
+
 def _sets(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The full sets of some classes, from the text of one document of each."""
-    met = sketches.select(F.col("__key").alias("node"), "__text").join(nodes, "node", "left_semi")
+    """The full sets (node, members) of some classes, from the text of one document of each.
+
+    The classes' filter goes to where the texts are, so no text is shuffled; what it lets through besides does no harm,
+    as the sets are joined by class.
+    """
+    bits, words = _filter_of(nodes)
+    shared = sketches.sparkSession.sparkContext.broadcast(words)
     out = T.StructType([*columns(node="long"), T.StructField("members", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                sets = shingle_sets(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=out.fieldNames())
+            at = _marks(whole.column(0).to_numpy(), bits)
+            hit = ((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+            passed = whole.filter(pa.array(hit))
+            for i in range(0, passed.num_rows, 256):
+                b = passed.slice(i, 256)
+                sets = shingle_sets(["" if x is None else x for x in b.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=out.fieldNames())
 
-    return met.mapInArrow(run, out)
+    return sketches.where("n > 0").select(F.col("__key").alias("node"), "__text").mapInArrow(run, out)
 
 
-def _blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of members (bucket, node, comp, n, regs) of one bucket and different components that may be linked.
+def _blocks(open_: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join different components of one bucket's members (bucket, band, node, comp, n, regs, members).
 
-    Members of a large bucket are dealt to parts, and every two parts meet in a block of their own. A pair is left to
-    the first band in which both agree.
+    Members of a large bucket are dealt to parts, and every two parts meet in a block of their own. In a block a pair
+    is compared in full if the sketches allow a link, this is the first band in which both agree, and no link found
+    in the block so far has joined their components; so what comes out is a forest, not all pairs.
     """
-    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = members.join(size, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    share, (least, most) = similarity[0] / similarity[1], similarity
+    size = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = open_.join(size, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocks = dealt.withColumn("other", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
-        regs = _regs(t.column("regs"))
-        node, comp, n, part = (t.column(c).to_numpy() for c in ("node", "comp", "n", "part"))
+        regs, sets = _regs(t.column("regs")), [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("members")]
+        node, n, part = (t.column(c).to_numpy() for c in ("node", "n", "part"))
+        _, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
         left, right = (np.flatnonzero(part == i), np.flatnonzero(part == j)) if i != j else (np.arange(len(node)),) * 2
-        found_a, found_b = [], []
+        found = []
         for x in left:
-            ys = right[(node[right] > node[x]) | (i != j)]
-            ys = ys[(comp[ys] != comp[x]) & (np.minimum(n[ys], n[x]) >= similarity * np.maximum(n[ys], n[x]))]
-            if not len(ys):
-                continue
-            same = (regs[ys] == regs[x]).reshape(len(ys), -1, BAND).all(axis=2)
-            ys = ys[same.argmax(axis=1) == band]
+            ys = right[((node[right] > node[x]) | (i != j)) & (comp[right] != comp[x])]
+            ys = ys[np.minimum(n[ys], n[x]) >= share * np.maximum(n[ys], n[x])]
+            ys = ys[(regs[ys] == regs[x]).reshape(len(ys), -1, BAND).all(axis=2).argmax(axis=1) == band] if len(ys) else ys
             if len(ys):
-                ys = ys[_may_link(np.broadcast_to(regs[x], (len(ys), REGISTERS)), regs[ys], np.full(len(ys), float(n[x])), n[ys].astype(float), similarity)]
-                found_a += [min(int(node[x]), int(y)) for y in node[ys]]
-                found_b += [max(int(node[x]), int(y)) for y in node[ys]]
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+                promise = _promise(np.broadcast_to(regs[x], (len(ys), REGISTERS)), regs[ys], np.full(len(ys), float(n[x])), n[ys].astype(float), share)
+                ys = ys[np.argsort(-promise, kind="stable")[: int((promise >= 0).sum())]]
+            for y in ys:
+                if comp[y] != comp[x]:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if most * both >= least * (len(sets[x]) + len(sets[y]) - both):
+                        found.append((int(node[x]), int(node[y])))
+                        comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return blocks.groupBy("bucket", "i", "j").applyInArrow(run, columns(a="long", b="long")).distinct()
+    # As many parts as the comparisons need, not as few as the rows would fit.
+    parts = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // 4000)
+    return blocks.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(run, columns(a="long", b="long"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -254,31 +294,40 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rank = F.struct(F.xxhash64("node"), "node")
     hubs = materialize(
         banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(rank).alias("lo"), F.max(rank).alias("hi")).where("size > 1")
-        .select("bucket", F.array_distinct(F.array("lo.node", "hi.node")).alias("hubs")),
+        .select("bucket", "size", F.array_distinct(F.array("lo.node", "hi.node")).alias("hubs")),
         "near-buckets",
     )
     members = materialize(banded.join(hubs, "bucket"), "near-members")
     stars = members.select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    first = materialize(_filter_pairs(stars, reps, share), "near-pairs")
-    # Whatever may be compared in full later: classes that share a bucket and have a partner that may be near.
-    comps = None
-    links = None
-    pairs = first
-    tried = None
-    for last in (False, True):
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = materialize(_sets(sketches, nodes), "near-sets")
-        found = materialize(_verify(pairs, sets, similarity), "near-links")
-        drop_table(sets)
-        links = found if links is None else links.unionByName(found)
-        comps = materialize(components(links), "near-components")
-        if last:
-            break
-        tried = pairs
-        labelled = members.select("bucket", "band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        split = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        open_ = labelled.join(split, "bucket", "left_semi").join(reps.select("node", "n", "regs"), "node")
-        pairs = materialize(_blocks(open_, share).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    near = materialize(_filter_pairs(stars, reps, share), "near-pairs")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return materialize(_sets(sketches, materialize(nodes.distinct(), "near-nodes")), "near-sets")
+
+    # First each class with its most promising partner, to join what is easily joined; then only what is still apart.
+    ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("end"), "promise")
+    best = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("promise", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
+    sets = sets_of(near.select(F.explode(F.array("a", "b")).alias("node")))
+    links = materialize(_verify(best, sets, similarity), "near-links")
+    comps = materialize(components(links), "near-components")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        side = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    rest = _verify(apart(near.select("a", "b")).join(best, ["a", "b"], "left_anti"), sets, similarity)
+    links = links.unionByName(materialize(rest, "near-links"))
+    drop_table(sets)
+    comps = materialize(components(links), "near-components")
+    # In buckets of up to three, the stars have met all pairs. Of the others, those that still hold several components are open.
+    labelled = members.where("size > 3").select("bucket", "band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    split = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    open_ = materialize(labelled.join(split, "bucket", "left_semi").join(reps.select("node", "n", "regs"), "node"), "near-open")
+    sets = sets_of(open_.select("node"))
+    more = materialize(_blocks(open_.join(sets, "node"), similarity), "near-links")
+    drop_table(sets)
+    comps = materialize(components(links.unionByName(more)), "near-components")
 
     # Back to the documents. Classes of very many copies are few, and their names can be broadcast; all others meet by a join.
     named = reps.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
