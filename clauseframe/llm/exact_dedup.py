@@ -51,11 +51,12 @@ def _scan(schema: T.StructType, carry: bool):
 
         def emit(r: _Run, edge: bool) -> int:
             n, last = len(r.ids), r.ids[-1]
+            payload = r.payload.as_py() if carry else None
             for i, one in enumerate(r.ids):
                 end = i == n - 1
                 out.append((
                     one, r.sha, None if edge else last, None if edge else n, end, part, r.number if edge else None,
-                    n if edge and end else None, r.text if edge and end else None, *((r.payload if end else None,) if carry else ()),
+                    n if edge and end else None, r.text if edge and end else None, *((payload if end else None,) if carry else ()),
                 ))
             return len(r.text) * (edge + carry)
 
@@ -88,12 +89,8 @@ def _scan(schema: T.StructType, carry: bool):
                 run.ids.append(ids[i])
                 if carry:
                     run.payload = payload[i]
-            if run is not None and carry and not isinstance(run.payload, dict):
-                run.payload = run.payload.as_py()
         for r in [*waiting, *([run] if run else [])]:
             emit(r, True)
-        if carry:
-            out[:] = [(*x[:-1], x[-1].as_py() if isinstance(x[-1], pa.Scalar) else x[-1]) for x in out]
         yield flush()
 
     return scan
@@ -107,7 +104,7 @@ def exact_groups(
     Returns ``__id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and, with ``carry``, ``__row``: all columns
     of the rows that stay, null for the others. ``normalize`` is the text to compare (default: the text itself).
 
-    Defined cases: a null text counts as empty; all empty texts are one group; null identifiers come before all others;
+    Defined cases: a null text counts as empty; all empty texts are one group; a null identifier is kept only if its group has no other;
     of several rows with the kept identifier exactly one is kept; an empty table gives an empty result; other columns
     are neither read nor touched unless carried, whatever their names.
     """
@@ -119,13 +116,14 @@ def exact_groups(
         F.substring(F.encode(text, "UTF-8"), 1, PREFIX_BYTES).alias("__prefix"), F.xxhash64(text).alias("__hash"),
         *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")] if carry else []),
     )
-    last = F.col("__id").asc_nulls_first() if keep == "largest" else F.col("__id").desc_nulls_last()
+    # The row to keep comes last.
+    last = F.col("__id").asc_nulls_first() if keep == "largest" else F.col("__id").desc_nulls_first()
     ranged = rows.repartitionByRange("__prefix", "__hash", last).sortWithinPartitions("__prefix", "__hash", "__text", last)
     id_type = rows.schema["__id"].dataType
     schema = T.StructType([
         T.StructField("__id", id_type), T.StructField("__sha", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()),
         T.StructField("__last", T.BooleanType()), T.StructField("__part", T.IntegerType()), T.StructField("__run", T.LongType()),
-        T.StructField("__run_size", T.LongType()), T.StructField("__edge_text", T.StringType()), *([rows.schema["__row"]] if carry else []),
+        T.StructField("__run_size", T.LongType()), T.StructField("__edge_text", T.StringType()), *([T.StructField("__row", rows.schema["__row"].dataType)] if carry else []),
     ])
     scanned = materialize(ranged.mapInArrow(_scan(schema, carry), schema), "exact-dedup")
     # At most a few runs a range touch its edges: bounded by the number of ranges, so they can be broadcast.
@@ -134,7 +132,7 @@ def exact_groups(
         .groupBy("__edge_text")
         .agg(
             F.sum("__run_size").alias("__n"),
-            (F.max if keep == "largest" else F.min)(F.struct(_ordered(F.col("__id"), keep), "__part", "__run", "__id")).alias("__best"),
+            F.max(F.struct("__part", "__run", "__id")).alias("__best"),
             F.collect_list(F.struct("__part", "__run")).alias("__runs"),
         )
         .select("__n", F.col("__best.__id").alias("__keep"), F.col("__best.__part").alias("__kp"), F.col("__best.__run").alias("__kr"), F.explode("__runs").alias("__r"))
@@ -149,11 +147,6 @@ def exact_groups(
     )
 
 
-def _ordered(one: Column, keep: str) -> Column:
-    """Null identifiers lose against all others, whichever end is kept."""
-    return (one.isNotNull() if keep == "largest" else one.isNull()).alias("__nulls")
-
-
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalize: Column | None = None) -> DataFrame:
     """The table with one row of each group of equal texts; columns and rows otherwise as they were."""
     kept = exact_groups(df, id_col, text_col, keep, normalize, carry=True).where("kept")
