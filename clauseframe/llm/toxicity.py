@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from clauseframe.llm.common import columns, map_texts
 
 #: Labelled documents that the models are fitted on, at most: half for each value of the last category.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 5_000
 #: Features that stay, at most: those whose presence tells most of any category; documents that must hold one.
 FEATURES, LEAST_DOCS = 4_000, 3
 FOLDS, ROUNDS = 3, 300
@@ -61,7 +61,7 @@ def features_of(word: str) -> list[int]:
         found.append("m" + marks[:8])
     if word.isupper() and len(word) > 1:
         found.append("u")
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in found]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) - (1 << 31) for f in found]
 
 
 @dataclass
@@ -118,9 +118,9 @@ def _fit(docs: list[np.ndarray], width: int, dense: np.ndarray, y: np.ndarray) -
     """Logistic regression by accelerated proximal steps: weights of features (with L1), of dense columns, bias."""
     x = _Sparse(docs, width)
     n = max(1, x.n)
-    held = np.bincount(x.rows * width + x.cols, minlength=x.n * width).astype(float) if x.n * width < 4e7 else None
-    square = (held.reshape(x.n, width) ** 2).sum(axis=0) / n if held is not None else np.bincount(x.cols, minlength=width) / n
-    del held
+    cells, times = np.unique(x.rows * width + x.cols, return_counts=True)
+    square = np.bincount(cells % max(1, width), times.astype(float) ** 2, width) / n
+    del cells, times
     scale = 1 / np.sqrt(np.maximum(square, 1 / n))  # columns of one length, so that rare words are learned as fast as common ones
     dot = lambda w: x.dot(w * scale)
     back = lambda g: x.back(g) * scale
@@ -148,15 +148,18 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, categories: list[str])
     if not docs:
         return Chain(categories, {}, [np.zeros(k) for k in range(len(categories))], [-40.0] * len(categories))
     names, numbers = np.unique(np.concatenate(docs), return_inverse=True)
-    docs = np.split(numbers, np.cumsum([len(d) for d in docs])[:-1])
+    docs = np.split(numbers.astype(np.int32), np.cumsum([len(d) for d in docs])[:-1])
+    del numbers
     held = [np.unique(d) for d in docs]
     flat, sizes = np.concatenate(held), [len(h) for h in held]
+    del held
     n = np.bincount(flat, minlength=len(names)).astype(float)
     told = np.zeros(len(names))
     for k in range(len(categories)):
         y = labels[:, k]
         share = y.mean()
         told = np.maximum(told, (np.bincount(flat, np.repeat(y, sizes), len(names)) - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9))
+    del flat
     told[n < LEAST_DOCS] = -1
     stay = np.sort(np.argsort(-told, kind="stable")[:FEATURES])
     stay = stay[told[stay] >= 0]
@@ -203,11 +206,18 @@ def train(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[f for w in words_of(x) for f in features_of(w)] for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), *b.columns[2:]], names=out.fieldNames())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), *b.columns[2:]], names=out.fieldNames())
 
-    out = T.StructType([met.schema["__id"], *columns(features="long[]"), *(T.StructField(c, T.IntegerType()) for c in categories)])
+    out = T.StructType([met.schema["__id"], *columns(features="int[]"), *(T.StructField(c, T.IntegerType()) for c in categories)])
     got = met.mapInArrow(run, out).toPandas().drop_duplicates("__id").sort_values("__id").reset_index(drop=True)
-    return fit_chain([np.asarray(f, dtype=np.int64) for f in got["features"]], got[categories].to_numpy(dtype=float), categories)
+    return fit_chain([np.asarray(f, dtype=np.int32) for f in got["features"]], got[categories].to_numpy(dtype=float), categories)
+
+
+def keep_clean(df: DataFrame, chain: Chain, text_col: str = "text", category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose probability of the category is below the threshold, all columns as they were."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+    scored = score(df.select(row, F.col(f"`{text_col}`").alias("__body")), chain, "__row", "__body")
+    return scored.where(F.col(f"p_{category}") < threshold).select(*(F.col("__row").getField(c).alias(c) for c in df.columns))
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
