@@ -105,10 +105,11 @@ def _promise(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, simil
     return np.where(np.minimum(na, nb) >= similarity * np.maximum(na, nb), estimate(a, b, na, nb) - similarity + slack, -1.0)
 
 
-def _sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__key, __id, __text and n, d1, d2 (size and digest of the set), regs."""
+def _sketch(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """__key, __id, __text and n, d1, d2 (size and digest of the set), regs; with ``carry`` also __row."""
     extra = T.StructType([*columns(n="long", d1="long", d2="long"), T.StructField("regs", T.BinaryType())])
-    rows = df.select(F.monotonically_increasing_id().alias("__key"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")] if carry else []
+    rows = df.select(F.monotonically_increasing_id().alias("__key"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *row)
     out = T.StructType([*rows.schema, *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def _sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                     pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, i + 1 - start) for c in range(3)), *made], names=out.fieldNames())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, i + 1 - start) for c in range(b.num_columns)), *made], names=out.fieldNames())
                 start, chars = i + 1, 0
 
     return rows.mapInArrow(run, out)
@@ -257,8 +258,9 @@ def _blocks(open_: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return blocks.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(run, columns(a="long", b="long"))
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Every row with its group of near duplicates: the identifier, ``n_shingles``, ``component_id``, ``kept``.
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, carry: bool = False) -> DataFrame:
+    """Every row with its group of near duplicates: the identifier, ``n_shingles``, ``component_id``, ``kept``; with ``carry``
+    also ``__row``, all columns, and ``__key``, a number of the row.
 
     Two documents are linked if their sets of shingles have a Jaccard similarity of at least ``similarity``;
     ``component_id`` is the smallest identifier among all that links reach, its own included.
@@ -270,7 +272,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     probability below 1e-5, and by the estimate below 1e-6.
     """
     share = similarity[0] / similarity[1]
-    sketches = materialize(_sketch(df, id_col, text_col), "near-sketches")
+    sketches = materialize(_sketch(df, id_col, text_col, carry), "near-sketches")
     reps = materialize(
         sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("__key", "regs")).alias("first"), F.min("__id").alias("least"), F.count("*").alias("copies"))
         .select("d1", "d2", "n", F.col("first.__key").alias("node"), F.col("first.regs").alias("regs"), "least", "copies"),
@@ -334,7 +336,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     least = comps.join(reps.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     names = named.join(least.withColumnRenamed("component", "comp"), "comp", "left").where("copies > 1 OR component_id IS NOT NULL")
     names = materialize(names.select("d1", "d2", "copies", F.coalesce("component_id", "least").alias("component_id")), "near-names")
-    rows = sketches.select("__key", "__id", "n", "d1", "d2")
+    rows = sketches.select("__key", "__id", "n", "d1", "d2", *(["__row"] if carry else []))
     most = max(200, names.agg(F.sum("copies")).first()[0] or 0) // 2000 + 200
     heavy = names.where(F.col("copies") > most).select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), F.col("component_id").alias("hc"))
     light = names.where(F.col("copies") <= most).select(F.col("d1").alias("l1"), F.col("d2").alias("l2"), F.col("component_id").alias("lc"))
@@ -344,4 +346,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     met = met.join(light, (F.col("k1") == F.col("l1")) & (F.col("d2") == F.col("l2")), "left")
     plain = F.col("n").isNull() | (F.col("n") == 0)
     component = F.when(plain, F.col("__id")).when(F.col("h1").isNotNull(), F.col("hc")).when(F.col("l1").isNotNull(), F.col("lc")).otherwise(F.col("__id"))
-    return met.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    more = ["__key", "__row"] if carry else []
+    return met.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *more).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The table with the rows that stay, one for each identifier that is its group's smallest; columns as they were."""
+    kept = near_groups(df, id_col, text_col, similarity, carry=True).where("kept")
+    return kept.select(*(F.col("__row").getField(c).alias(c) for c in df.columns))

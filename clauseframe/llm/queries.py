@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, quality, sharding, toxicity, url_filter
+from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, pieces, pii, quality, sharding, toxicity, url_filter
 from clauseframe.session import table
 
 SHARDS = 8
@@ -55,6 +55,20 @@ FROM documents
 """
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids and the text read back from them."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
+#: Only the production key is secret; this one serves the registered query.
+PII_KEY = "the key of the registered query"
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with format-preserving pseudonyms for personal data."""
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and read back from the formatted string and its loss mask."""
     planted = "VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -162,10 +176,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, model)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_sharding": op1_sharding, "op4_chat_format": op4_chat_format, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
-        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter,
+        "op1_sharding": op1_sharding, "op2_sentencepiece": op2_sentencepiece, "op3_pii_pseudonyms": op3_pii_pseudonyms,
+        "op4_chat_format": op4_chat_format, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
+        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter, "pipeline": pipeline,
     }
 
 
