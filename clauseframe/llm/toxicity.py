@@ -9,6 +9,7 @@ share in each score is worked out once and kept, and scoring is one look-up for
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -209,8 +210,15 @@ def train(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), *b.columns[2:]], names=out.fieldNames())
 
     out = T.StructType([met.schema["__id"], *columns(features="int[]"), *(T.StructField(c, T.IntegerType()) for c in categories)])
-    got = met.mapInArrow(run, out).toPandas().drop_duplicates("__id").sort_values("__id").reset_index(drop=True)
-    return fit_chain([np.asarray(f, dtype=np.int32) for f in got["features"]], got[categories].to_numpy(dtype=float), categories)
+
+    def fit(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.drop_duplicates("__id").sort_values("__id").reset_index(drop=True)
+        chain = fit_chain([np.asarray(f, dtype=np.int32) for f in got["features"]], got[categories].to_numpy(dtype=float), categories)
+        return pd.DataFrame({"chain": [pickle.dumps(chain)]})
+
+    # The sample is bounded, so one task can hold it; the driver gets the fitted weights only.
+    made = met.mapInArrow(run, out).withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(fit, "chain binary").collect()
+    return pickle.loads(made[0]["chain"]) if made else fit_chain([], np.zeros((0, len(categories))), categories)
 
 
 def keep_clean(df: DataFrame, chain: Chain, text_col: str = "text", category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
