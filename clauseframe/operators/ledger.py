@@ -91,7 +91,26 @@ def errors(answered: DataFrame, stage: str) -> DataFrame:
 
 #: USD per million tokens: key, provider, encoding, input, cached input, output, batch input, batch output, JSON answers.
 PRICES = [
-    ("gpt-3.5-turbo", "openai", "cl100k_base", 0.5, 0.5, 1.5, 0.25, 0.75, True), ("gpt-4", "openai", "cl100k_base", 30.0, 0.5, 60.0, 15.0, 30.0, True),
+    ("gpt-3.5-turbo", "openai", "cl100k_base", 0.5, 0.5, 1.5, 0.25, 0.75, True),
+    ("gpt-4", "openai", "cl100k_base", 30.0, 0.5, 60.0, 15.0, 30.0, True),
+    ("gpt-4o", "openai", "o200k_base", 2.5, 0.5, 10.0, 1.25, 5.0, True),
+    ("gpt-4o-mini-2024-07-18", "openai", "o200k_base", 0.15, 0.15, 0.6, 0.075, 0.3, True),
+    ("gpt-4.1-2025-04-14", "openai", "cl100k_base", 2.0, 0.5, 8.0, 1.0, 4.0, True),
+    ("gpt-4.1-mini-2025-04-14", "openai", "cl100k_base", 0.4, 0.1, 1.6, 0.2, 0.8, True),
+    ("gpt-4.1-nano-2025-04-14", "openai", "cl100k_base", 0.1, 0.025, 0.4, 0.05, 0.2, True),
+    ("claude-opus-4", "anthropic", "cl100k_base", 15.0, None, 75.0, 7.5, 37.5, True),
+    ("claude-sonnet-4", "anthropic", "cl100k_base", 3.0, None, 15.0, 1.5, 7.5, True),
+    ("claude-3-7-sonnet", "anthropic", "cl100k_base", 3.0, None, 15.0, 1.5, 7.5, True),
+    ("claude-3-5-sonnet", "anthropic", "cl100k_base", 15.0, None, 75.0, 7.5, 37.5, True),
+    ("claude-3-5-haiku", "anthropic", "cl100k_base", 0.8, None, 4.0, 0.4, 2.0, True),
+    ("deepseek-reasoner", "deepseek", "cl100k_base", 0.135, None, 0.55, 0.25, 0.75, False),
+    ("deepseek-v3", "deepseek", "cl100k_base", 0.135, None, 0.55, 15.0, 30.0, True),
+] + [
+    (name, "ollama", "o200k_base", 0.0, None, 0.0, 0.0, 0.0, True)
+    for name in (
+        "deepseek-r1:7b", "deepseek-r1:70b", "deepseek-r1:671b", "gemma2:27b", "gemma3:27b", "gemma3n:e4b", "llama3.3:70b", "llama4:16x17b", "llama3.2",
+        "mistral-large:123b", "mixtral:8x22b", "phi4:14b", "qwen2.5:72b", "qwen3:32b", "qwen3:4b",
+    )
 ]
 
 

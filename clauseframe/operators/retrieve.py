@@ -66,13 +66,13 @@ def top_k(
     for i in range(blocks):  # as many passes over the queries as blocks of examples
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("__e"), F.lit(blocks)) == i)
         rows = part.toPandas()  # about BLOCK_EXAMPLES
-        hits = _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_self, examples)
+        hits = _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_self, examples.schema[example_id].dataType.simpleString(), examples)
         found = hits if found is None else found.unionByName(hits)
     w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), F.asc("example_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_self, examples) -> DataFrame:
+def _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_self, id_kind, examples) -> DataFrame:
     order = rows.sort_values("__e", kind="stable").reset_index(drop=True)
     width = max((len(v) for v in order["__v"] if v is not None), default=1)
     known = order["__v"].map(lambda v: v is not None and len(v) == width)
@@ -80,7 +80,7 @@ def _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_sel
     matrix = np.array([np.asarray(v, dtype=np.float64) for v in order["__v"]]).reshape(len(order), width)
     groups = [g.index.to_numpy() for _, g in order.groupby(by, dropna=False, sort=False)] if by else [np.arange(len(order))]
     shared = queries.sparkSession.sparkContext.broadcast((matrix, order.drop(columns="__v"), groups))
-    kinds = ", ".join([f"query_id {queries.schema[query_id].dataType.simpleString()}", f"example_id {examples.schema[example_id].dataType.simpleString()}", "score double"] + [f"`{c}` {examples.schema[c].dataType.simpleString()}" for c in by])
+    kinds = ", ".join([f"query_id {queries.schema[query_id].dataType.simpleString()}", f"example_id {id_kind}", "score double"] + [f"`{c}` {examples.schema[c].dataType.simpleString()}" for c in by])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         matrix, names, groups = shared.value
@@ -175,11 +175,16 @@ def examples_by_label(examples: DataFrame, requirement: str) -> DataFrame:
 
 
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank): by how many of a query's words a text contains, as a bounded list of queries against all texts."""
-    rows = [(r["query_id"], list(dict.fromkeys((r["query"] or "").lower().split()))) for r in queries.select("query_id", "query").limit(1000).collect()]
+    """(query_id, doc_id, score, rank): by how many of a query's words a text contains. The queries are a short list, all texts are searched."""
+    rows = [(r["query_id"], list(dict.fromkeys((r["query"] or "").lower().split()))) for r in queries.select("query_id", "query").collect()]
+    if not rows:
+        raise ValueError("no query")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    scores = F.array(*(F.struct(F.lit(q).alias("query_id"), sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0)).alias("score")) for q, ws in rows))
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("s")).select("s.query_id", "doc_id", "s.score")
+    asked = F.lit(sorted({w for _, ws in rows for w in ws}))
+    held = F.get(F.transform(F.array(low), lambda t: F.filter(asked, lambda w: F.contains(t, w))), F.lit(0))  # each text is lowered once
+    found = docs.select(F.col(doc_id).alias("doc_id"), held.alias("found")).where(F.size("found") > 0)
+    each = F.array(*(F.struct(F.lit(q).alias("query_id"), F.size(F.array_intersect("found", F.lit(ws))).alias("score")) for q, ws in rows if ws))
+    scored = found.select("doc_id", F.explode(F.filter(each, lambda s: s["score"] > 0)).alias("s")).select("s.query_id", "doc_id", "s.score")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

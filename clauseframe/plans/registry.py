@@ -1,23 +1,537 @@
-"""Every query of the engine's own operators, with the DuckDB statement it is held against."""
+"""Every query of the engine's own operators, with the DuckDB statement it is held against where SQL can express it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from clauseframe.functions import language, llmjson, vocab
+from clauseframe.functions import text as X
+from clauseframe.operators import backends, filters, html, ledger, prompts, retrieve, stages
+from clauseframe.plans import pipeline
 from clauseframe.session import table
+from clauseframe.sources import sinks
+from clauseframe.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
+#: DuckDB's words of a text, white space as everywhere here.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_FLAT = rf"trim(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g'))"
+_WORDS = f"CASE WHEN {_FLAT} = '' THEN []::VARCHAR[] ELSE string_split({_FLAT}, ' ') END"
+#: Rows of a fixed query set: every row whose id is divisible by this, against all rows.
+QUERY_STEP = 50
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url")
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("pkg"), "url", "html")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, cleaned, as passages with context; for each page its passages, headlines and words, and how deep context goes."""
+    found = html.passages(html.with_clean_html(_pages(spark, sf_dir)), ["pkg"])
+    n_words = F.size(X.words(F.col("passage")))
+    return found.groupBy("pkg").agg(
+        F.count("*").alias("n_passages"), F.count(F.when(F.col("type") == "headline", 1)).alias("n_headlines"), F.sum(n_words).alias("n_words"), F.max(F.size("context")).alias("max_depth")
+    )
+
+
+query(name="page_passage_summary")(flagship)
+
+
+# ---- texts -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) <= 50 THEN text
+  ELSE array_to_string(w[greatest(len(w) // 2 - 25, 0) + 1 : greatest(len(w) // 2 - 25, 0) + 50], ' ') END AS excerpt FROM w
+""")
+def excerpt_center50(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(f"SELECT doc_id, {_FLAT} AS normalized FROM documents")
+def text_normalized(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalized(F.coalesce("text", F.lit(""))).alias("normalized"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE len({_WORDS}) BETWEEN 50 AND 1000")
+def doc_length_filter(spark, sf_dir):
+    return filters.by_length(table(spark, sf_dir, "documents"), least=50, most=1000).select("doc_id")
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('en', 'de') GROUP BY ALL")
+def doc_lang_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de"))
+    return docs.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+
+
+@query()
+def doc_language_buckets(spark, sf_dir):
+    return filters.with_language(table(spark, sf_dir, "documents")).select("doc_id", "lang_found", F.round("lang_prob", 6).alias("lang_prob"), "lang_bucket")
+
+
+@query("SELECT doc_id, first_id, doc_id = first_id AS kept FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)")
+def doc_exact_first(spark, sf_dir):
+    return filters.first_of_equal(table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents), e AS (
+  SELECT doc_id, CASE WHEN len(w) <= 50 THEN w ELSE w[greatest(len(w) // 2 - 25, 0) + 1 : greatest(len(w) // 2 - 25, 0) + 50] END AS w FROM w),
+n AS (SELECT doc_id, len(list_filter(w, lambda x: lower(x) IN ('the', 'die', 'la', 'de'))) AS n FROM e)
+SELECT CASE WHEN n >= 3 THEN 'accepted' WHEN n >= 1 THEN 'unknown' ELSE 'rejected' END AS verdict, count(*) AS n FROM n GROUP BY 1
+""")
+def verdict_route_counts(spark, sf_dir):
+    def rule(messages: list[dict]) -> str:
+        n = sum(w.lower() in ("the", "die", "la", "de") for w in (messages[-1]["content"] or "").split())
+        return "true" if n >= 3 else "unknown" if n else "false"
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pkg"), "text")
+    return stages.detect(docs, backends.Function(rule)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
+       regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, lower(url) LIKE '%.pdf' OR contains(html, 'application/pdf') AS is_pdf FROM pages
+""")
+def url_parts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    url = X.validated_url(F.col("url"))
+    return pages.select("page_id", X.url_scheme(url).alias("scheme"), X.url_host(url).alias("host"), X.url_path(url).alias("path"), X.is_pdf(F.col("url"), F.col("html")).alias("is_pdf"))
+
+
+@query("""
+SELECT page_id FROM pages WHERE regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), '(^|\\.)example\\.(com|net)$')
+AND NOT regexp_matches(lower(regexp_extract(url, '://([^/?#]*)', 1)), '(^|\\.)spam-farm\\.example\\.net$')
+""")
+def url_domain_filter(spark, sf_dir):
+    return filters.by_domain(table(spark, sf_dir, "pages"), allowed=["example.com", "example.net"], denied=["spam-farm.example.net"]).select("page_id")
+
+
+@query("SELECT count(DISTINCT url) AS n_urls FROM pages")
+def url_memo(spark, sf_dir):
+    return filters.unseen_urls(table(spark, sf_dir, "pages").select("url")).agg(F.count("*").alias("n_urls"))
+
+
+@query(f"""
+WITH q AS (SELECT item_id AS query_id, list_distinct(string_split({_FLAT.replace('text', 'lower(text)')}, ' ')) AS ws FROM benchmark),
+s AS (SELECT query_id, doc_id, len(list_filter(ws, lambda w: contains(lower(coalesce(text, '')), w))) AS score FROM q, documents)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 3
+""")
+def keyword_overlap_topk(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.normalized(F.col("text")).alias("query"))
+    return retrieve.keyword_top_k(table(spark, sf_dir, "documents"), asked, 3)
+
+
+# ---- pages -------------------------------------------------------------------------------------------------------
+
+
+@query()
+def page_clean_stats(spark, sf_dir):
+    cleaned = html.with_clean_html(_pages(spark, sf_dir))
+    return cleaned.select("pkg", F.length("html").alias("chars_raw"), F.length("cleaned_html").alias("chars_clean"), F.size(F.split("cleaned_html", "\n")).alias("lines"))
+
+
+@query()
+def page_passages(spark, sf_dir):
+    return html.passages(html.with_clean_html(_pages(spark, sf_dir)), ["pkg"]).select("pkg", "idx", "type", "passage", F.to_json("context").alias("context"))
+
+
+@query()
+def page_main_text(spark, sf_dir):
+    text = html.with_text(html.with_main_content(_pages(spark, sf_dir)).select("pkg", "main_html"), "main_html")
+    return text.select("pkg", X.excerpt(X.normalized(F.col("text"))).alias("excerpt"))
+
+
+@query()
+def page_store_metadata(spark, sf_dir):
+    return html.with_store_metadata(_pages(spark, sf_dir)).select("pkg", F.to_json("metadata").alias("metadata"))
+
+
+@query()
+def page_forwarding(spark, sf_dir):
+    return html.with_text(_pages(spark, sf_dir)).select("pkg", X.forwarding_notice(F.col("html"), F.col("text")).alias("forwards"))
+
+
+@query()
+def page_annotations(spark, sf_dir):
+    """A whole run over the pages with the offline rules: detect is skipped, as no page is a policy."""
+    config = pipeline.Config(skip=frozenset(["detect"]))
+    made = pipeline.run(spark, _pages(spark, sf_dir), config)
+    return made.select("pkg", "idx", F.size("annotations").alias("n_annotations"))
+
+
+# ---- retrieval ---------------------------------------------------------------------------------------------------
+
+_SCORES = f"""
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS example_id, e.label, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s
+           FROM embeddings q, embeddings e WHERE q.vec_id % {QUERY_STEP} = 0)
+"""
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    examples = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("example_id"), "embedding", "label")
+    return examples.where(F.col("example_id") % QUERY_STEP == 0).select(F.col("example_id").alias("query_id"), "embedding"), examples
+
+
+@query(_SCORES + """SELECT query_id, example_id, round(s, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, example_id) AS rank FROM s) WHERE rank <= 5""")
+def vec_topk(spark, sf_dir):
+    q, e = _vectors(spark, sf_dir)
+    return retrieve.top_k(q, e, 5).withColumn("score", F.round("score", 6))
+
+
+@query(_SCORES + """SELECT query_id, example_id, round(s, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, example_id) AS rank FROM s WHERE s >= 0.3 AND query_id <> example_id) WHERE rank <= 5""")
+def vec_topk_threshold(spark, sf_dir):
+    q, e = _vectors(spark, sf_dir)
+    return retrieve.top_k(q, e, 5, threshold=0.3, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+@query(_SCORES + """SELECT query_id, example_id, label, round(s, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, example_id) AS rank FROM s) WHERE rank <= 2""")
+def vec_topk_by_label(spark, sf_dir):
+    q, e = _vectors(spark, sf_dir)
+    return retrieve.top_k(q, e, 2, by=["label"]).withColumn("score", F.round("score", 6))
+
+
+@query(_SCORES + """, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, example_id) AS r FROM s) WHERE r <= 10),
+v AS (SELECT query_id, label, count(*) AS votes FROM t GROUP BY ALL)
+SELECT query_id, label AS voted, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS r FROM v) WHERE r = 1""")
+def vec_label_vote(spark, sf_dir):
+    q, e = _vectors(spark, sf_dir)
+    near = retrieve.top_k(q, e, 10).join(e.select("example_id", "label"), "example_id")
+    votes = near.groupBy("query_id", "label").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("query_id").agg(F.min(F.struct((-F.col("votes")).alias("n"), "label")).alias("b"))
+    return best.select("query_id", F.col("b.label").alias("voted"), (-F.col("b.n")).alias("votes"))
+
+
+@query("SELECT label, count(*) AS n_examples, max(len(embedding)) AS dimension FROM embeddings GROUP BY label")
+def vec_stats(spark, sf_dir):
+    return retrieve.index_stats(table(spark, sf_dir, "embeddings"), "label")
+
+
+# ---- labels, answers, prompts ------------------------------------------------------------------------------------
+
+_VOCAB_SQL = ", ".join(f"('{k}', '{v}')" for k, v in vocab.ARTICLES.items())
+_KINDS = ["Right to Access", "right to acess", "Data storage period", "Other", "DPO contact"]
+_KIND_SQL = "[" + ", ".join(f"'{k}'" for k in _KINDS) + "]"
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Each document with a label, some of them misspelt."""
+    kinds = F.array(*(F.lit(k) for k in _KINDS))
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(kinds, (F.pmod("doc_id", F.lit(len(_KINDS))) + 1).cast("int")).alias("label"))
+
+
+@query(f"""
+SELECT a.doc_id, a.label, coalesce(v.reference, 'GDPR') AS reference, v.label IS NOT NULL AS valid
+FROM (SELECT doc_id, {_KIND_SQL}[doc_id % {len(_KINDS)} + 1] AS label FROM documents) a LEFT JOIN (VALUES {_VOCAB_SQL}) v(label, reference) USING (label)
+""")
+def label_ref_lookup(spark, sf_dir):
+    known = vocab.label_table(spark).select("label", "reference", F.lit(True).alias("valid"))
+    met = _asked(spark, sf_dir).join(F.broadcast(known), "label", "left")
+    return met.select("doc_id", "label", F.coalesce("reference", F.lit(vocab.NO_ARTICLE)).alias("reference"), F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+_REPAIRED = {k: k if k in vocab.ARTICLES else vocab.closest(k, list(vocab.ARTICLES)) for k in _KINDS}
+
+
+@query(f"""
+SELECT doc_id, r.repaired FROM (SELECT doc_id, {_KIND_SQL}[doc_id % {len(_KINDS)} + 1] AS label FROM documents)
+JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _REPAIRED.items())}) r(label, repaired) USING (label)
+""")
+def near_label_repair(spark, sf_dir):
+    rows = _asked(spark, sf_dir).select("doc_id", F.array("label").alias("labels"))
+    return vocab.correct_labels(rows, "labels").select("doc_id", F.element_at("labels", 1).alias("repaired"))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""
+SELECT event_id, [event_type] AS labels FROM events
+""")
+def llm_answer_labels(spark, sf_dir):
+    """Answers as models write them: plain, fenced, wrapped in prose, with trailing commas, or as a bare list."""
+    shape = F.pmod("event_id", F.lit(5))
+    name = F.col("event_type")
+    answer = (
+        F.when(shape == 0, F.concat(F.lit('{"labels": ["'), name, F.lit('"]}'))).when(shape == 1, F.concat(F.lit('```json\n{"labels": ["'), name, F.lit('"]}\n```')))
+        .when(shape == 2, F.concat(F.lit('Here you are: {"labels": ["'), name, F.lit('"]} - anything else?'))).when(shape == 3, F.concat(F.lit("{labels: ['"), name, F.lit("',]}")))
+        .otherwise(F.concat(F.lit('["'), name, F.lit('", null, " "]')))
+    )
+    return table(spark, sf_dir, "events").select("event_id", llmjson.label_list(answer).alias("labels"))
+
+
+@query("""
+SELECT conv_id, len(m) AS n_messages, array_to_string(m, chr(10)) AS messages FROM (
+  SELECT conv_id, list(role || ': ' || text ORDER BY turn) AS m FROM conversations GROUP BY conv_id)
+""")
+def message_list(spark, sf_dir):
+    rows = prompts.message_rows(table(spark, sf_dir, "conversations"))
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return rows.select("conv_id", F.size("messages").cast("long").alias("n_messages"), lines.alias("messages"))
+
+
+@query("""
+SELECT conv_id, turn, text AS user_text, answer FROM (
+  SELECT *, lead(CASE WHEN role = 'assistant' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE role = 'user'
+""")
+def fewshot_pairs(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("answer", F.lead(F.when(F.col("role") == "assistant", F.col("text"))).over(w))
+    return turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_text"), "answer")
+
+
+@query("""
+SELECT conv_id, count(*) FILTER (role = 'user') AS n_user, count(*) FILTER (role = 'assistant') AS n_assistant, bool_or(role = 'system') AS has_system FROM conversations GROUP BY conv_id
+""")
+def message_role_counts(spark, sf_dir):
+    role = F.col("role")
+    count = lambda r: F.count(F.when(role == r, 1))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(count("user").alias("n_user"), count("assistant").alias("n_assistant"), F.bool_or(role == "system").alias("has_system"))
+
+
+# The turns as headlines and texts: a system turn is an h1, a user turn an h2.
+_STACK_SQL = """
+WITH RECURSIVE b AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE role WHEN 'system' THEN 'h1' WHEN 'user' THEN 'h2' ELSE 'p' END AS tag, text FROM conversations
+), s AS (
+  SELECT conv_id, 0::BIGINT AS i, []::STRUCT(text VARCHAR, type VARCHAR)[] AS ctx, []::STRUCT(text VARCHAR, type VARCHAR)[] AS before, NULL::BIGINT AS turn FROM b WHERE i = 1
+  UNION ALL
+  SELECT b.conv_id, b.i, CASE WHEN b.tag IN ('h1', 'h2') THEN list_append(
+      CASE WHEN list_position(list_transform(s.ctx, lambda c: c.type), b.tag) IS NOT NULL THEN s.ctx[1 : list_position(list_transform(s.ctx, lambda c: c.type), b.tag) - 1] ELSE s.ctx END,
+      {'text': b.text, 'type': b.tag}) ELSE s.ctx END, s.ctx, b.turn
+  FROM s JOIN b ON b.conv_id = s.conv_id AND b.i = s.i + 1
+)
+SELECT conv_id, turn, array_to_string(list_transform(before, lambda c: c.type || '=' || c.text), chr(10)) AS context FROM s WHERE i > 0
+"""
+
+
+@query(_STACK_SQL)
+def ctx_stack(spark, sf_dir):
+    tag = F.when(F.col("role") == "system", "h1").when(F.col("role") == "user", "h2").otherwise("p")
+    blocks = table(spark, sf_dir, "conversations").withColumn("tag", tag)
+    lines = F.array_join(F.transform("context", lambda c: F.concat(c["type"], F.lit("="), c["text"])), "\n")
+    return filters.context_stack(blocks, "conv_id", "turn", "tag", "text").select("conv_id", F.col("ord").alias("turn"), lines.alias("context"))
+
+
+# ---- ledger ------------------------------------------------------------------------------------------------------
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pkg"), F.lit(0).alias("idx"), "text")
+    said = F.array(prompts.message("user", F.coalesce("text", F.lit(""))))
+    return ledger.requests(docs, "run", "detect", "gpt-4o", said)
+
+
+def _recorded(spark, sf_dir) -> DataFrame:
+    """Answers to the requests of labelled documents, as a provider's result lines."""
+    labels = table(spark, sf_dir, "labels")
+    choice = F.struct(F.when(F.col("quality") == 0, "content_filter").otherwise("stop").alias("finish_reason"), F.struct(F.col("toxic").cast("string").alias("content")).alias("message"))
+    usage = F.struct((F.col("doc_id") % 1000).alias("prompt_tokens"), F.lit(1).cast("long").alias("completion_tokens"))
+    body = F.struct(F.array(choice).alias("choices"), usage.alias("usage"))
+    raw = labels.select(F.concat(F.lit("run_detect_"), F.col("doc_id").cast("string"), F.lit("_0")).alias("custom_id"), F.lit(None).cast("string").alias("error"), F.struct(F.lit(200).alias("status_code"), body.alias("body")).alias("response"))
+    return ledger.answers_a(raw)
+
+
+@query("SELECT 'run_detect_' || doc_id || '_0' AS custom_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_calls(spark, sf_dir):
+    return ledger.pending(_requests(spark, sf_dir), _recorded(spark, sf_dir)).select("custom_id")
+
+
+@query("SELECT count(*) AS n_prompts FROM (SELECT DISTINCT coalesce(text, '') FROM documents)")
+def distinct_prompts(spark, sf_dir):
+    return ledger.distinct_prompts(_requests(spark, sf_dir)).agg(F.count("*").alias("n_prompts"))
+
+
+@query("""
+SELECT 'run_detect_' || d.doc_id || '_0' AS custom_id, CASE WHEN quality = 1 THEN toxic::VARCHAR END AS response,
+       CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN quality = 0 THEN 'finish reason content_filter' END AS error
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def batch_join(spark, sf_dir):
+    return ledger.with_answers(_requests(spark, sf_dir), _recorded(spark, sf_dir)).select("custom_id", "response", "error")
+
+
+@query("""
+SELECT stage, count(*) AS n FROM (SELECT 'detect' AS stage FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR quality = 0) GROUP BY stage
+""")
+def error_quarantine(spark, sf_dir):
+    return ledger.errors(ledger.with_answers(_requests(spark, sf_dir), _recorded(spark, sf_dir)), "detect").groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT toxic::VARCHAR AS response, count(*) AS n_calls, round(sum((doc_id % 1000) * 1.25e-6 + 5e-6), 6) AS cost
+FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1
+""")
+def call_cost(spark, sf_dir):
+    calls = ledger.with_answers(_requests(spark, sf_dir), _recorded(spark, sf_dir)).where("error IS NULL").withColumn("secs", F.lit(0.0))
+    return ledger.cost_by(ledger.with_cost(calls, ledger.price_table(spark), batch=True), "response").select("response", "n_calls", F.round("cost", 6).alias("cost"))
+
+
+@query("""
+SELECT CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'in_progress' ELSE 'in_progress' END AS state, count(*) AS n FROM orders GROUP BY 1
+""")
+def batch_states(spark, sf_dir):
+    said = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "validating").otherwise("a state of its own")
+    return table(spark, sf_dir, "orders").select(ledger.unified_state(said).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, sum(length(text)) > 0 AND sum(length(text)) <= 209715200 AS ok FROM documents
+""")
+def batch_guard(spark, sf_dir):
+    return ledger.check_batch(table(spark, sf_dir, "documents"), "text")
+
+
+# ---- statistics --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT coalesce(role, 'unknown') AS type, count(*) AS n FROM conversations GROUP BY 1")
+def example_type_counts(spark, sf_dir):
+    return filters.type_counts(table(spark, sf_dir, "conversations"), "role")
+
+
+@query(f"SELECT round(avg(len({_WORDS})), 6) AS mean_words FROM documents WHERE text IS NOT NULL")
+def avg_array_len(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("text").isNotNull(), X.words(F.col("text"))).alias("words"))
+    return filters.array_means(docs, "words").select(F.round("mean_words", 6).alias("mean_words"))
+
+
+@query("SELECT source AS requirement, count(*) AS n, round(avg(quality), 6) AS mean_confidence FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def conf_by_label(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("requirement")), "doc_id")
+    made = filters.confidence_by_requirement(rows.withColumn("confidence", F.col("quality").cast("double")))
+    return made.withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+@query("SELECT o_custkey, round(count(*) FILTER (o_orderstatus = 'F') / greatest(1, count(*)), 6) AS progress FROM orders GROUP BY o_custkey")
+def progress_ratio(spark, sf_dir):
+    done = F.count(F.when(F.col("o_orderstatus") == "F", 1))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(filters.progress(done, F.count("*")), 6).alias("progress"))
+
+
+@query("""
+SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+WHERE before IS DISTINCT FROM event_type
+""")
+def state_changes(spark, sf_dir):
+    return filters.state_changes(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
+
+
+@query("SELECT kind, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT 'document' AS kind, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY kind")
+def union_examples(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), "text").unionByName(table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("kind"), "text"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# ---- streams -----------------------------------------------------------------------------------------------------
+
+_EVENT_HOURS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+def _hours(counted: DataFrame) -> DataFrame:
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(_EVENT_HOURS)
+def event_windows(spark, sf_dir):
+    return _hours(incremental.event_counts(table(spark, sf_dir, "events")))
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, s
+""")
+def event_sessions(spark, sf_dir):
+    found = incremental.sessions(table(spark, sf_dir, "events"))
+    return found.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_upsert(spark, sf_dir):
+    """The events as a file stream, upserted by id twice over: the second run adds nothing."""
+    top = f"{sinks.scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    for i in range(2):
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", "event_type")
+        incremental.upsert(stream, f"{top}/table", ["event_id"], f"{top}/checkpoint-{i}").awaitTermination()
+    return spark.read.parquet(f"{top}/table").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# ---- built-in relational operators, unchanged --------------------------------------------------------------------
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
+""")
+def relational_aggregate(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
+    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(revenue, 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+""")
+def relational_join(spark, sf_dir):
+    met = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    met = met.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def relational_anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT r_name, n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def relational_rollup(spark, sf_dir):
+    met = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    met = met.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return met.rollup("r_name", "n_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, p_partkey, rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 3")
+def relational_window(spark, sf_dir):
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(w).alias("rank")).where("rank <= 3")
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+def relational_set_ops(spark, sf_dir):
+    both = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+    return both.exceptAll(table(spark, sf_dir, "nation").where("n_regionkey = 0").select("n_nationkey"))
