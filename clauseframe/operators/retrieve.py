@@ -179,12 +179,24 @@ def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "do
     rows = [(r["query_id"], list(dict.fromkeys((r["query"] or "").lower().split()))) for r in queries.select("query_id", "query").collect()]
     if not rows:
         raise ValueError("no query")
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    asked = F.lit(sorted({w for _, ws in rows for w in ws}))
-    held = F.get(F.transform(F.array(low), lambda t: F.filter(asked, lambda w: F.contains(t, w))), F.lit(0))  # each text is lowered once
-    found = docs.select(F.col(doc_id).alias("doc_id"), held.alias("found")).where(F.size("found") > 0)
-    each = F.array(*(F.struct(F.lit(q).alias("query_id"), F.size(F.array_intersect("found", F.lit(ws))).alias("score")) for q, ws in rows if ws))
-    scored = found.select("doc_id", F.explode(F.filter(each, lambda s: s["score"] > 0)).alias("s")).select("s.query_id", "doc_id", "s.score")
+    words = sorted({w for _, ws in rows for w in ws})
+    number = {w: i for i, w in enumerate(words)}
+    held = np.zeros((len(words), len(rows)), dtype=np.int32)
+    for j, (_, ws) in enumerate(rows):
+        held[[number[w] for w in ws], j] = 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for one, body in zip(b["doc_id"], b["body"], strict=True):
+                hit = np.fromiter((w in body for w in words), dtype=bool, count=len(words))
+                scores = held[hit].sum(axis=0)
+                out += [(rows[j][0], one, int(scores[j])) for j in np.flatnonzero(scores)]
+            yield pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score int"
+    low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
+    scored = low.mapInPandas(run, kinds)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
