@@ -149,15 +149,26 @@ def _ssn(f: Feistel, m: re.Match) -> str | None:
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: First number and how many there are, of octets with so many digits.
+_OCTETS = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
+
+
 def _ip(f: Feistel, m: re.Match) -> str | None:
-    parts = [int(p) for p in m[0].split(".")]
-    if any(p > 255 for p in parts) or any(len(p) > 1 and p[0] == "0" for p in m[0].split(".")):
+    """Among addresses whose parts have as many digits."""
+    parts = m[0].split(".")
+    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
-    n = 0
+    n, total = 0, 1
     for p in parts:
-        n = n * 256 + p
-    n = f.permute("ip", 2**32, n)
-    return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+        first, count = _OCTETS[len(p)]
+        n, total = n * count + int(p) - first, total * count
+    n = f.permute("ip" + "".join(str(len(p)) for p in parts), total, n)
+    out = []
+    for p in reversed(parts):
+        first, count = _OCTETS[len(p)]
+        n, d = divmod(n, count)
+        out.append(str(first + d))
+    return ".".join(reversed(out))
 
 
 def _date(order: str) -> Callable[[Feistel, re.Match], str | None]:
