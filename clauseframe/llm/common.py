@@ -33,6 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+#: Bytes of an Arrow batch on its way to a Python worker: whole texts may be long, and a worker holds a few batches at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session hand texts to Python workers in batches of bounded bytes; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).removesuffix("b")) if spark.conf.get(key).removesuffix("b").lstrip("-").isdigit() else 0
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors.
 
@@ -65,14 +77,22 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[str]], pd.DataFrame], schema: T.StructType, chunk_chars: int = 2_000_000) -> DataFrame:
-    """``work`` on the whole texts (null as empty) of every row, some at a time; the identifier goes along untouched."""
-    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *schema])
-    arrow = to_arrow_schema(schema)
+def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[str]], pd.DataFrame], schema: T.StructType, chunk_chars: int = 2_000_000, carry: bool = False) -> DataFrame:
+    """``work`` on the whole texts (null as empty) of every row, some at a time; the identifier goes along untouched.
+
+    With ``carry`` the first column is ``__row`` instead, a struct of all columns of the row.
+    """
+    small_batches(df.sparkSession)
+    if carry:
+        first, kind = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), df.schema
+    else:
+        first, kind = F.col(f"`{id_col}`").alias("__id"), df.schema[id_col].dataType
+    out = T.StructType([T.StructField("__row" if carry else id_col, kind), *schema])
+    arrow, at = to_arrow_schema(schema), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["" if x is None else x for x in b.column(1).to_pylist()]
+            texts = ["" if x is None else x for x in (b.column(0).field(at) if carry else b.column(1)).to_pylist()]
             start = chars = 0
             for i, x in enumerate(texts):
                 chars += len(x)
@@ -81,4 +101,4 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[st
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i + 1 - start), *made.columns], names=out.fieldNames())
                     start, chars = i + 1, 0
 
-    return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, out)
+    return df.select(first, *([] if carry else [F.col(f"`{text_col}`").alias("__text")])).mapInArrow(run, out)

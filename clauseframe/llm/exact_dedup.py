@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clauseframe.llm.common import materialize
+from clauseframe.llm.common import materialize, small_batches
 
 #: Bytes of a text that take part in a splitter.
 PREFIX_BYTES = 64
@@ -110,6 +110,7 @@ def exact_groups(
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep: smallest or largest")
+    small_batches(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`") if normalize is None else normalize, F.lit(""))
     rows = df.select(
         F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), F.sha2(text, 256).alias("__sha"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import columns, drop_table, materialize
+from clauseframe.llm.common import columns, drop_table, materialize, small_batches
 from clauseframe.llm.components import components
 
 WORDS, SIMILARITY = 5, (75, 100)
@@ -271,6 +271,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     table gives an empty result; other columns are not read. A pair at the threshold is missed by all bands with a
     probability below 1e-5, and by the estimate below 1e-6.
     """
+    small_batches(df.sparkSession)
     share = similarity[0] / similarity[1]
     sketches = materialize(_sketch(df, id_col, text_col, carry), "near-sketches")
     reps = materialize(

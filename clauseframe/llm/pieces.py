@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import columns, materialize
+from clauseframe.llm.common import columns, materialize, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -271,6 +271,7 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
     length; U+2581 counts as a space, as in the library; repeated rows and null identifiers are rows of their own; an
     empty table gives an empty result; other columns are not read.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     got = folded(head_words(df, v, text_col, head), v).toPandas()  # at most HEAD_WORDS rows
     table = {w: [x for i in ids for x in ([int(i)] if i >= 0 else v.other(chr(-1 - int(i))))] for w, ids in zip(got["word"], got["ids"], strict=True)}

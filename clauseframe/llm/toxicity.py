@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import columns, map_texts
+from clauseframe.llm.common import columns, map_texts, small_batches
 
 #: Labelled documents that the models are fitted on, at most: half for each value of the last category.
 TRAIN_ROWS = 5_000
@@ -195,6 +195,7 @@ def train(
     """Fit on at most ``rows`` labelled documents, the first by a hash of their identifier, half of them of each value of the last
     category if there are so many. ``labels`` has the identifier and one column of 0 and 1 for each category; rows with a
     null in it, and documents without text, are passed over; of several labels of one document one counts."""
+    small_batches(documents.sparkSession)
     last = categories[-1]
     kinds = {c: F.col(f"`{c}`").cast("int") for c in categories}
     clean = labels.select(F.col(f"`{id_col}`").alias("__id"), *(k.alias(c) for c, k in kinds.items())).dropna().dropDuplicates(["__id"])
@@ -223,13 +224,12 @@ def train(
 
 def keep_clean(df: DataFrame, chain: Chain, text_col: str = "text", category: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose probability of the category is below the threshold, all columns as they were."""
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
-    scored = score(df.select(row, F.col(f"`{text_col}`").alias("__body")), chain, "__row", "__body")
+    scored = score(df, chain, text_col=text_col, carry=True)
     return scored.where(F.col(f"p_{category}") < threshold).select(*(F.col("__row").getField(c).alias(c) for c in df.columns))
 
 
-def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: its identifier and ``p_<category>`` for each category.
+def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row a document: its identifier (with ``carry`` all its columns, as ``__row``) and ``p_<category>`` for each category.
 
     Defined cases: a null or empty text has no words and gets the models' bias; texts are read whole; repeated rows and
     null identifiers are rows of their own; an empty table gives an empty result; other columns are not read.
@@ -255,4 +255,4 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
         p = chain.probabilities(sums)
         return pd.DataFrame({f"p_{c}": p[:, k] for k, c in enumerate(chain.categories)})
 
-    return map_texts(df, id_col, text_col, work, schema)
+    return map_texts(df, id_col, text_col, work, schema, carry=carry)
