@@ -99,8 +99,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def spans_anchor(value: Column, passage: Column) -> Column:
     """Whether an annotation's value occurs in its passage, PLACEHOLDER standing for anything."""
-    parts = F.transform(F.split(value, PLACEHOLDER), lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    return passage.rlike(F.concat(F.lit("(?s)"), F.array_join(parts, ".*")))
+    parts = F.transform(F.split(value, PLACEHOLDER), lambda p: F.concat(F.lit(r"\Q"), F.replace(F.trim(p), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.rlike(passage, F.concat(F.lit("(?s)"), F.array_join(parts, ".*")))
 
 
 def backoff_seconds(attempt: int, uniform: float, limited: bool = False) -> float:

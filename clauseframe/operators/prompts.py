@@ -14,7 +14,7 @@ MESSAGES = "array<struct<role:string,content:string>>"
 
 def prompt_files(spark: SparkSession, folder: str) -> DataFrame:
     """name, content of the files of a prompt folder, whichever store it is in."""
-    files = spark.read.option("wholetext", True).text(folder)
+    files = spark.read.text(folder, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)$", 1).alias("name"), F.col("value").alias("content"))
 
 
@@ -48,7 +48,8 @@ def load_prompts(spark: SparkSession, folder: str) -> tuple[str | None, list[tup
 def pair_table(files: DataFrame) -> DataFrame:
     """ord, user, assistant from a table of prompt files (name, content): both halves of a few-shot in one row."""
     part = lambda i: F.regexp_extract("name", _EXAMPLE.pattern, i)
-    return files.where(F.col("name").rlike(_EXAMPLE.pattern)).groupBy(part(1).alias("ord")).pivot(part(2), ["user", "assistant"]).agg(F.first("content"))
+    halves = files.where(F.col("name").rlike(_EXAMPLE.pattern)).withColumns({"ord": part(1), "half": part(2)})
+    return halves.groupBy("ord").pivot("half", ["user", "assistant"]).agg(F.first("content"))
 
 
 def message(role: str, content: Column) -> Column:

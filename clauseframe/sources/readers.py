@@ -33,7 +33,7 @@ def decode_bytes(content: bytes | None) -> str | None:
 
 
 def stage_files(spark: SparkSession, folder: str) -> DataFrame:
-    """pkg (the file's stem), content, of all files that aren't hidden."""
+    """pkg (the file's stem), content, of all files that aren't hidden; Spark gives no row for a file of no bytes."""
     files = spark.read.format("binaryFile").load(folder)
     return files.where(~_name().startswith(".")).select(file_stem(_name()).alias("pkg"), "content")
 
