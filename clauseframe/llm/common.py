@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -52,9 +53,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _record is not None:
+        _record.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_record: list[str] | None = None
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Note the tables that are written meanwhile."""
+    global _record  # noqa: PLW0603
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
+
+
+def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Delete noted tables, but for those that ``needed`` still reads."""
+    held = {f.rsplit("/", 1)[0].removeprefix("file://") for f in needed.inputFiles()}
+    for p in [p for p in paths if p.removeprefix("file://") not in held]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        paths.remove(p)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote; call it only when nothing will read it any more."""
     spark = df.sparkSession

@@ -37,7 +37,8 @@ class _Run:
         self.payload = None
 
 
-def _scan(schema: T.StructType, carry: bool):
+def _scan(schema: T.StructType, carry: bool, inside: int | None):
+    """inside: where in the carried row the text is, if it has no column of its own."""
     arrow = to_arrow_schema(schema)
     names = arrow.names
 
@@ -68,7 +69,8 @@ def _scan(schema: T.StructType, carry: bool):
 
         for b in batches:
             columns = {n: b.column(n) for n in b.schema.names}
-            texts, ids, shas, prefixes, hashes = (columns[c].to_pylist() for c in ("__text", "__id", "__sha", "__prefix", "__hash"))
+            ids, shas, prefixes, hashes = (columns[c].to_pylist() for c in ("__id", "__sha", "__prefix", "__hash"))
+            texts = columns["__text"].to_pylist() if inside is None else [x or "" for x in columns["__row"].field(inside).to_pylist()]
             payload = columns.get("__row")
             for i, text in enumerate(texts):
                 if run is None or text != run.text:
@@ -112,21 +114,23 @@ def exact_groups(
         raise ValueError("keep: smallest or largest")
     small_batches(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`") if normalize is None else normalize, F.lit(""))
+    inside = df.columns.index(text_col) if carry and normalize is None else None  # one copy of a text is enough to move
     rows = df.select(
-        F.col(f"`{id_col}`").alias("__id"), text.alias("__text"), F.sha2(text, 256).alias("__sha"),
+        F.col(f"`{id_col}`").alias("__id"), *([] if inside is not None else [text.alias("__text")]), F.sha2(text, 256).alias("__sha"),
         F.substring(F.encode(text, "UTF-8"), 1, PREFIX_BYTES).alias("__prefix"), F.xxhash64(text).alias("__hash"),
         *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")] if carry else []),
     )
+    body = F.col("__text") if inside is None else F.coalesce(F.col("__row").getField(text_col), F.lit(""))
     # The row to keep comes last.
     last = F.col("__id").asc_nulls_first() if keep == "largest" else F.col("__id").desc_nulls_first()
-    ranged = rows.repartitionByRange("__prefix", "__hash", last).sortWithinPartitions("__prefix", "__hash", "__text", last)
+    ranged = rows.repartitionByRange("__prefix", "__hash", last).sortWithinPartitions("__prefix", "__hash", body, last)
     id_type = rows.schema["__id"].dataType
     schema = T.StructType([
         T.StructField("__id", id_type), T.StructField("__sha", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()),
         T.StructField("__last", T.BooleanType()), T.StructField("__part", T.IntegerType()), T.StructField("__run", T.LongType()),
         T.StructField("__run_size", T.LongType()), T.StructField("__edge_text", T.StringType()), *([T.StructField("__row", rows.schema["__row"].dataType)] if carry else []),
     ])
-    scanned = materialize(ranged.mapInArrow(_scan(schema, carry), schema), "exact-dedup")
+    scanned = materialize(ranged.mapInArrow(_scan(schema, carry, inside), schema), "exact-dedup")
     # At most a few runs a range touch its edges: bounded by the number of ranges, so they can be broadcast.
     edges = (
         scanned.where("__edge_text IS NOT NULL")

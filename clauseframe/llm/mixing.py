@@ -227,8 +227,8 @@ def mixed_documents(m: Mix, text_col: str = "text") -> DataFrame:
     met = m.rows.join(spans, "__key")
     text = F.col("__row").getField(text_col)
     words = F.regexp_extract_all(text, F.lit(SPACE[:-1] + "*" + WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words_of"), (s["__begin"] + 1).cast("int"), (s["__end"] - s["__begin"]).cast("int")))), "")
-    part = met.where("__words < __size").withColumn("__words_of", words).select("__row", cut.alias("__text"))
-    whole = met.where("__words = __size").select("__row", text.alias("__text"))
+    taken = lambda w: F.flatten(F.transform("__spans", lambda s: F.slice(w, (s["__begin"] + 1).cast("int"), (s["__end"] - s["__begin"]).cast("int"))))
+    cut = F.array_join(F.get(F.transform(F.array(words), taken), F.lit(0)), "")  # the words of a text are found once
+    made = F.when(F.col("__words") == F.col("__size"), text).otherwise(cut)
     names = m.rows.schema["__row"].dataType.fieldNames()
-    return whole.unionByName(part).select(*(F.col("__text").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in names))
+    return met.select(*(made.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in names))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,12 +109,13 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame
     """__key, __id, __text and n, d1, d2 (size and digest of the set), regs; with ``carry`` also __row."""
     extra = T.StructType([*columns(n="long", d1="long", d2="long"), T.StructField("regs", T.BinaryType())])
     row = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")] if carry else []
-    rows = df.select(F.monotonically_increasing_id().alias("__key"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *row)
-    out = T.StructType([*rows.schema, *extra])
+    text = [] if carry else [F.col(f"`{text_col}`").alias("__text")]  # a carried row has it already
+    rows = df.select(F.monotonically_increasing_id().alias("__key"), F.col(f"`{id_col}`").alias("__id"), *text, *row)
+    out, at = T.StructType([*rows.schema, *extra]), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["" if x is None else x for x in b.column(2).to_pylist()]
+            texts = ["" if x is None else x for x in (b.column(2).field(at) if carry else b.column(2)).to_pylist()]
             start = chars = 0
             for i, x in enumerate(texts):
                 chars += len(x)
@@ -194,7 +195,7 @@ def _filter_of(nodes: DataFrame) -> tuple[int, np.ndarray]:
     return bits, words
 
 
-def _sets(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(sketches: DataFrame, nodes: DataFrame, text: Column) -> DataFrame:
     """The full sets (node, members) of some classes, from the text of one document of each.
 
     The classes' filter goes to where the texts are, so no text is shuffled; what it lets through besides does no harm,
@@ -214,7 +215,7 @@ def _sets(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = shingle_sets(["" if x is None else x for x in b.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=out.fieldNames())
 
-    return sketches.where("n > 0").select(F.col("__key").alias("node"), "__text").mapInArrow(run, out)
+    return sketches.where("n > 0").select(F.col("__key").alias("node"), text.alias("__text")).mapInArrow(run, out)
 
 
 def _blocks(open_: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -304,8 +305,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     stars = members.select("node", F.explode("hubs").alias("hub")).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near = materialize(_filter_pairs(stars, reps, share), "near-pairs")
 
+    text = F.col("__row").getField(text_col) if carry else F.col("__text")
+
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return materialize(_sets(sketches, materialize(nodes.distinct(), "near-nodes")), "near-sets")
+        return materialize(_sets(sketches, materialize(nodes.distinct(), "near-nodes"), text), "near-sets")
 
     # First each class with its most promising partner, to join what is easily joined; then only what is still apart.
     ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("end"), "promise")
@@ -331,6 +334,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     more = materialize(_blocks(open_.join(sets, "node"), similarity), "near-links")
     drop_table(sets)
     comps = materialize(components(links.unionByName(more)), "near-components")
+    for done in (members, open_, near):
+        drop_table(done)
 
     # Back to the documents. Classes of very many copies are few, and their names can be broadcast; all others meet by a join.
     named = reps.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
