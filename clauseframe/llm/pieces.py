@@ -18,7 +18,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ MARK = "▁"
 HEAD_WORDS, MASK_CHARS = 200_000, 60
 #: Words a task remembers besides; words that it counts before it passes them on.
 CACHE_WORDS, COUNT_WORDS = 300_000, 500_000
+_NONE = float("-inf")
 _ENDS = "\n\t\r\x0b\x0c"
 
 
@@ -54,6 +57,14 @@ class Vocabulary:
         by_byte = {m.id_to_piece(i): i for i in ids if m.is_byte(i)}
         return cls(plain, tuple(by_byte[f"<0x{b:02X}>"] for b in range(256)) if by_byte else (), m.unk_id(), merges)
 
+    @cached_property
+    def _ids(self) -> dict[str, int]:
+        return {p: i for p, (i, _) in self.pieces.items()}
+
+    @cached_property
+    def _scores(self) -> dict[str, float]:
+        return {p: s for p, (_, s) in self.pieces.items()}
+
     @cached_property
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
@@ -79,20 +90,23 @@ class Vocabulary:
 
     def _merge(self, word: str) -> list[int]:
         """Highest score first, leftmost of equals, until no two neighbours make a piece."""
-        pieces, n = self.pieces, len(word)
-        if n > MASK_CHARS:
+        if len(word) > MASK_CHARS:
             return self._merge_long(word)
+        ids, score = self._ids, self._scores.get
         symbols = list(word)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                hit = pieces.get(symbols[i] + symbols[i + 1])
-                if hit is not None and (best is None or hit[1] > best):
-                    best, at = hit[1], i
-            if best is None:
+        pairs = [score(x + y, _NONE) for x, y in zip(symbols, symbols[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == _NONE:
                 break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return [x for s in symbols for x in ((pieces[s][0],) if s in pieces else self.other(s))]
+            i = pairs.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(symbols[i] + symbols[i + 1], _NONE)
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + symbols[i], _NONE)
+        return [x for s in symbols for x in ((ids[s],) if s in ids else self.other(s))]
 
     def _merge_long(self, word: str) -> list[int]:
         pieces = self.pieces
@@ -153,7 +167,10 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; the space that encoding puts in front is taken off, bytes that are no UTF-8 become U+FFFD."""
-        made = b"".join([self.by_id.get(i, b"\xe2\x81\x87") for i in ids]).decode("utf-8", "replace")
+        try:
+            made = b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", "replace")
+        except KeyError:
+            made = b"".join([self.by_id.get(i, b"\xe2\x81\x87") for i in ids]).decode("utf-8", "replace")
         return made[1:] if made[:1] == " " else made
 
 
@@ -264,6 +281,10 @@ def head_words(df: DataFrame, v: Vocabulary, text_col: str = "text", most: int =
     return found
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
 def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD_WORDS) -> DataFrame:
     """One row a document: its identifier, ``ids``, ``n_tokens`` and ``decoded``, the text read back from the ids.
 
@@ -274,29 +295,35 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
     small_batches(df.sparkSession)
     spark = df.sparkSession
     got = folded(head_words(df, v, text_col, head), v).toPandas()  # at most HEAD_WORDS rows
-    table = {w: [x for i in ids for x in ([int(i)] if i >= 0 else v.other(chr(-1 - int(i))))] for w, ids in zip(got["word"], got["ids"], strict=True)}
+    table = {w: _packed([x for i in ids for x in ([int(i)] if i >= 0 else v.other(chr(-1 - int(i))))]) for w, ids in zip(got["word"], got["ids"], strict=True)}
     shared = spark.sparkContext.broadcast((v, table))
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *columns(ids="int[]", n_tokens="long", decoded="string")])
-    rest: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, table = shared.value
+        known.update(table)
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                made: list[list[int]] = []
+                made: list[bytes] = []
                 for text in b.column(1).to_pylist():
-                    ids: list[int] = []
-                    for w in v.words(text or ""):
-                        hit = table.get(w) or rest.get(w)
-                        if hit is None:
-                            if len(rest) >= CACHE_WORDS:
-                                rest.clear()
-                            hit = rest[w] = v.fold(w)
-                        ids += hit
-                    made.append(ids)
-                sizes = pa.array([len(x) for x in made], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int32())), sizes, pa.array([v.decode(x) for x in made], pa.string())], names=out.fieldNames())
+                    words = v.words(text or "")
+                    hits = list(map(known.get, words))
+                    if None in hits:
+                        if len(known) >= len(table) + CACHE_WORDS:
+                            known.clear()
+                            known.update(table)
+                        for k, hit in enumerate(hits):
+                            if hit is None:
+                                hits[k] = known.get(words[k]) or known.setdefault(words[k], _packed(v.fold(words[k])))
+                    made.append(b"".join(hits))
+                flat = np.frombuffer(b"".join(made), dtype=np.int32)
+                sizes = np.array([len(x) // 4 for x in made], dtype=np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                texts = pa.array([v.decode(flat[x:y].tolist()) for x, y in pairwise(ends.tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes), texts], names=out.fieldNames())
 
     return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, out)
 
