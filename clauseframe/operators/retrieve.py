@@ -15,6 +15,8 @@ from clauseframe.functions import text as X
 #: Example vectors that a task holds at most; more are searched in turns of so many.
 BLOCK_EXAMPLES = 50_000
 DIMENSIONS = 256
+#: Largest example table that is scored by Spark's own expressions, and longest list of keyword queries.
+MOST_RELATIONAL, MOST_QUERIES = 1000, 10_000
 SIMILAR, PER_LABEL, LEAST_SCORE = 5, 2, 0.5
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -109,7 +111,9 @@ def _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_sel
 
 def top_k_relational(queries: DataFrame, examples: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """The same with Spark's own expressions, for example tables of at most a few hundred rows: scores, then a rank limit for each query."""
-    pairs = queries.crossJoin(F.broadcast(examples.limit(1000))).withColumn("score", X.dot(F.col("query_embedding"), F.col("embedding")))
+    if (n := examples.count()) > MOST_RELATIONAL:
+        raise ValueError(f"{n} examples: use top_k")
+    pairs = queries.crossJoin(F.broadcast(examples)).withColumn("score", X.dot(F.col("query_embedding"), F.col("embedding")))
     if threshold is not None:
         pairs = pairs.where(F.col("score") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("example_id"))
@@ -177,8 +181,8 @@ def examples_by_label(examples: DataFrame, requirement: str) -> DataFrame:
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): by how many of a query's words a text contains. The queries are a short list, all texts are searched."""
     rows = [(r["query_id"], list(dict.fromkeys((r["query"] or "").lower().split()))) for r in queries.select("query_id", "query").collect()]
-    if not rows:
-        raise ValueError("no query")
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"{len(rows)} queries: ask {MOST_QUERIES} at a time")
     words = sorted({w for _, ws in rows for w in ws})
     number = {w: i for i, w in enumerate(words)}
     held = np.zeros((len(words), len(rows)), dtype=np.int32)
