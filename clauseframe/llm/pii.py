@@ -15,7 +15,7 @@ import hashlib
 import hmac
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -125,6 +125,42 @@ def _iban(f: Feistel, m: re.Match) -> str | None:
     return _refill(m[0], body[:2] + check + body[4:], lambda c: c != " ")
 
 
+#: How card numbers are usually written in groups.
+LAYOUTS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1)}
+_ANY = re.compile(r".+", re.DOTALL)
+#: Lengths of bank numbers by country.
+IBANS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+).split()) for c in cs.split(",")}
+
+
+def _card_parts(m: re.Match) -> Iterator[re.Match]:
+    """What in a run of digits may be a card, as other numbers may stand beside it: from each group of digits to the
+    end of each group that leaves 13 to 19 digits. Unbroken groups come first, then customary ones, then the longest part.
+    """
+    groups = list(re.finditer(r"\d+", m[0]))
+    last = len(groups) - bool(re.compile(r"\w|\.\d", re.ASCII).match(m.string, m.end()))
+    found = []
+    for i in range(last):
+        lengths: list[int] = []
+        for j in range(i, last):
+            lengths.append(len(groups[j][0]))
+            if sum(lengths) > 19:
+                break
+            if sum(lengths) >= 13:
+                found.append((0 if i == j else 1 if tuple(lengths) in LAYOUTS else 2, i, -j))
+    for _, i, j in sorted(found):
+        yield _ANY.fullmatch(m.string, m.start() + groups[i].start(), m.start() + groups[-j].end())
+
+
+def _iban_parts(m: re.Match) -> Iterator[re.Match]:
+    """What of a bank number and the words behind it may be the number: first by the country's length, then the longest."""
+    ends = [i for i, c in enumerate(m[1]) if c == " "] + [len(m[1])]
+    for end in sorted(ends, key=lambda i: (i - m[1].count(" ", 0, i) != IBANS.get(m[1][:2]), -i)):
+        yield _ANY.fullmatch(m.string, m.start(), m.start() + end)
+
+
 def _phone(f: Feistel, m: re.Match) -> str | None:
     digits = re.sub(r"\D", "", m[0])
     if not 8 <= len(digits) <= 15:
@@ -228,13 +264,15 @@ KINDS: list[tuple[str, str, Callable[[Feistel, re.Match], str | None]]] = [
     ("date", r"(?<![\d./-])(\d{1,2})([./-])(\d{1,2})\2(\d{4})(?![\d]|[-/.]\d)", _date("dmy")),
     ("date", r"(?<![\d./-])(\d{1,2})([./-])(\d{1,2})\2(\d{4})(?![\d]|[-/.]\d)", _date("mdy")),
     ("ssn", r"(?<![\w-])(\d{3})-(\d{2})-(\d{4})(?![\w]|-\d)", _ssn),
-    ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)", _iban),
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)", _card),
+    ("iban", r"(?<!\w)(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)))", _iban),
+    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,}", _card),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w]|[.-]\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w]|[.-]\d)", _phone),
     ("token", r"(?<![\w])[0-9a-f]{32,128}(?![\w])", _token),
 ]
 NAMES = list(dict.fromkeys(k for k, _, _ in KINDS))
 _PATTERNS = [(k, re.compile(p, re.ASCII), f) for k, p, f in KINDS]
+#: Kinds whose pattern finds where to look; which part is the value, validation tells.
+_PARTS = {"iban": _iban_parts, "card": _card_parts}
 #: A text without such a place has nothing to replace; it is far cheaper to look for.
 _HINT = re.compile(r"@|\d[\d().\-/ ]{5}|[0-9a-f]{32}", re.ASCII)
 
@@ -249,7 +287,8 @@ def pseudonymize(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
     spans: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
     for kind, pattern, work in _PATTERNS:
-        for m in pattern.finditer(text):
+        parts = _PARTS.get(kind, lambda m: (m,))
+        for m in (part for found in pattern.finditer(text) for part in parts(found)):
             if any(a < m.end() and m.start() < b for a, b in taken):
                 continue
             made = work(f, m)
@@ -268,8 +307,8 @@ def pseudonyms(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     """One row a document: its identifier, the text with pseudonyms, and ``n_<kind>`` replaced.
 
     Defined cases: a null text gives an empty one; texts are read whole; values that fail validation stay as they are;
-    repeated rows and null identifiers are rows of their own; an empty table gives an empty result; other columns are
-    not read. ``key`` is a secret of at least 16 characters; the same key gives the same pseudonyms.
+    a card or bank number is found beside other numbers and words too; repeated rows and null identifiers are rows of
+    their own; an empty table gives an empty result; other columns are not read. ``key`` is a secret of at least 16 characters; the same key gives the same pseudonyms.
     """
     if len(key) < 16:
         raise ValueError("the key needs 16 characters")

@@ -173,6 +173,32 @@ def test_pseudonyms_keep_formats_and_links(spark, awkward, empty):
         pii.pseudonyms(empty, "short")
 
 
+CARD, CARD4, IBAN, IBAN4 = "4111111111111111", "4111 1111 1111 1111", "AT611904300234573201", "AT61 1904 3002 3457 3201"
+
+
+@pytest.mark.parametrize(("value", "text"), [
+    *((CARD, x) for x in ("{} 123", "12 {}", "{}-123", "12-{}", "7 {} 7", "{} 12 2025", "{} 4012888888881881", "{} 9.50")),
+    *((CARD4, x) for x in ("{} 12/25", "12 {}", "{} 123", "1 2 3 4 5 {}", "29/02/2024 {}", "123-45-6789 {}", "{} 1234567", "{}-1234567", "{} 1a")),
+    *((IBAN, x) for x in ("{} EUR", "AB12 {}", "{} EUR 12", "{} BANK AT99 1904")),
+    *((IBAN4, x) for x in ("{} EUR", "AB12 {}", "AB12 CDEF {} EURO", "{} {} EUR", "{} BIC BKAUATWW")), ("ES91 2100 0418 4502 0005 1332", "{} BBVA"), ("PL61109010140000071219812874", "{} PLN"), ("BE68 5390 0754 7034", "{} KBC"),
+])
+def test_numbers_beside_cards_and_ibans(value, text):
+    f = pii.Feistel(b"k" * 16)
+    alone, counts = pii.pseudonymize(value, f)
+    kind = "card" if value[0] == "4" else "iban"
+    assert alone != value and counts[kind] == 1
+    got, counts = pii.pseudonymize(text.format(*[value] * text.count("{}")), f)
+    assert value not in got and got.count(alone) == text.count("{}") and counts[kind] == text.count("{}") + ("40128" in text)
+    beside = text.format("", "").replace("4012888888881881", "").split()
+    assert "/" in text or "123-45" in text or all(x in got for x in beside)  # a date and an SSN get pseudonyms too
+
+
+def test_failed_numbers_stay():
+    f = pii.Feistel(b"k" * 16)
+    for text in ("4111111111111112 123", "12 4111 1111 1111 1112", "AT61 1904 3002 3457 3202 EUR", "4111111111111111a", "4111111111111111.5", "x4111111111111111"):
+        assert pii.pseudonymize(text, f)[0] == text
+
+
 # ---- 4
 
 
