@@ -15,7 +15,7 @@ from clauseframe.functions import text as X
 #: Example vectors that a task holds at most; more are searched in turns of so many.
 BLOCK_EXAMPLES = 50_000
 DIMENSIONS = 256
-#: Largest example table that is scored by Spark's own expressions, and longest list of keyword queries.
+#: Largest example table that is scored by Spark's own expressions, and keyword queries that a task holds at most; more are asked in turns.
 MOST_RELATIONAL, MOST_QUERIES = 1000, 10_000
 SIMILAR, PER_LABEL, LEAST_SCORE = 5, 2, 0.5
 Embedder = Callable[[list[str]], np.ndarray]
@@ -179,30 +179,40 @@ def examples_by_label(examples: DataFrame, requirement: str) -> DataFrame:
 
 
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank): by how many of a query's words a text contains. The queries are a short list, all texts are searched."""
-    rows = [(r["query_id"], list(dict.fromkeys((r["query"] or "").lower().split()))) for r in queries.select("query_id", "query").collect()]
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"{len(rows)} queries: ask {MOST_QUERIES} at a time")
-    words = sorted({w for _, ws in rows for w in ws})
-    number = {w: i for i, w in enumerate(words)}
-    held = np.zeros((len(words), len(rows)), dtype=np.int32)
-    for j, (_, ws) in enumerate(rows):
-        held[[number[w] for w in ws], j] = 1
+    """(query_id, doc_id, score, rank): by how many of a query's words a text contains. All texts are searched for all queries, in
+    blocks of about MOST_QUERIES of them: as many passes over the texts as blocks.
+    """
+    asked = queries.select("query_id", "query")
+    blocks = max(1, -(-asked.count() // MOST_QUERIES))
+    low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score int"
+    scored = None
+    for i in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)) == i)
+        hits = low.mapInPandas(_count_words([(r["query_id"], r["query"]) for r in part.collect()], docs.sparkSession), kinds)
+        scored = hits if scored is None else scored.unionByName(hits)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _count_words(rows: list[tuple], spark) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    holders: dict[str, list[int]] = {}  # the queries of each word: linear in their words, where a matrix would grow as a product
+    for j, (_, query) in enumerate(rows):
+        for w in dict.fromkeys((query or "").lower().split()):
+            holders.setdefault(w, []).append(j)
+    shared = spark.sparkContext.broadcast(([q for q, _ in rows], list(holders), [np.array(js) for js in holders.values()]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, words, held = shared.value
         for b in batches:
             out = []
             for one, body in zip(b["doc_id"], b["body"], strict=True):
-                hit = np.fromiter((w in body for w in words), dtype=bool, count=len(words))
-                scores = held[hit].sum(axis=0)
-                out += [(rows[j][0], one, int(scores[j])) for j in np.flatnonzero(scores)]
+                hit = [js for w, js in zip(words, held, strict=True) if w in body]
+                scores = np.bincount(np.concatenate(hit)) if hit else np.zeros(0, dtype=np.int64)
+                out += [(names[j], one, int(scores[j])) for j in np.flatnonzero(scores)]
             yield pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
 
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score int"
-    low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    scored = low.mapInPandas(run, kinds)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return run
 
 
 def index_stats(examples: DataFrame, kind: str = "example_type") -> DataFrame:

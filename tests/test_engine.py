@@ -91,6 +91,22 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert [r.example_id for r in retrieve.top_k(q, df, 3).orderBy("rank").collect()] == [29, 28, 27]
 
 
+def test_keyword_queries_in_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(12)]
+    asked = [(i, " ".join(words[i % 7 : i % 7 + 4]).upper()) for i in range(20)] + [(20, None), (None, "w1 w2"), (21, "w3 w3"), (21, "absent")]
+    bodies = [(d, " ".join(words[(d * j) % 12] for j in range(5))) for d in range(15)] + [(15, None)]
+    queries, docs = spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(bodies, "doc_id long, text string")
+    want = []
+    for q in {i for i, _ in asked}:
+        texts = [set((x or "").lower().split()) for i, x in asked if i == q]
+        got = sorted((-sum(w in (body or "") for w in ws), d) for ws in texts for d, body in bodies)
+        want += [(q, d, -s, r) for r, (s, d) in enumerate([x for x in got if x[0]][:3], 1)]
+    for most in (retrieve.MOST_QUERIES, 3):
+        monkeypatch.setattr(retrieve, "MOST_QUERIES", most)
+        assert sorted(map(tuple, retrieve.keyword_top_k(docs, queries, 3).collect()), key=str) == sorted(want, key=str)
+    assert retrieve.keyword_top_k(docs, queries.limit(0), 3).count() == 0
+
+
 def test_few_shots(spark, passages):
     notes = "array<struct<requirement:string,value:string,performed:boolean>>"
     ex = spark.createDataFrame(
