@@ -15,13 +15,9 @@ SHARDS = 8
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal row counts (law ``rows``), in uniform random order."""
-    docs = table(spark, sf_dir, "documents")
-    sized = docs.select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-    )
-    placed = sharding.shard_rows(sized, SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)  # whole documents; what follows is read from the shards
+    size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 #: The chain's order: junk first, as it changes what words look like, then toxic.

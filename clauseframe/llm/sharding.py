@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import columns, materialize
+from clauseframe.llm.common import columns, materialize, small_batches
 
 #: Rows of a block of slots at most: what one task sorts.
 BLOCK_ROWS = 1 << 15
+#: Bytes of a block that are aimed at, at most: rows fall into blocks at random, so blocks have about the mean's multiple.
+BLOCK_BYTES = 64 << 20
 #: Above this many rows numpy has no hypergeometric draw; the sum below takes over.
 NUMPY_MOST = 900_000_000
 
@@ -81,6 +83,20 @@ def blocks_of(sizes: list[int], block_rows: int) -> tuple[np.ndarray, np.ndarray
     return np.array(shard), np.array(first), np.array(room, dtype=np.int64)
 
 
+def _bytes_of(df: DataFrame, names: list[str]) -> Column:
+    """About how many bytes a row has."""
+    size = F.lit(16)
+    for c in names:
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+        else:
+            size = size + 8
+    return size.cast("long")
+
+
 def shard_rows(df: DataFrame, shards: int, seed: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard); sizes differ by one row at most.
 
@@ -89,20 +105,25 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 1, block_rows: int = BLOC
     ``shard`` or ``slot`` are replaced.
 
     Defined cases: nulls in any column are carried along; repeated rows each get a slot of their own; with fewer rows
-    than shards some shards are empty; an empty table gives an empty result.
+    than shards some shards are empty; an empty table gives an empty result; the longer the rows, the fewer to a block
+    (BLOCK_BYTES), and a row is never split.
     """
+    small_batches(df.sparkSession)
     own = [c for c in df.columns if c not in ("shard", "slot")]
     numbered = materialize(
         df.select(
             F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"),
             F.spark_partition_id().alias("__src"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__pos"),
+            _bytes_of(df, own).alias("__bytes"),
         ),
         "sharding",
     )
-    # One number for each source partition.
-    found = {r["__src"]: r["count"] for r in numbered.groupBy("__src").count().collect()}
+    # Two numbers for each source partition.
+    found = {r["__src"]: r for r in numbered.groupBy("__src").agg(F.count("*").alias("n"), F.sum("__bytes").alias("bytes")).collect()}
     sources = sorted(found)
-    counts = np.array([found[s] for s in sources], dtype=np.int64)
+    counts = np.array([found[s]["n"] for s in sources], dtype=np.int64)
+    if found:
+        block_rows = max(1, min(block_rows, int(BLOCK_BYTES * counts.sum() // sum(r["bytes"] for r in found.values()))))
     index = {s: i for i, s in enumerate(sources)}
     shard, first, room = blocks_of(shard_sizes(int(counts.sum()), shards), block_rows)
 
@@ -122,7 +143,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 1, block_rows: int = BLOC
             yield pd.DataFrame({"__src": src, "__pos": pos, "__block": block, "__shard": shard[block].astype(np.int32), "__first": first[block]})
 
     places = columns(__src="int", __pos="long", __block="int", __shard="int", __first="long")
-    dealt = _with_row(numbered, deal, places)
+    dealt = _with_row(numbered.drop("__bytes"), deal, places).repartitionById(len(room), F.col("__block"))  # a task for each block
     w = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed), "__src", "__pos"), "__src", "__pos")
     placed = dealt.withColumn("__slot", F.col("__first") + F.row_number().over(w) - 1)
     return placed.select(*(F.col("__row").getField(c).alias(c) for c in own), F.col("__shard").alias("shard"), F.col("__slot").cast("long").alias("slot"))

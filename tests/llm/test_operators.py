@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, components, exact_dedup, mixing, near_dedup, pieces, pii, quality, sharding, toxicity, url_filter
+from clauseframe.llm import chat, common, components, exact_dedup, mixing, near_dedup, pieces, pii, quality, sharding, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot string, __x long"
@@ -58,6 +58,19 @@ def test_shards_are_exact_and_gapless(spark, awkward, empty):
         assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter((i, t) for i, t, _ in AWKWARD if n)
 
 
+def test_blocks_have_bounded_bytes(spark, monkeypatch):
+    seen = []
+    blocks_of = sharding.blocks_of
+    monkeypatch.setattr(sharding, "blocks_of", lambda sizes, rows: seen.append(rows) or blocks_of(sizes, rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
+    df = table(spark, [(i, "x" * 50_000, "x") for i in range(60)]).repartition(2)
+    monkeypatch.setattr(sharding, "BLOCK_BYTES", 500_000)
+    got = sharding.shard_rows(df, 3).collect()
+    assert seen == [9] and sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(3) for i in range(20)]
+    assert all(r.text == "x" * 50_000 for r in got) and sorted(r.doc_id for r in got) == list(range(60))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == common.BATCH_BYTES
+
+
 def test_matrix_has_exact_margins_and_the_right_law():
     counts, room = np.array([3, 0, 5, 4]), np.array([4, 4, 4])
     rows = np.array([sharding.matrix_row(counts, room, i, 7) for i in range(4)])

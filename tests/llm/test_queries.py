@@ -2,10 +2,11 @@
 
 import collections
 import re
+import zlib
 
 import pytest
 
-from clauseframe.llm import mixing, queries
+from clauseframe.llm import mixing, queries, sharding
 from clauseframe.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +23,16 @@ def test_queries_cover_their_tables(spark, name):
         assert found.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1
 
 
+def test_whole_documents_are_sharded(spark, monkeypatch):
+    seen, work = [], sharding.shard_rows
+    monkeypatch.setattr(sharding, "shard_rows", lambda df, *a: seen.append(df.columns) or work(df, *a))
+    got = queries.op1_sharding(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert seen == [docs.columns]
+    want = {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got.collect()} == want
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
