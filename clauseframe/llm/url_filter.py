@@ -188,10 +188,13 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked", rows: int = TRAIN_ROWS, seed: int = 1) -> UrlModel:
-    """Fit on at most ``rows`` labelled URLs, the first by a hash of the URL; rows without URL or label are passed over."""
+    """Fit on at most ``rows`` labelled URLs, the first by a hash of the URL; rows without URL or label are passed over.
+
+    Copies of a URL with the same label count once, so a frequent URL doesn't take the places of others.
+    """
     url = F.col(f"`{url_col}`")
     picked = labelled.select(url.alias("u"), host_of(url).alias("h"), path_of(url).alias("p"), F.col(f"`{blocked_col}`").cast("boolean").alias("b"))
-    got = picked.where("u IS NOT NULL AND b IS NOT NULL").orderBy(F.xxhash64(F.lit(seed), "u"), "u", "b").limit(rows).collect()
+    got = picked.where("u IS NOT NULL AND b IS NOT NULL").dropDuplicates(["u", "b"]).orderBy(F.xxhash64(F.lit(seed), "u"), "u", "b").limit(rows).collect()
     return UrlModel.fit([(r["u"], r["h"], r["p"]) for r in got], [r["b"] for r in got])
 
 

@@ -524,5 +524,13 @@ def test_trees_learn_lexical_labels(spark):
     assert {r.verdict for r in url_filter.judge(df, [], none).collect()} == {"allow"}
 
 
+def test_frequent_url_leaves_places_to_others(spark):
+    urls = spark.createDataFrame([(f"http://site{i}.com/p", i % 3 == 0) for i in range(200)], "url string, blocked boolean")
+    hot = urls.orderBy(F.xxhash64(F.lit(1), "url")).first()  # its copies would come first
+    copies = spark.range(300).select(F.lit(hot.url).alias("url"), F.lit(hot.blocked).alias("blocked"))
+    alone, crowded = (url_filter.train(t, rows=100) for t in (urls, urls.unionByName(copies)))
+    assert crowded.suffixes == alone.suffixes and crowded.suffixes["com"][0] == 100 and 0 < crowded.share < 1
+
+
 def test_crc_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.encode(F.lit("é x"), "UTF-8"))).first()[0] == zlib.crc32("é x".encode())
