@@ -57,6 +57,7 @@ def top_k(
 ) -> DataFrame:
     """(query_id, example_id, score, rank, *by): the k best examples of each query by dot product, ties by example id.
 
+    A query is compared with the examples whose vectors are as long as its own; null vectors match nothing.
     Examples are searched in blocks of a bounded number of vectors, one matrix product for each batch of queries; only
     the k best of each block leave it, so rows grow with queries and blocks, not with pairs. ``by``: columns of the examples to
     search separately.
@@ -75,25 +76,27 @@ def top_k(
 
 
 def _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_self, id_kind, examples) -> DataFrame:
-    order = rows.sort_values("__e", kind="stable").reset_index(drop=True)
-    width = max((len(v) for v in order["__v"] if v is not None), default=1)
-    known = order["__v"].map(lambda v: v is not None and len(v) == width)
-    order = order[known].reset_index(drop=True)
-    matrix = np.array([np.asarray(v, dtype=np.float64) for v in order["__v"]]).reshape(len(order), width)
-    groups = [g.index.to_numpy() for _, g in order.groupby(by, dropna=False, sort=False)] if by else [np.arange(len(order))]
-    shared = queries.sparkSession.sparkContext.broadcast((matrix, order.drop(columns="__v"), groups))
+    order = rows[rows["__v"].notna()].sort_values("__e", kind="stable")
+    held = {}  # a query meets the examples of its own length
+    for width, same in order.groupby(order["__v"].map(len)):
+        same = same.reset_index(drop=True)
+        matrix = np.array([np.asarray(v, dtype=np.float64) for v in same["__v"]]).reshape(len(same), width)
+        groups = [g.index.to_numpy() for _, g in same.groupby(by, dropna=False, sort=False)] if by else [np.arange(len(same))]
+        held[width] = matrix, same.drop(columns="__v"), groups
+    shared = queries.sparkSession.sparkContext.broadcast(held)
     kinds = ", ".join([f"query_id {queries.schema[query_id].dataType.simpleString()}", f"example_id {id_kind}", "score double"] + [f"`{c}` {examples.schema[c].dataType.simpleString()}" for c in by])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        matrix, names, groups = shared.value
+        held = shared.value
         for b in batches:
             for start in range(0, len(b), 256):
                 part = b.iloc[start : start + 256]
                 ids, vectors = part["__q"].tolist(), part["__v"].tolist()
                 out = []
                 for q, v in zip(ids, vectors, strict=True):
-                    if v is None or len(v) != matrix.shape[1] or not len(matrix):
+                    if v is None or len(v) not in held:
                         continue
+                    matrix, names, groups = held[len(v)]
                     scores = matrix @ np.asarray(v, dtype=np.float64)
                     for g in groups:
                         s = scores[g]

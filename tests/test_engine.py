@@ -91,6 +91,16 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert [r.example_id for r in retrieve.top_k(q, df, 3).orderBy("rank").collect()] == [29, 28, 27]
 
 
+def test_top_k_of_mixed_lengths(spark):
+    kind = "example_id long, label string, embedding array<float>"
+    rows = [(i, "ab"[i % 2], [float(i), 1.0]) for i in range(6)] + [(6, "a", [9.0, 9.0, 9.0]), (7, "b", None), (8, "a", [])]
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0]), (3, None)], "query_id long, embedding array<float>")
+    df = spark.createDataFrame(rows, kind)
+    assert sorted((r.query_id, r["rank"], r.example_id) for r in retrieve.top_k(q, df, 2).collect()) == [(0, 1, 5), (0, 2, 4), (1, 1, 6)]
+    assert sorted((r.query_id, r.label, r.example_id) for r in retrieve.top_k(q, df, 1, by=["label"]).collect()) == [(0, "a", 4), (0, "b", 5), (1, "a", 6)]
+    assert retrieve.top_k(q, df.limit(0), 2).count() == 0
+
+
 def test_keyword_queries_in_blocks(spark, monkeypatch):
     words = [f"w{i}" for i in range(12)]
     asked = [(i, " ".join(words[i % 7 : i % 7 + 4]).upper()) for i in range(20)] + [(20, None), (None, "w1 w2"), (21, "w3 w3"), (21, "absent")]
