@@ -96,7 +96,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
         like = above * np.log(np.maximum(p, tiny)) + below * np.log(np.maximum(q, tiny)) + equal * np.log(np.maximum(1 - p - q, tiny))
         best = np.take_along_axis(j, like.argmax(axis=1)[:, None], axis=1)
         j = np.clip(best + np.linspace(-1, 1, 33)[None, :] * most / 64, 0, most * (1 - 1e-9))
-    return np.take_along_axis(j, like.argmax(axis=1)[:, None] if like.shape[1] == j.shape[1] else np.full((len(a), 1), 16), axis=1)[:, 0]
+    return best[:, 0]
 
 
 def _promise(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:

@@ -383,6 +383,20 @@ def test_sketches_merge_and_estimate():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.07
 
 
+def test_estimate_is_the_likeliest():
+    rng = np.random.default_rng(10)
+    na, nb = rng.integers(300, 600, 200).astype(float), rng.integers(300, 600, 200).astype(float)
+    a = rng.integers(0, 3, (200, near_dedup.REGISTERS))
+    b = np.where(rng.random(a.shape) < 0.75, a, rng.integers(0, 3, a.shape))
+    got = near_dedup.estimate(a, b, na, nb)
+    for i in range(200):
+        above, below, u = (a[i] > b[i]).sum(), (a[i] < b[i]).sum(), na[i] / (na[i] + nb[i])
+        j = np.linspace(0, min(u / (1 - u), (1 - u) / u) * (1 - 1e-9), 20_001)
+        p, q = (-np.log1p(-np.maximum(x, 0) * (near_dedup.BASE - 1) / near_dedup.BASE) / np.log(near_dedup.BASE) for x in (u - (1 - u) * j, 1 - u - u * j))
+        like = above * np.log(np.maximum(p, 1e-12)) + below * np.log(np.maximum(q, 1e-12)) + (len(a[i]) - above - below) * np.log(np.maximum(1 - p - q, 1e-12))
+        assert abs(got[i] - j[like.argmax()]) < 1 / 900  # the last round's step is 1/1024
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(10)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(4000, 4100)]
