@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +91,19 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def first_by_hash(df: DataFrame, key: Column, rows: int, seed: int) -> DataFrame:
+    """At most ``rows`` of the table's distinct rows: the first by a hash of ``key``, then by all columns.
+
+    A bound on the hash, from the number of keys, leaves about twice as many to be sorted, so that no partition passes
+    on more than its part of these. Equal rows count once, so a frequent key doesn't take the places of others.
+    """
+    keys = df.agg(F.approx_count_distinct(key)).first()[0]
+    h = F.xxhash64(F.lit(seed), key)
+    if keys > 2 * rows:
+        df = df.where(h < -(1 << 63) + (2 * rows << 64) // keys)
+    return df.dropDuplicates().orderBy(h, *df.columns).limit(rows)
+
+
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 
 
@@ -103,6 +118,22 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
+def handing_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after which the worker gives the memory it doesn't need to the system: workers are kept for later tasks
+    of any kind, and an executor's limit counts what they all hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[str]], pd.DataFrame], schema: T.StructType, chunk_chars: int = 2_000_000, carry: bool = False) -> DataFrame:
     """``work`` on the whole texts (null as empty) of every row, some at a time; the identifier goes along untouched.
 
@@ -127,4 +158,4 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[list[st
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(start, i + 1 - start), *made.columns], names=out.fieldNames())
                     start, chars = i + 1, 0
 
-    return df.select(first, *([] if carry else [F.col(f"`{text_col}`").alias("__text")])).mapInArrow(run, out)
+    return df.select(first, *([] if carry else [F.col(f"`{text_col}`").alias("__text")])).mapInArrow(handing_back(run), out)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import columns, drop_table, materialize, small_batches
+from clauseframe.llm.common import columns, drop_table, handing_back, materialize, small_batches
 from clauseframe.llm.components import components
 
 WORDS, SIMILARITY = 5, (75, 100)
@@ -33,8 +33,8 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.05, 20.0, 2**16 - 2
 #: A pair is compared in full unless its estimate is so many deviations below the threshold.
 DEVIATIONS = 5.0
-#: Members of a block; words of the texts that are worked on at once.
-BLOCK, CHUNK_CHARS = 256, 2_000_000
+#: Members of a block and bytes of their sets, at most; characters of the texts that are worked on at once.
+BLOCK, BLOCK_BYTES, CHUNK_CHARS = 4096, 32 << 20, 1_000_000
 #: Bits of a filter of classes, as a power of two at most (64 MB), and bits that it sets for each.
 FILTER_BITS, PROBES = 29, 4
 _ODD = np.random.default_rng(20240229).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,7 +132,7 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, i + 1 - start) for c in range(b.num_columns)), *made], names=out.fieldNames())
                 start, chars = i + 1, 0
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(handing_back(run), out)
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -189,9 +189,9 @@ def _filter_of(nodes: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mark"])
 
     bits = min(FILTER_BITS, max(16, math.ceil(math.log2(max(1, nodes.count()) * 16))))
-    got = nodes.select("node").mapInArrow(run, columns(word="long", mark="long")).groupBy("word").agg(F.bit_or("mark").alias("mark")).toPandas()
+    got = nodes.select("node").mapInArrow(run, columns(word="long", mark="long")).groupBy("word").agg(F.bit_or("mark").alias("mark")).toArrow()
     words = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    words[got["word"].to_numpy()] = got["mark"].to_numpy().view(np.uint64)
+    words[got.column("word").to_numpy()] = got.column("mark").to_numpy().view(np.uint64)
     return bits, words
 
 
@@ -215,18 +215,21 @@ def _sets(sketches: DataFrame, nodes: DataFrame, text: Column) -> DataFrame:
                 sets = shingle_sets(["" if x is None else x for x in b.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=out.fieldNames())
 
-    return sketches.where("n > 0").select(F.col("__key").alias("node"), text.alias("__text")).mapInArrow(run, out)
+    made = materialize(sketches.where("n > 0").select(F.col("__key").alias("node"), text.alias("__text")).mapInArrow(handing_back(run), out), "near-sets")
+    shared.destroy()
+    return made
 
 
 def _blocks(open_: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Links (a, b) that join different components of one bucket's members (bucket, band, node, comp, n, regs, members).
 
-    Members of a large bucket are dealt to parts, and every two parts meet in a block of their own. In a block a pair
-    is compared in full if the sketches allow a link, this is the first band in which both agree, and no link found
-    in the block so far has joined their components; so what comes out is a forest, not all pairs.
+    Members of a bucket larger than a block are dealt to parts, and every two parts meet in a block of their own. In a
+    block a pair is compared in full if the sketches allow a link, this is the first band in which both agree, and no
+    link found in the block so far has joined their components; so what comes out is a forest, not all pairs.
     """
     share, (least, most) = similarity[0] / similarity[1], similarity
-    size = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    size = open_.groupBy("bucket").agg(parts.alias("parts"))
     dealt = open_.join(size, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocks = dealt.withColumn("other", other).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
@@ -308,7 +311,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.col("__row").getField(text_col) if carry else F.col("__text")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return materialize(_sets(sketches, materialize(nodes.distinct(), "near-nodes"), text), "near-sets")
+        wanted = materialize(nodes.distinct(), "near-nodes")
+        made = _sets(sketches, wanted, text)
+        drop_table(wanted)
+        return made
 
     # First each class with its most promising partner, to join what is easily joined; then only what is still apart.
     ends = near.select("a", "b", F.explode(F.array("a", "b")).alias("end"), "promise")
@@ -323,9 +329,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     rest = _verify(apart(near.select("a", "b")).join(best, ["a", "b"], "left_anti"), sets, similarity)
-    links = links.unionByName(materialize(rest, "near-links"))
+    rest = materialize(rest, "near-links")
     drop_table(sets)
-    comps = materialize(components(links), "near-components")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components when some links join those found so far."""
+        return materialize(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "near-components")
+
+    comps = joined(rest)
     # In buckets of up to three, the stars have met all pairs. Of the others, those that still hold several components are open.
     labelled = members.where("size > 3").select("bucket", "band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
@@ -333,7 +344,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sets = sets_of(open_.select("node"))
     more = materialize(_blocks(open_.join(sets, "node"), similarity), "near-links")
     drop_table(sets)
-    comps = materialize(components(links.unionByName(more)), "near-components")
+    comps = joined(more)
     for done in (members, open_, near):
         drop_table(done)
 
