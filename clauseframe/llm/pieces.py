@@ -26,14 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import columns, materialize, small_batches
+from clauseframe.llm.common import columns, handing_back, materialize, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words that are folded once for all tasks, at most; longest word that a 64-bit mask holds.
 HEAD_WORDS, MASK_CHARS = 200_000, 60
 #: Words a task remembers besides; words that it counts before it passes them on.
-CACHE_WORDS, COUNT_WORDS = 300_000, 500_000
+CACHE_WORDS, COUNT_WORDS = 200_000, 300_000
 _NONE = float("-inf")
 _ENDS = "\n\t\r\x0b\x0c"
 
@@ -175,7 +175,8 @@ class Vocabulary:
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    return spark.createDataFrame([(p, i, s) for p, (i, s) in v.pieces.items()], "piece string, id int, score double")
+    ids, scores = zip(*v.pieces.values(), strict=True) if v.pieces else ((), ())
+    return spark.createDataFrame(pa.table({"piece": pa.array(list(v.pieces), pa.string()), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64())}))
 
 
 def lattice(words: DataFrame, v: Vocabulary) -> DataFrame:
@@ -267,7 +268,7 @@ def head_words(df: DataFrame, v: Vocabulary, text_col: str = "text", most: int =
                         yield flush()
         yield flush()
 
-    counted = df.select(F.col(f"`{text_col}`").alias("__text")).mapInArrow(count, columns(word="string", n="long")).groupBy("word").agg(F.sum("n").alias("n"))
+    counted = df.select(F.col(f"`{text_col}`").alias("__text")).mapInArrow(handing_back(count), columns(word="string", n="long")).groupBy("word").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "pieces-words")
     # How many words occur how often, in powers of 2 ** (1 / 8): a few hundred rows.
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -285,6 +286,17 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype=np.int32).tobytes()
 
 
+def _packed_words(found: DataFrame, v: Vocabulary) -> DataFrame:
+    """(word, ids): ids as bytes, characters that are no piece as the model writes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [_packed([x for i in row for x in ((i,) if i >= 0 else v.other(chr(-1 - i)))]) for row in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    return found.mapInArrow(run, T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.BinaryType())]))
+
+
 def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD_WORDS) -> DataFrame:
     """One row a document: its identifier, ``ids``, ``n_tokens`` and ``decoded``, the text read back from the ids.
 
@@ -294,26 +306,31 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
     """
     small_batches(df.sparkSession)
     spark = df.sparkSession
-    got = folded(head_words(df, v, text_col, head), v).toPandas()  # at most HEAD_WORDS rows
-    table = {w: _packed([x for i in ids for x in ([int(i)] if i >= 0 else v.other(chr(-1 - int(i))))]) for w, ids in zip(got["word"], got["ids"], strict=True)}
-    shared = spark.sparkContext.broadcast((v, table))
+    got = _packed_words(folded(head_words(df, v, text_col, head), v), v).toArrow()  # at most ``head`` rows, about 30 bytes each
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, got.schema) as writer:
+        writer.write_table(got)
+    shared = spark.sparkContext.broadcast((v, sink.getvalue().to_pybytes()))
+    del got, sink
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *columns(ids="int[]", n_tokens="long", decoded="string")])
     known: dict[str, bytes] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, table = shared.value
-        known.update(table)
+        v, stream = shared.value
+        head = pa.ipc.open_stream(stream).read_all()
+        fill = lambda: known.update(zip(*(c.to_pylist() for c in head.columns), strict=True))
+        fill()
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
+            for i in range(0, whole.num_rows, 200):
+                b = whole.slice(i, 200)
                 made: list[bytes] = []
                 for text in b.column(1).to_pylist():
                     words = v.words(text or "")
                     hits = list(map(known.get, words))
                     if None in hits:
-                        if len(known) >= len(table) + CACHE_WORDS:
+                        if len(known) >= head.num_rows + CACHE_WORDS:
                             known.clear()
-                            known.update(table)
+                            fill()
                         for k, hit in enumerate(hits):
                             if hit is None:
                                 hits[k] = known.get(words[k]) or known.setdefault(words[k], _packed(v.fold(words[k])))
@@ -324,8 +341,9 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 texts = pa.array([v.decode(flat[x:y].tolist()) for x, y in pairwise(ends.tolist())], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes), texts], names=out.fieldNames())
+        known.clear()
 
-    return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, out)
+    return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(handing_back(run), out)
 
 
 def decode(df: DataFrame, v: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
