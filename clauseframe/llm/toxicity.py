@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauseframe.llm.common import columns, map_texts, small_batches
+from clauseframe.llm.common import columns, first_by_hash, map_texts, small_batches
 
 #: Labelled documents that the models are fitted on, at most: half for each value of the last category.
 TRAIN_ROWS = 5_000
+#: Longest text that is trained on: it bounds what the fitting task holds. All texts are scored, whole.
+TRAIN_CHARS = 50_000
 #: Features that stay, at most: those whose presence tells most of any category; documents that must hold one.
 FEATURES, LEAST_DOCS = 4_000, 3
 FOLDS, ROUNDS = 3, 300
@@ -193,17 +195,20 @@ def train(
     documents: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, seed: int = 1
 ) -> Chain:
     """Fit on at most ``rows`` labelled documents, the first by a hash of their identifier, half of them of each value of the last
-    category if there are so many. ``labels`` has the identifier and one column of 0 and 1 for each category; rows with a
-    null in it, and documents without text, are passed over; of several labels of one document one counts."""
+    category if there are so many, of texts of at most TRAIN_CHARS characters. ``labels`` has the identifier and one column
+    of 0 and 1 for each category; rows with a null in it, and documents without text, are passed over. Of several labels
+    of one document the larger counts in each category; of several texts the smallest."""
     small_batches(documents.sparkSession)
     last = categories[-1]
     kinds = {c: F.col(f"`{c}`").cast("int") for c in categories}
-    clean = labels.select(F.col(f"`{id_col}`").alias("__id"), *(k.alias(c) for c, k in kinds.items())).dropna().dropDuplicates(["__id"])
-    half = lambda v: clean.where(F.col(f"`{last}`") == v).orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(rows // 2)
+    clean = labels.select(F.col(f"`{id_col}`").alias("__id"), *(k.alias(c) for c, k in kinds.items())).dropna()
+    clean = clean.groupBy("__id").agg(*(F.max(f"`{c}`").alias(c) for c in categories))
+    half = lambda v: first_by_hash(clean.where(F.col(f"`{last}`") == v), F.col("__id"), rows // 2, seed)
     # At most ``rows`` narrow rows.
     picked = F.broadcast(half(1).unionByName(half(0)))
-    text = documents.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where("__text IS NOT NULL")
-    met = text.join(picked, "__id")
+    text = documents.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).where(F.length("__text") <= TRAIN_CHARS)
+    one = text.join(picked, "__id").groupBy("__id").agg(F.min(F.struct("__text", *(F.col(f"`{c}`") for c in categories))).alias("__one"))
+    met = one.select("__id", F.col("__one.__text").alias("__text"), *(F.col("__one").getField(c).alias(c) for c in categories))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,7 +218,7 @@ def train(
     out = T.StructType([met.schema["__id"], *columns(features="int[]"), *(T.StructField(c, T.IntegerType()) for c in categories)])
 
     def fit(got: pd.DataFrame) -> pd.DataFrame:
-        got = got.drop_duplicates("__id").sort_values("__id").reset_index(drop=True)
+        got = got.sort_values("__id").reset_index(drop=True)
         chain = fit_chain([np.asarray(f, dtype=np.int32) for f in got["features"]], got[categories].to_numpy(dtype=float), categories)
         return pd.DataFrame({"chain": [pickle.dumps(chain)]})
 
