@@ -2,7 +2,8 @@
 
 The trees are fitted on the driver from a bounded, hash-ordered sample of labelled URLs: second-order boosting of the
 logistic loss over binned features. Features are lengths, depth, digit ratio, entropy, counts of parameters and marks,
-and what the labelled URLs say of a host's suffixes; a training row's own label is left out of its suffix statistics.
+and what the labelled URLs say of a host's suffixes. The labels of a training row's whole host are left out of its own
+suffix statistics, so the trees learn how far suffixes tell of hosts that no label names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clauseframe.llm.common import first_by_hash
+
 #: Labelled URLs that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_HESSIAN, RIDGE = 60, 4, 0.2, 32, 5.0, 1.0
@@ -160,24 +163,27 @@ class UrlModel:
         if not urls:
             return cls(Trees(), 0.0, {})
         y = np.array(blocked, dtype=float)
-        n, b = Counter(), Counter()
+        n, b, hosts, bad = Counter(), Counter(), Counter(), Counter()
         for (_, host, _), v in zip(urls, blocked, strict=True):
-            for s in _suffixes(host):
+            hosts[host] += 1
+            bad[host] += bool(v)
+            for s in set(_suffixes(host)):
                 n[s] += 1
                 b[s] += bool(v)
         made = cls(Trees(), float(y.mean()), {s: (n[s], b[s]) for s in n})
-        x = made.features(urls, y)
+        x = made.features(urls, {h: (hosts[h], bad[h]) for h in hosts})
         made.trees.fit(x, y)
         return made
 
-    def features(self, urls: list[tuple[str, str, str]], own: np.ndarray | None = None) -> np.ndarray:
+    def features(self, urls: list[tuple[str, str, str]], own: dict[str, tuple[int, int]] | None = None) -> np.ndarray:
+        """own: (labelled, blocked) by host, of hosts whose labels are to be left out of their own features."""
         rows = []
-        for i, (url, host, path) in enumerate(urls):
+        for url, host, path in urls:
             row = _lexical(url, host, path)
+            less, bad = own.get(host, (0, 0)) if own else (0, 0)
             for s in _suffixes(host):
                 n, b = self.suffixes.get(s, (0, 0))
-                if own is not None:
-                    n, b = n - 1, b - own[i]
+                n, b = n - less, b - bad
                 row.append((b + PRIOR * self.share) / (n + PRIOR))
             rows.append(row)
         return np.array(rows, dtype=np.float64).reshape(len(rows), len(FEATURES))
@@ -194,7 +200,7 @@ def train(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked
     """
     url = F.col(f"`{url_col}`")
     picked = labelled.select(url.alias("u"), host_of(url).alias("h"), path_of(url).alias("p"), F.col(f"`{blocked_col}`").cast("boolean").alias("b"))
-    got = picked.where("u IS NOT NULL AND b IS NOT NULL").dropDuplicates(["u", "b"]).orderBy(F.xxhash64(F.lit(seed), "u"), "u", "b").limit(rows).collect()
+    got = first_by_hash(picked.where("u IS NOT NULL AND b IS NOT NULL"), F.col("u"), rows, seed).collect()
     return UrlModel.fit([(r["u"], r["h"], r["p"]) for r in got], [r["b"] for r in got])
 
 
