@@ -2,9 +2,9 @@
 
 Sampled splitters range-partition the bytes of the normalised texts, an external sort inside each range puts
 equal texts next to each other, and each text is compared in full with its neighbour. Spark samples the
-splitters; their key is (first bytes, hash of all bytes, identifier), so a splitter is small however long the
-texts are, and a group of copies of any size is cut at identifiers into as many ranges as its rows need. The
-runs that touch the edge of a range are at most a few for each range; they are put together by their full text.
+splitters; their key is (first bytes, hash of all bytes, identifier, number of the row), so a splitter is small
+however long the texts are, and a group of copies of any size is cut into as many ranges as its rows need. Runs that
+touch the edge of a range are put together by their full text, and their rows joined to what that gives.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from clauseframe.llm.common import materialize, small_batches
+from clauseframe.llm.common import handing_back, materialize, small_batches
 
 #: Bytes of a text that take part in a splitter.
 PREFIX_BYTES = 64
@@ -117,39 +117,31 @@ def exact_groups(
     inside = df.columns.index(text_col) if carry and normalize is None else None  # one copy of a text is enough to move
     rows = df.select(
         F.col(f"`{id_col}`").alias("__id"), *([] if inside is not None else [text.alias("__text")]), F.sha2(text, 256).alias("__sha"),
-        F.substring(F.encode(text, "UTF-8"), 1, PREFIX_BYTES).alias("__prefix"), F.xxhash64(text).alias("__hash"),
+        F.substring(F.encode(text, "UTF-8"), 1, PREFIX_BYTES).alias("__prefix"), F.xxhash64(text).alias("__hash"), F.monotonically_increasing_id().alias("__n"),
         *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")] if carry else []),
     )
     body = F.col("__text") if inside is None else F.coalesce(F.col("__row").getField(text_col), F.lit(""))
     # The row to keep comes last.
     last = F.col("__id").asc_nulls_first() if keep == "largest" else F.col("__id").desc_nulls_first()
-    ranged = rows.repartitionByRange("__prefix", "__hash", last).sortWithinPartitions("__prefix", "__hash", body, last)
+    ranged = rows.repartitionByRange("__prefix", "__hash", last, "__n").sortWithinPartitions("__prefix", "__hash", body, last).drop("__n")
     id_type = rows.schema["__id"].dataType
     schema = T.StructType([
         T.StructField("__id", id_type), T.StructField("__sha", T.StringType()), T.StructField("keep_id", id_type), T.StructField("group_size", T.LongType()),
         T.StructField("__last", T.BooleanType()), T.StructField("__part", T.IntegerType()), T.StructField("__run", T.LongType()),
         T.StructField("__run_size", T.LongType()), T.StructField("__edge_text", T.StringType()), *([T.StructField("__row", rows.schema["__row"].dataType)] if carry else []),
     ])
-    scanned = materialize(ranged.mapInArrow(_scan(schema, carry, inside), schema), "exact-dedup")
-    # At most a few runs a range touch its edges: bounded by the number of ranges, so they can be broadcast.
-    edges = (
-        scanned.where("__edge_text IS NOT NULL")
-        .groupBy("__edge_text")
-        .agg(
-            F.sum("__run_size").alias("__n"),
-            F.max(F.struct("__part", "__run", "__id")).alias("__best"),
-            F.collect_list(F.struct("__part", "__run")).alias("__runs"),
-        )
-        .select("__n", F.col("__best.__id").alias("__keep"), F.col("__best.__part").alias("__kp"), F.col("__best.__run").alias("__kr"), F.explode("__runs").alias("__r"))
-        .select("__n", "__keep", "__kp", "__kr", F.col("__r.__part").alias("__part"), F.col("__r.__run").alias("__run"))
-    )
-    edge = F.col("__run").isNotNull()
-    return scanned.join(F.broadcast(edges), ["__part", "__run"], "left").select(
-        "__id", F.when(edge, F.col("__keep")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.when(edge, F.col("__n")).otherwise(F.col("group_size")).alias("group_size"),
-        (F.col("__last") & (~edge | ((F.col("__part") == F.col("__kp")) & (F.col("__run") == F.col("__kr"))))).alias("kept"),
-        F.col("__sha").alias("text_sha256"), *(["__row"] if carry else []),
-    )
+    scanned = materialize(ranged.mapInArrow(handing_back(_scan(schema, carry, inside)), schema), "exact-dedup")
+    # Only rows of runs at edges need the join: a few runs a range, and the ranges of copies that fill several.
+    edge = scanned.where("__run IS NOT NULL")
+    runs = edge.where("__edge_text IS NOT NULL").select("__edge_text", "__part", "__run", "__run_size", "__id")
+    texts = runs.groupBy("__edge_text").agg(F.sum("__run_size").alias("__n"), F.max(F.struct("__part", "__run", "__id")).alias("__best"))
+    met = runs.select("__edge_text", "__part", "__run").join(texts, "__edge_text").select("__part", "__run", "__n", "__best")
+    best = F.col("__best")
+    found = edge.join(met, ["__part", "__run"]).withColumns({
+        "keep_id": best["__id"], "group_size": F.col("__n"), "__last": F.col("__last") & (F.col("__part") == best["__part"]) & (F.col("__run") == best["__run"]),
+    })
+    out = ["__id", "keep_id", "group_size", F.col("__last").alias("kept"), F.col("__sha").alias("text_sha256"), *(["__row"] if carry else [])]
+    return scanned.where("__run IS NULL").select(*out).unionByName(found.select(*out))
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalize: Column | None = None) -> DataFrame:
