@@ -23,6 +23,8 @@ from clauseframe.llm.common import columns, materialize, small_batches
 
 #: Rows of a block of slots at most: what one task sorts.
 BLOCK_ROWS = 1 << 15
+#: Blocks at most, for which blocks may be larger: a task draws a number for each block at each level of the tree.
+MOST_BLOCKS = 1 << 16
 #: Bytes of a block that are aimed at, at most: rows fall into blocks at random, so blocks have about the mean's multiple.
 BLOCK_BYTES = 64 << 20
 #: Above this many rows numpy has no hypergeometric draw; the sum below takes over.
@@ -48,12 +50,11 @@ def _draw(room: np.ndarray, drawn: int, rng: np.random.Generator) -> np.ndarray:
     """How many of ``drawn`` rows each target gets, targets having ``room`` slots in all."""
     if room.sum() < NUMPY_MOST:
         return rng.multivariate_hypergeometric(room, drawn, method="marginals")
-    out, rest = np.zeros_like(room), int(room.sum())
-    for j, r in enumerate(room):
-        rest -= int(r)
-        out[j] = _hypergeometric(int(r), rest, drawn, rng) if drawn else 0
-        drawn -= int(out[j])
-    return out
+    if len(room) == 1:
+        return np.array([drawn], dtype=np.int64)
+    half = len(room) // 2  # halves of the targets, until numpy can draw
+    left = _hypergeometric(int(room[:half].sum()), int(room[half:].sum()), drawn, rng)
+    return np.concatenate([_draw(room[:half], left, rng), _draw(room[half:], drawn - left, rng)])
 
 
 def matrix_row(counts: np.ndarray, room: np.ndarray, source: int, seed: int) -> np.ndarray:
@@ -106,7 +107,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 1, block_rows: int = BLOC
 
     Defined cases: nulls in any column are carried along; repeated rows each get a slot of their own; with fewer rows
     than shards some shards are empty; an empty table gives an empty result; the longer the rows, the fewer to a block
-    (BLOCK_BYTES), and a row is never split.
+    (BLOCK_BYTES, unless that makes more than MOST_BLOCKS), and a row is never split.
     """
     small_batches(df.sparkSession)
     own = [c for c in df.columns if c not in ("shard", "slot")]
@@ -124,6 +125,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 1, block_rows: int = BLOC
     counts = np.array([found[s]["n"] for s in sources], dtype=np.int64)
     if found:
         block_rows = max(1, min(block_rows, int(BLOCK_BYTES * counts.sum() // sum(r["bytes"] for r in found.values()))))
+    block_rows = max(block_rows, -(-int(counts.sum()) // MOST_BLOCKS))
     index = {s: i for i, s in enumerate(sources)}
     shard, first, room = blocks_of(shard_sizes(int(counts.sum()), shards), block_rows)
 
