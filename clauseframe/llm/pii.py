@@ -4,12 +4,14 @@ Numbers and dates that pass validation (card and bank numbers, telephone numbers
 security numbers, calendar dates) are replaced by others of the same format through a keyed Feistel network over the
 values that the format allows. The mapping is a permutation fixed by the key, so equal values get equal pseudonyms in
 all documents and different values different ones, and no table of values is kept. Check digits are worked out anew,
-so pseudonyms pass the same validation. Mail addresses and long hexadecimal tokens are treated the same way, letter by
-letter within their classes.
+so pseudonyms pass the same validation. The names of mail addresses and long hexadecimal tokens are treated the same
+way, each as a whole among those of its shape; the domain of an address stays in clear. A day is one value in whatever
+order and with or without zeros it is written; where both readings are days, 3/4/2024 is read day first.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -80,27 +82,22 @@ def _number(f: Feistel, tweak: str, digits: str) -> str:
     return str(f.permute(f"{tweak}{len(digits)}", 10 ** len(digits), int(digits))).zfill(len(digits)) if digits else ""
 
 
+_SHAPE = str.maketrans(dict.fromkeys(DIGITS, "0") | dict.fromkeys(LOWER, "a") | dict.fromkeys(UPPER, "A"))
+_CLASSES = dict.fromkeys(DIGITS, DIGITS) | dict.fromkeys(LOWER, LOWER) | dict.fromkeys(UPPER, UPPER)
+
+
 def _letters(f: Feistel, tweak: str, text: str) -> str:
-    """Every run of one class is permuted among the runs of that class and length."""
-    out = []
-    for m in re.finditer(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+", text):
-        run = m[0]
-        letters = DIGITS if run[0] in DIGITS else LOWER if run[0] in LOWER else UPPER if run[0] in UPPER else ""
-        if not letters:
-            out.append(run)
-            continue
-        for i in range(0, len(run), 24):
-            part = run[i : i + 24]
-            n = 0
-            for c in part:
-                n = n * len(letters) + letters.index(c)
-            n = f.permute(f"{tweak}{letters[0]}{len(part)}", len(letters) ** len(part), n)
-            made = []
-            for _ in part:
-                n, d = divmod(n, len(letters))
-                made.append(letters[d])
-            out.append("".join(reversed(made)))
-    return "".join(out)
+    """The text as a whole is permuted among those of its shape: the same classes of characters at the same places."""
+    places = [(c, letters) for c in text if (letters := _CLASSES.get(c))]
+    n, total = 0, 1
+    for c, letters in places:
+        n, total = n * len(letters) + letters.index(c), total * len(letters)
+    n = f.permute(f"{tweak}|{text.translate(_SHAPE)}", total, n)
+    made = []
+    for _, letters in reversed(places):
+        n, d = divmod(n, len(letters))
+        made.append(letters[d])
+    return _refill(text, "".join(reversed(made)), _CLASSES.__contains__)
 
 
 #: First digits and lengths of card numbers.
@@ -216,44 +213,47 @@ def _date(order: str) -> Callable[[Feistel, re.Match], str | None]:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        # Among days whose month and day have as many digits, if written without zeros; all days, if with them.
-        padded = all(len(got[x]) == 2 for x in "md")
-        kind = "date" if padded else f"date{len(got['m'])}{len(got['d'])}"
-        days = _days(len(got["m"]), len(got["d"])) if not padded else None
-        if padded:
-            new = FIRST_DAY + datetime.timedelta(f.permute(kind, (LAST_DAY - FIRST_DAY).days + 1, (day - FIRST_DAY).days))
-            made = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        else:
-            at = days.get((day.year, day.month, day.day))
-            if at is None:
-                return None
-            y, mo, d = list(days)[f.permute(kind, len(days), at)]
-            made = {"y": str(y), "m": str(mo), "d": str(d)}
+        # Among days whose month and day have as many digits, so that a day gets the same one however it is written.
+        digits = len(str(day.month)), len(str(day.day))
+        days, at = _days(*digits)
+        new = days[f.permute(f"date{digits[0]}{digits[1]}", len(days), at[day])]
+        made = {"y": str(new.year), "m": str(new.month).zfill(len(got["m"])), "d": str(new.day).zfill(len(got["d"]))}
         return m[2].join(made[x] for x in order)
 
     return work
 
 
 @lru_cache(maxsize=8)
-def _days(month_digits: int, day_digits: int) -> dict[tuple[int, int, int], int]:
+def _days(month_digits: int, day_digits: int) -> tuple[list[datetime.date], dict[datetime.date, int]]:
     out = []
     day = FIRST_DAY
     while day <= LAST_DAY:
         if len(str(day.month)) == month_digits and len(str(day.day)) == day_digits:
-            out.append((day.year, day.month, day.day))
+            out.append(day)
         day += datetime.timedelta(1)
-    return {d: i for i, d in enumerate(out)}
+    return out, {d: i for i, d in enumerate(out)}
 
 
 def _mail(f: Feistel, m: re.Match) -> str:
-    return _letters(f, "mail", m[1]) + "@" + m[2]
+    """The name as a whole, among the names of its shape at that domain; the domain stays."""
+    return _letters(f, f"mail{m[2].lower()}", m[1]) + "@" + m[2]
+
+
+#: Hexadecimal digits that are permuted at once; what follows depends on what came before.
+TOKEN_PART = 128
 
 
 def _token(f: Feistel, m: re.Match) -> str | None:
     if not re.search(r"\d", m[0]) or not re.search("[a-f]", m[0]):
         return None
-    n = f.permute(f"hex{len(m[0])}", 16 ** len(m[0]), int(m[0], 16))
-    return f"{n:0{len(m[0])}x}"
+    out = []
+    before = ""
+    for i in range(0, len(m[0]), TOKEN_PART):
+        part = m[0][i : i + TOKEN_PART]
+        n = f.permute(f"hex{len(m[0])}{before}", 16 ** len(part), int(part, 16))
+        out.append(f"{n:0{len(part)}x}")
+        before = hashlib.sha256(f"{before}{part}".encode()).hexdigest()
+    return "".join(out)
 
 
 #: Kinds, tried in this order at each place of a text.
@@ -267,7 +267,7 @@ KINDS: list[tuple[str, str, Callable[[Feistel, re.Match], str | None]]] = [
     ("iban", r"(?<!\w)(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)))", _iban),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,}", _card),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w]|[.-]\d)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w]|[.-]\d)", _phone),
-    ("token", r"(?<![\w])[0-9a-f]{32,128}(?![\w])", _token),
+    ("token", r"(?<![\w])[0-9a-f]{32,}+(?![\w])", _token),
 ]
 NAMES = list(dict.fromkeys(k for k, _, _ in KINDS))
 _PATTERNS = [(k, re.compile(p, re.ASCII), f) for k, p, f in KINDS]
@@ -279,25 +279,28 @@ _HINT = re.compile(r"@|\d[\d().\-/ ]{5}|[0-9a-f]{32}", re.ASCII)
 SCHEMA = columns(text="string", **{f"n_{k}": "long" for k in NAMES})
 
 
+def _free(spans: list[tuple[int, int, str]], m: re.Match) -> bool:
+    """Whether a match lies over none of some spans, which are in order."""
+    i = bisect.bisect_left(spans, (m.start(),))
+    return (i == 0 or spans[i - 1][1] <= m.start()) and (i == len(spans) or m.end() <= spans[i][0])
+
+
 def pseudonymize(text: str, f: Feistel) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     counts = dict.fromkeys(NAMES, 0)
     if not _HINT.search(text):
         return text, counts
-    spans: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    spans: list[tuple[int, int, str]] = []  # in order, none over another
     for kind, pattern, work in _PATTERNS:
         parts = _PARTS.get(kind, lambda m: (m,))
+        new: list[tuple[int, int, str]] = []
         for m in (part for found in pattern.finditer(text) for part in parts(found)):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            made = work(f, m)
-            if made is not None:
-                spans.append((m.start(), m.end(), made))
-                taken.append((m.start(), m.end()))
-                counts[kind] += 1
+            if _free(spans, m) and _free(new, m) and (made := work(f, m)) is not None:
+                bisect.insort(new, (m.start(), m.end(), made))
+        counts[kind] += len(new)
+        spans = sorted(spans + new) if new else spans
     out, at = [], 0
-    for a, b, made in sorted(spans):
+    for a, b, made in spans:
         out += [text[at:a], made]
         at = b
     return "".join([*out, text[at:]]), counts
