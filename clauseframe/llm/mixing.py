@@ -25,8 +25,8 @@ OUTPUT_SHARDS = 64
 #: A source gives at most so many times its words.
 MOST_TIMES = 3
 ROUNDS = 24
-#: Documents of a bucket, about: what one task orders. Slots that one row of the plan stands for.
-BUCKET_ROWS, RUN_SLOTS = 4_000, 4096
+#: Documents of a bucket, about: what one task orders. Buckets whose sums are added up at once. Slots that one row of the plan stands for.
+BUCKET_ROWS, GROUP_BUCKETS, RUN_SLOTS = 4_000, 4096, 4096
 #: More sources than this don't fit the driver's plan.
 MOST_SOURCES = 200_000
 
@@ -146,13 +146,14 @@ def mix(
     plan = plan_sources([(r["__source"], r["n"]) for r in found], weights, block_words)
     buckets = max(1, -(-sum(r["rows"] for r in found) // BUCKET_ROWS))
 
-    # Offsets: sums by (source, bucket) first, then inside each bucket, so that no source meets in one task.
+    # Offsets: sums by (source, group of buckets), then by bucket inside a group, then inside each bucket, so that no source meets in one task.
     keyed = sized.where("__size > 0").select("__key", "__source", "__size", "__h", "__id", F.pmod(F.xxhash64("__h", "__id"), F.lit(buckets)).cast("int").alias("__bucket"))
-    sums = keyed.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum"))
-    before = sums.select(
-        F.col("__source").alias("__s"), F.col("__bucket").alias("__b"),
-        (F.sum("__sum").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__sum")).alias("__base"),
-    )
+    sums = keyed.groupBy("__source", "__bucket").agg(F.sum("__size").alias("__sum")).withColumn("__group", F.floor(F.col("__bucket") / GROUP_BUCKETS))
+    so_far = lambda by, order: F.sum("__sum").over(Window.partitionBy(*by).orderBy(order)) - F.col("__sum")
+    groups = sums.groupBy("__source", "__group").agg(F.sum("__sum").alias("__sum"))
+    groups = groups.select(F.col("__source").alias("__gs"), F.col("__group").alias("__g"), so_far(["__source"], "__group").alias("__groups"))
+    before = sums.withColumn("__in_group", so_far(["__source", "__group"], "__bucket")).join(groups, F.col("__source").eqNullSafe(F.col("__gs")) & (F.col("__group") == F.col("__g")))
+    before = before.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), (F.col("__groups") + F.col("__in_group")).alias("__base"))
     inside = Window.partitionBy("__source", "__bucket").orderBy("__h", "__id", "__key").rowsBetween(Window.unboundedPreceding, 0)
     stream = (
         keyed.withColumn("__in", F.sum("__size").over(inside) - F.col("__size"))
@@ -164,16 +165,14 @@ def mix(
 
 def _slots(spark, plan: list[SourcePlan], counts: np.ndarray, seed: int, length: int) -> DataFrame:
     """All slots with the words they take, from one row for each run of a shard's slots of one source."""
-    rows = []
-    first = np.vstack([np.zeros(len(plan), dtype=np.int64), np.cumsum(counts, axis=0)]) if len(plan) else counts
-    for k in range(len(counts)):
-        at = 0
-        for i, s in enumerate(plan):
-            n = int(counts[k, i])
-            if n:
-                rows.append((k, at, i, s.name, s.size, s.blocks(length), s.words, int(first[k, i]), n))
-            at += n
-    made = spark.createDataFrame(rows, "shard int, at long, number int, __source string, size long, blocks long, words long, q0 long, n long")
+    # One row a source comes from the driver, with its counts by shard as one string.
+    rows = [(i, s.name, s.size, s.blocks(length), s.words, " ".join(map(str, counts[:, i].tolist()))) for i, s in enumerate(plan) if s.slots]
+    made = spark.createDataFrame(rows, "number int, __source string, size long, blocks long, words long, counts string")
+    made = made.withColumn("counts", F.split("counts", " ").cast("array<bigint>"))
+    sum_before = lambda k: F.aggregate(F.slice("counts", F.lit(1), k), F.lit(0).cast("long"), lambda x, y: x + y)
+    firsts = F.transform("counts", lambda n, k: F.struct(n.alias("n"), sum_before(k).alias("q0")))
+    made = made.select("number", "__source", "size", "blocks", "words", F.posexplode(firsts).alias("shard", "x")).where("x.n > 0").select("*", "x.n", "x.q0").drop("x")
+    made = made.withColumn("at", F.sum("n").over(Window.partitionBy("shard").orderBy("number")) - F.col("n"))
     cut = lambda n, step: F.sequence(F.lit(0).cast("long"), F.ceil(n / step) - 1)
     runs = made.withColumn("run", F.explode(cut(F.col("n"), RUN_SLOTS)))
     each = runs.withColumn("in_run", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(RUN_SLOTS), F.col("n") - F.col("run") * RUN_SLOTS) - 1)))
