@@ -26,6 +26,8 @@ CATEGORIES = [
     "Policy Change", "Do Not Track", "International and Specific Audiences",
 ]
 UNKNOWN, OTHER = "Unknown", "Other"
+#: Fixed value: what a prompt says of a passage without labels.
+NO_LABELS = "(No relevant requirements predicted for this passage.)"
 #: Least cosine at which an embedded label counts as repaired.
 LEAST_COSINE = 0.3
 
@@ -46,12 +48,9 @@ def similarity(a: str, b: str) -> float:
 
 
 def closest(label: str, vocabulary: list[str]) -> str | None:
-    best, top = None, 0.0
-    for v in vocabulary:
-        r = similarity(label, v)
-        if r > top:
-            best, top = v, r
-    return best
+    """The label with the largest ratio, the first of equals; none if no ratio is above 0."""
+    ratio, _, label = max(((similarity(label, v), -i, v) for i, v in enumerate(vocabulary)), default=(0.0, 0, None))
+    return label if ratio > 0 else None
 
 
 def similarity_map(label: str, vocabulary: list[str]) -> dict[str, float]:
@@ -87,18 +86,23 @@ def repair_table(found: DataFrame, scheme: str = TRANSPARENCY, embed: Embed | No
 
 
 def _with_repairs(df: DataFrame, label: Column, scheme: str, embed: Embed | None) -> DataFrame:
-    """The table with ``__fix``, a map of the row's labels to the right ones. Rows are numbered by their content, so equal rows share one."""
-    key = F.sha2(F.to_json(label), 256)
-    keyed = df.withColumn("__key", key)
-    each = keyed.select("__key", F.explode(label).alias("label")).distinct()
+    """The table with ``__fix``, a map of the row's wrong labels to the right ones, null where none is wrong.
+
+    Only rows with a wrong label are shuffled; these are keyed by their wrong labels, so equal ones share a row of the map.
+    """
+    wrong = F.array_sort(F.array_distinct(F.filter(label, lambda x: x.isNotNull() & ~x.isin(labels(scheme)))))
+    keyed = df.withColumn("__wrong", F.when(F.size(wrong) > 0, wrong)).withColumn("__key", F.when(F.col("__wrong").isNotNull(), F.sha2(F.to_json("__wrong"), 256)))
+    bad = keyed.where("__key IS NOT NULL")
+    each = bad.select("__key", F.explode("__wrong").alias("label")).distinct()
     fixed = each.join(repair_table(each.select("label"), scheme, embed), "label").groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("label", "repaired"))).alias("__fix"))
-    return keyed.join(fixed, "__key", "left")
+    right = keyed.where("__key IS NULL").withColumn("__fix", F.lit(None).cast("map<string,string>"))
+    return bad.join(fixed, "__key", "left").select(*keyed.columns, "__fix").unionByName(right).drop("__wrong")
 
 
 def correct_labels(df: DataFrame, column: str, scheme: str = TRANSPARENCY, embed: Embed | None = None) -> DataFrame:
     """Labels of an array column put right: known ones stay, nulls go, others become their closest."""
     got = _with_repairs(df, F.col(column), scheme, embed)
-    right = F.transform(F.filter(F.col(column), lambda x: x.isNotNull()), lambda x: F.coalesce(F.col("__fix")[x], x))
+    right = F.transform(F.filter(F.col(column), lambda x: x.isNotNull()), lambda x: F.coalesce(F.col("__fix")[x], x))  # a null map gives null
     return got.withColumn(column, right).drop("__key", "__fix")
 
 
@@ -123,8 +127,8 @@ def distinct_requirements(annotations: Column) -> Column:
 
 def requirement_lines(requirements: Column, references: Column) -> Column:
     """One line for each requirement: its name in quotes and its article. references: a map."""
-    lines = F.transform(requirements, lambda r: F.concat(F.lit('"'), r, F.lit('": '), F.coalesce(references[r], F.lit(NO_ARTICLE))))
-    return F.when(F.coalesce(F.size(requirements), F.lit(0)) == 0, F.lit("(No relevant requirements predicted for this passage.)")).otherwise(F.array_join(lines, "\n"))
+    lines = F.transform(requirements, lambda r: F.concat(F.lit('"'), r, F.lit('": '), F.coalesce(F.concat(F.lit("Article "), references[r]), F.lit(NO_ARTICLE))))
+    return F.when(F.coalesce(F.size(requirements), F.lit(0)) == 0, F.lit(NO_LABELS)).otherwise(F.array_join(lines, "\n"))
 
 
 def article_map() -> Column:
@@ -132,9 +136,17 @@ def article_map() -> Column:
 
 
 def background_text(label: Column, references: Column, commentary: Column) -> Column:
-    parts = F.concat_ws("\n", F.concat(F.lit("### "), label, F.lit(":")), F.concat(F.lit("GDPR References: "), F.array_join(references, ", ")), F.concat(F.lit("Commentary: "), commentary))
-    return parts
+    """What a prompt says of a label: its references and commentary, those that there are; else that there is nothing."""
+    listed = F.when(F.size(references) > 0, F.concat(F.lit("GDPR References: "), F.array_join(references, ", ")))
+    return _about(label, listed, F.when(commentary != "", F.concat(F.lit("Commentary: "), commentary)))
+
+
+def _about(label: Column, *parts: Column) -> Column:
+    said = F.concat_ws("\n\n", *parts)
+    missing = F.concat(F.lit("Legal background for "), label, F.lit(" not available."))  # fixed value
+    return F.concat(F.lit("### "), label, F.lit(":\n"), F.when(said != "", said).otherwise(missing))
 
 
 def category_text(label: Column, description: Column, usage: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("### "), label, F.lit(":")), F.concat(F.lit("Description: "), description), F.concat(F.lit("Usage Guidelines: "), usage))
+    """The same of a category: its description and how to use it."""
+    return _about(label, F.when(description != "", F.concat(F.lit("Description: "), description)), F.when(usage != "", F.concat(F.lit("Usage Guidelines: "), usage)))

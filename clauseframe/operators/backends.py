@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseframe.operators import ledger
 from clauseframe.operators.ledger import with_answers
 
 ANSWER = "response string, in_tokens long, out_tokens long, secs double, error string"
@@ -34,6 +36,53 @@ class Replay:
         return met.select(*requests.columns, "response", "in_tokens", "out_tokens", F.lit(0.0).alias("secs"), "error")
 
 
+class Transport(Protocol):
+    """A provider's batch interface; the one place where code reaches it."""
+
+    def submit(self, path: str) -> str:
+        """Hand in the request lines under a path; the batch's id."""
+
+    def status(self, batch: str) -> str:
+        """The state, in the provider's words."""
+
+    def results(self, batch: str) -> str:
+        """Where the result lines are: a path that Spark reads."""
+
+
+@dataclass
+class Batch:
+    """Answers by a provider's batches: lines are written and counted, handed in, waited for, and results joined by id.
+
+    The lines go to ``folder``, which executors share. A batch that ends without being completed is an error.
+    """
+
+    folder: str
+    transport: Transport
+    provider: str = "a"
+    model: str | None = None
+    max_tokens: int = 8192
+    every: float = 60.0
+    sleep: Callable[[float], None] = time.sleep
+
+    def answer(self, requests: DataFrame) -> DataFrame:
+        from clauseframe.sources import readers, sinks
+        from clauseframe.streaming.incremental import wait_for_batch
+
+        spark = requests.sparkSession
+        line, states = (ledger.batch_line_a, ledger.STATES_A) if self.provider == "a" else (ledger.batch_line_b, ledger.STATES_B)
+        model = F.col("model") if self.model is None else F.lit(self.model)
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        sinks.write_lines(requests.select(line(F.col("custom_id"), model, F.col("messages"), self.max_tokens).alias("value")), path)
+        held = ledger.check_batch(spark.read.text(path)).first()
+        if not held["ok"]:
+            raise ValueError(f"a batch of {held['n_lines']} lines and {held['n_chars']} characters")
+        batch = self.transport.submit(path)
+        state = wait_for_batch(lambda: self.transport.status(batch), states, self.every, sleep=self.sleep)
+        if state != "completed":
+            raise RuntimeError(f"batch {batch} is {state}")
+        return Replay(readers.recorded_answers(spark, self.transport.results(batch), self.provider)).answer(requests)
+
+
 @dataclass
 class Function:
     """A Python function from a message list to a text; the one place where code may reach a network.

@@ -41,9 +41,19 @@ def by_domain(df: DataFrame, url: str = "url", allowed: list[str] | None = None,
 
 
 def first_of_equal(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, kept: of rows with equal texts the smallest key stays. Texts meet by their digest, so none is shuffled."""
-    w = Window.partitionBy("__d")
-    return df.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__d")).select(key, F.min(key).over(w).alias("first_id")).withColumn("kept", F.col(key) == F.col("first_id"))
+    """key, first_id, kept: of rows with equal texts the smallest key stays.
+
+    Texts meet by their SHA-256, which stands for equality here, so none is shuffled. The smallest key of a text is summed
+    up in parts before it moves, and a very frequent text's rows are split by the join, so no task has to hold them all.
+    """
+    rows = df.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("__d"))
+    first = rows.groupBy("__d").agg(F.min(key).alias("first_id"))
+    return rows.join(first, "__d").select(key, "first_id", (F.col(key) == F.col("first_id")).alias("kept"))
+
+
+def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows of an order: each partition passes on n at most."""
+    return df.orderBy(*order).limit(n)
 
 
 def unseen_urls(df: DataFrame, url: str = "url") -> DataFrame:

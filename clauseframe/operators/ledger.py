@@ -114,12 +114,28 @@ PRICES = [
 ]
 
 
+#: Names that providers use, where they aren't the key.
+NAMES = {"gpt-4o": "gpt-4o-2024-11-20"}
+
+
 def price_table(spark: SparkSession, prices: list[tuple] = PRICES) -> DataFrame:
     """The model dimension, a few dozen rows; pass the price list that holds."""
-    rows = [(k, k, api, enc, *(None if p is None else p / 1e6 for p in (i, c, o, bi, bo)), js) for k, api, enc, i, c, o, bi, bo, js in prices]
+    rows = [(k, NAMES.get(k, k), api, enc, *(None if p is None else p / 1e6 for p in (i, c, o, bi, bo)), js) for k, api, enc, i, c, o, bi, bo, js in prices]
     return spark.createDataFrame(rows, MODEL_PRICE)
 
 
+def model_of(prices: DataFrame, model: str) -> DataFrame:
+    """The row of a model, by its key or, failing that, by the provider's name for it; no row if neither is known."""
+    return prices.where((F.col("key") == model) | (F.col("name") == model)).orderBy(F.col("key") != model, "key").limit(1)
+
+
+def with_keys(calls: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
+    """Calls with ``model_key``: the key of the model that a provider's answer names, or the name itself."""
+    names = prices.groupBy("name").agg(F.min("key").alias("model_key")).select(F.col("name").alias(model), "model_key")
+    met = calls.join(F.broadcast(names), model, "left")  # the model dimension: a few dozen rows
+    return met.select(*calls.columns, F.coalesce("model_key", model).alias("model_key"))
+
+
 def with_cost(calls: DataFrame, prices: DataFrame, batch: bool = False) -> DataFrame:
     """Calls with ``cost``: tokens by unit price, cached ones at theirs; 0 for a model without price."""
     p = prices.select(F.col("key").alias("model"), *(F.col(c).alias(f"__{c}") for c in ("input_price", "input_price_cached", "output_price", "input_price_batch", "output_price_batch")))

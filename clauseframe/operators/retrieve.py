@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,12 +10,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clauseframe.functions import text as X
 
-#: Example vectors that a task holds at most; more are searched in turns of so many.
-BLOCK_EXAMPLES = 50_000
+#: Bytes of a block of vectors; words that are looked up singly.
+BLOCK_BYTES, SHORT = 4 << 20, 2
 DIMENSIONS = 256
+#: What a prompt says where there is no background.
+NO_REQUIREMENTS, NO_BACKGROUND = "(No requirements provided, no legal background available.)", "(No legal background available for these requirements.)"
 #: Largest example table that is scored by Spark's own expressions, and keyword queries that a task holds at most; more are asked in turns.
 MOST_RELATIONAL, MOST_QUERIES = 1000, 10_000
 SIMILAR, PER_LABEL, LEAST_SCORE = 5, 2, 0.5
@@ -57,59 +62,83 @@ def top_k(
 ) -> DataFrame:
     """(query_id, example_id, score, rank, *by): the k best examples of each query by dot product, ties by example id.
 
-    A query is compared with the examples whose vectors are as long as its own; null vectors match nothing.
-    Examples are searched in blocks of a bounded number of vectors, one matrix product for each batch of queries; only
-    the k best of each block leave it, so rows grow with queries and blocks, not with pairs. ``by``: columns of the examples to
-    search separately.
+    A query is compared with the examples whose vectors are as long as its own; null vectors match nothing. Both sides are
+    packed where they lie into blocks of bounded bytes; every block of queries meets every block of examples once, on
+    executors, in one matrix product, and only the k best of each query leave it: rows grow with queries and blocks, not
+    with pairs. Spark sends the smaller side's blocks to all tasks if they are few, else it deals out the pairs of blocks.
+    Scores are rounded to 12 decimals, so that equal vectors tie wherever they lie in a block. ``by``: columns of the
+    examples to search separately.
     """
     by = by or []
-    sized = examples.select(F.col(example_id).alias("__e"), F.col(vector).alias("__v"), *by)
-    blocks = max(1, -(-sized.count() // BLOCK_EXAMPLES))
-    found = None
-    for i in range(blocks):  # as many passes over the queries as blocks of examples
-        part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("__e"), F.lit(blocks)) == i)
-        rows = part.toPandas()  # about BLOCK_EXAMPLES
-        hits = _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_self, examples.schema[example_id].dataType.simpleString(), examples)
-        found = hits if found is None else found.unionByName(hits)
+    q = _packed(queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v")), "q")
+    e = _packed(examples.select(F.col(example_id).alias("id"), F.col(vector).alias("v"), *by), "e")
+    met = q.crossJoin(e).where("q_width = e_width").select("q_width", "q_ids", "q_matrix", "e_ids", "e_matrix", *(f"e_{c}" for c in by))
+    names = ["query_id", "example_id", "score", *by]
+    kinds = [queries.schema[query_id].dataType, examples.schema[example_id].dataType, T.DoubleType(), *(examples.schema[c].dataType for c in by)]
+    out = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                width, q_ids, q_bytes, e_ids, e_bytes, *keys = (c[i].as_py() for c in b.columns)
+                scores = np.frombuffer(q_bytes).reshape(-1, width) @ np.frombuffer(e_bytes).reshape(-1, width).T
+                rows = _best(np.round(scores, 12), q_ids, e_ids, keys, k, threshold, exclude_self)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(arrow)], schema=arrow)
+
     w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), F.asc("example_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _search_block(queries, rows, k, query_id, vector, threshold, by, exclude_self, id_kind, examples) -> DataFrame:
-    order = rows[rows["__v"].notna()].sort_values("__e", kind="stable")
-    held = {}  # a query meets the examples of its own length
-    for width, same in order.groupby(order["__v"].map(len)):
-        same = same.reset_index(drop=True)
-        matrix = np.array([np.asarray(v, dtype=np.float64) for v in same["__v"]]).reshape(len(same), width)
-        groups = [g.index.to_numpy() for _, g in same.groupby(by, dropna=False, sort=False)] if by else [np.arange(len(same))]
-        held[width] = matrix, same.drop(columns="__v"), groups
-    shared = queries.sparkSession.sparkContext.broadcast(held)
-    kinds = ", ".join([f"query_id {queries.schema[query_id].dataType.simpleString()}", f"example_id {id_kind}", "score double"] + [f"`{c}` {examples.schema[c].dataType.simpleString()}" for c in by])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        held = shared.value
+    return met.mapInArrow(run, out).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _packed(rows: DataFrame, side: str) -> DataFrame:
+    """Rows (id, v, further columns) as blocks of vectors of one length, by id: ``<side>_width``, ``_ids``, ``_matrix`` and a list of each further column."""
+    rest = [c for c in rows.columns if c not in ("id", "v")]
+    out = T.StructType(
+        [T.StructField(f"{side}_width", T.IntegerType()), T.StructField(f"{side}_ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField(f"{side}_matrix", T.BinaryType())]
+        + [T.StructField(f"{side}_{c}", T.ArrayType(rows.schema[c].dataType)) for c in rest]
+    )
+    arrow = to_arrow_schema(out)
+
+    def block(width: int, held: list[tuple]) -> pa.RecordBatch:
+        held = sorted(held, key=lambda r: (r[0] is None, r[0]))
+        columns = list(zip(*held, strict=True))
+        made = [[width], [list(columns[0])], [np.stack(columns[1]).tobytes()], *([list(c)] for c in columns[2:])]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
         for b in batches:
-            for start in range(0, len(b), 256):
-                part = b.iloc[start : start + 256]
-                ids, vectors = part["__q"].tolist(), part["__v"].tolist()
-                out = []
-                for q, v in zip(ids, vectors, strict=True):
-                    if v is None or len(v) not in held:
-                        continue
-                    matrix, names, groups = held[len(v)]
-                    scores = matrix @ np.asarray(v, dtype=np.float64)
-                    for g in groups:
-                        s = scores[g]
-                        keep = np.arange(len(g))
-                        if threshold is not None:
-                            keep = keep[s >= threshold]
-                        if exclude_self:
-                            keep = keep[(names["__e"].to_numpy()[g[keep]]) != q]
-                        best = keep[np.argsort(-s[keep], kind="stable")[:k]]
-                        out += [(q, names["__e"].iat[g[j]], float(s[j]), *(names[c].iat[g[j]] for c in by)) for j in best]
-                yield pd.DataFrame(out, columns=["query_id", "example_id", "score", *by])
-
-    return queries.select(F.col(query_id).alias("__q"), F.col(vector).alias("__v")).mapInPandas(run, kinds)
+            for one, v, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if v:
+                    same = held.setdefault(len(v), [])
+                    same.append((one, np.asarray(v, dtype=np.float64), *more))
+                    if len(same) >= max(1, BLOCK_BYTES // (8 * len(v))):
+                        yield block(len(v), held.pop(len(v)))
+        for width, same in held.items():
+            yield block(width, same)
+
+    return rows.mapInArrow(run, out)
+
+
+def _best(scores: np.ndarray, q_ids: list, e_ids: list, keys: list[list], k: int, threshold: float | None, exclude_self: bool) -> list[tuple]:
+    """Of a block's scores (queries by examples) the k best of each query in each group; examples come by id."""
+    groups: dict[tuple, list[int]] = {}
+    for j in range(len(e_ids)):
+        groups.setdefault(tuple(c[j] for c in keys), []).append(j)
+    if exclude_self:
+        place = {one: j for j, one in enumerate(e_ids)}
+        for i, one in enumerate(q_ids):
+            if one in place:
+                scores[i, place[one]] = -np.inf
+    least = -np.inf if threshold is None else threshold
+    out = []
+    for key, at in groups.items():
+        s = scores[:, at] if len(groups) > 1 else scores
+        edge = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        for i, one in enumerate(q_ids):
+            near = np.flatnonzero((s[i] >= max(edge[i], least)) & (s[i] > -np.inf))
+            out += [(one, e_ids[at[j]], float(s[i, j]), *key) for j in near[np.argsort(-s[i, near], kind="stable")[:k]]]
+    return out
 
 
 def top_k_relational(queries: DataFrame, examples: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
@@ -142,7 +171,7 @@ def _with_placeholders(a: Column) -> Column:
 
 
 def label_fewshots(passages: DataFrame, examples: DataFrame, n: int = PER_LABEL, least: float = LEAST_SCORE, scheme: str = "transparency", strict_label: bool = False) -> DataFrame:
-    """(query_id, label, fewshots) for each label of a passage: of its 2n most similar examples one shot for each annotation, n at most.
+    """(query_id, label, ord, fewshots) for each label of a passage, ord being its place: of its 2n most similar examples one shot for each annotation, n at most.
 
     With a passage given, hits don't depend on the label, so they are searched once for each passage and repeated for its
     labels; a hit without annotations carries the label that was asked for. ``strict_label``: only annotations of that label.
@@ -150,20 +179,20 @@ def label_fewshots(passages: DataFrame, examples: DataFrame, n: int = PER_LABEL,
     hits = top_k(passages, examples, 2 * n)
     met = hits.join(examples.select("example_id", "type", "context", "passage", "annotations"), "example_id")
     each = met.select("query_id", "rank", "score", "type", "context", "passage", F.posexplode_outer("annotations").alias("pos", "a")).where(F.col("score") >= least)
-    asked = passages.select("query_id", F.explode("labels").alias("label"))
+    asked = passages.select("query_id", F.posexplode("labels").alias("ord", "label"))
     both = asked.join(each, "query_id").withColumn("a", F.coalesce("a", F.struct(F.col("label").alias("requirement"), F.lit("").alias("value"), F.lit(False).alias("performed"))))
     if strict_label:
         both = both.where(F.col("a.requirement") == F.col("label"))
-    w = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "rank", "pos")
+    w = Window.partitionBy("query_id", "ord").orderBy(F.desc("score"), "rank", "pos")
     few = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
     answer = F.to_json(F.struct(F.array(_with_placeholders(F.col("a"))).alias("annotations")))
     shot = F.struct(F.col("r").alias("rank"), payload(scheme, F.col("type"), F.col("context"), X.replace_placeholders(F.col("passage"))).alias("user"), answer.alias("assistant"))
-    return few.groupBy("query_id", "label").agg(F.sort_array(F.collect_list(shot)).alias("fewshots"))
+    return few.groupBy("query_id", "label", "ord").agg(F.sort_array(F.collect_list(shot)).alias("fewshots"))
 
 
 def combined_fewshots(similar: DataFrame, by_label: DataFrame) -> DataFrame:
     """(query_id, fewshots): similar ones first, then those of the labels in their order; repeats stay."""
-    labelled = by_label.groupBy("query_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("label", "fewshots"))), lambda x: x["fewshots"])).alias("more"))
+    labelled = by_label.groupBy("query_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "label", "fewshots"))), lambda x: x["fewshots"])).alias("more"))
     empty = F.array().cast("array<struct<rank:int,user:string,assistant:string>>")
     return similar.join(labelled, "query_id", "full").select("query_id", F.concat(F.coalesce("fewshots", empty), F.coalesce("more", empty)).alias("fewshots"))
 
@@ -176,6 +205,40 @@ def curated_examples(static: DataFrame, requirements: DataFrame, n: int, confide
     return met.withColumn("rank", rank).where(F.col("rank") <= n).drop("of")
 
 
+def curated_fewshots(passages: DataFrame, static: DataFrame, n: int, confidence: float) -> DataFrame:
+    """(query_id, fewshots) from curated examples: n of each label of a passage (query_id, labels), labels in their order."""
+    asked = passages.select("query_id", F.posexplode("labels").alias("ord_label", "requirement"))
+    few = curated_examples(static, static.select("requirement"), n, confidence)
+    answer = F.to_json(F.struct(F.array(F.struct("requirement", F.col("annotation_value").alias("value"), "performed")).alias("annotations")))
+    shot = F.struct("ord_label", "rank", F.to_json(F.struct("passage")).alias("user"), answer.alias("assistant"))
+    met = asked.join(F.broadcast(few), "requirement").groupBy("query_id").agg(F.sort_array(F.collect_list(shot)).alias("s"))  # a few dozen curated rows
+    return met.select("query_id", F.transform("s", lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x["user"].alias("user"), x["assistant"].alias("assistant"))).alias("fewshots"))
+
+
+def examples_for_requirements(examples: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(requirement, label) and the example's columns: each requirement with the examples that have a label containing it, upper case
+    as lower. The distinct labels meet the requirements, not the examples: both are vocabularies of a few dozen names.
+    """
+    each = examples.withColumn("label", F.explode("labels"))
+    asked = requirements.select("requirement").distinct()
+    names = each.select("label").distinct()
+    met = names.join(asked, F.contains(F.lower(names["label"]), F.lower(asked["requirement"])))
+    return each.join(met, "label").select("requirement", "label", *examples.columns)
+
+
+def background(rows: DataFrame, knowledge: DataFrame, text: Column, labels: str = "labels", name: str = "background") -> DataFrame:
+    """The table with one text of what the knowledge base says of each row's labels, in their order.
+
+    knowledge: one row a label (``label``), a few dozen rows; ``text``: its text for a prompt, null if there is none, from
+    ``vocab.background_text`` or ``vocab.category_text``. A row without labels, or with none that the base knows, says so.
+    """
+    known = knowledge.groupBy("label").agg(F.min(text).alias("__text")).where("__text IS NOT NULL")
+    by_label = known.agg(F.map_from_entries(F.collect_list(F.struct("label", "__text"))).alias("__known"))
+    found = F.filter(F.transform(F.col(labels), lambda x: F.col("__known")[x]), lambda x: x.isNotNull())
+    none = F.when(F.coalesce(F.size(labels), F.lit(0)) == 0, F.lit(NO_REQUIREMENTS)).when(F.size(found) == 0, F.lit(NO_BACKGROUND))
+    return rows.crossJoin(F.broadcast(by_label)).withColumn(name, F.coalesce(none, F.array_join(found, "\n\n"))).drop("__known")
+
+
 def examples_by_label(examples: DataFrame, requirement: str) -> DataFrame:
     """Examples with a label that contains the requirement, upper case as lower."""
     return examples.where(F.exists("labels", lambda x: F.contains(F.lower(x), F.lit(requirement.lower()))))
@@ -183,40 +246,79 @@ def examples_by_label(examples: DataFrame, requirement: str) -> DataFrame:
 
 def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): by how many of a query's words a text contains. All texts are searched for all queries, in
-    blocks of about MOST_QUERIES of them: as many passes over the texts as blocks.
+    blocks of about MOST_QUERIES of them: as many passes over the texts as blocks. Each task passes on the k best of each query.
     """
     asked = queries.select("query_id", "query")
     blocks = max(1, -(-asked.count() // MOST_QUERIES))
     low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema[doc_id].dataType.simpleString()}, score int"
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.IntegerType())])
     scored = None
     for i in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)) == i)
-        hits = low.mapInPandas(_count_words([(r["query_id"], r["query"]) for r in part.collect()], docs.sparkSession), kinds)
+        hits = low.mapInArrow(_count_words([(r["query_id"], r["query"]) for r in part.collect()], docs.sparkSession, k, kinds), kinds)
         scored = hits if scored is None else scored.unionByName(hits)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _count_words(rows: list[tuple], spark) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _finder(words: list[str]) -> Callable[[str], list[int]]:
+    """Which of some words a text holds: one pass over the text by an automaton, single look-ups for very short words."""
+    short = [(w, i) for i, w in enumerate(words) if len(w) <= SHORT]
+    long = [(w, i) for i, w in enumerate(words) if len(w) > SHORT]
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda body: [i for i, w in enumerate(words) if w in body]
+    tree = ahocorasick.Automaton()
+    for w, i in long:
+        tree.add_word(w, i)
+    if long:
+        tree.make_automaton()
+    return lambda body: [i for w, i in short if w in body] + (list({i for _, i in tree.iter(body)}) if long else [])
+
+
+def _count_words(rows: list[tuple], spark, k: int, kinds: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     holders: dict[str, list[int]] = {}  # the queries of each word: linear in their words, where a matrix would grow as a product
     for j, (_, query) in enumerate(rows):
         for w in dict.fromkeys((query or "").lower().split()):
             holders.setdefault(w, []).append(j)
     shared = spark.sparkContext.broadcast(([q for q, _ in rows], list(holders), [np.array(js) for js in holders.values()]))
+    arrow = to_arrow_schema(kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, words, held = shared.value
+        find = _finder(words)
+        best: list[list[tuple]] = [[] for _ in names]  # heaps of (score, least favoured id first)
         for b in batches:
-            out = []
-            for one, body in zip(b["doc_id"], b["body"], strict=True):
-                hit = [js for w, js in zip(words, held, strict=True) if w in body]
-                scores = np.bincount(np.concatenate(hit)) if hit else np.zeros(0, dtype=np.int64)
-                out += [(names[j], one, int(scores[j])) for j in np.flatnonzero(scores)]
-            yield pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
+            for one, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hit = find(body)
+                scores = np.bincount(np.concatenate([held[i] for i in hit])) if hit else ()
+                for j in np.flatnonzero(scores).tolist():
+                    entry, heap = (int(scores[j]), _Last(one)), best[j]
+                    if len(heap) < k:
+                        heapq.heappush(heap, entry)
+                    elif heap[0] < entry:
+                        heapq.heapreplace(heap, entry)
+        out = [(names[j], entry.one, score) for j, heap in enumerate(best) for score, entry in heap]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(arrow)], schema=arrow)
 
     return run
 
 
+class _Last:
+    """Orders identifiers backwards, null first, as it is favoured when ascending."""
+
+    __slots__ = ("one",)
+
+    def __init__(self, one):
+        self.one = one
+
+    def __eq__(self, other) -> bool:
+        return self.one == other.one
+
+    def __lt__(self, other) -> bool:
+        return self.one is not None and (other.one is None or other.one < self.one)
+
+
 def index_stats(examples: DataFrame, kind: str = "example_type") -> DataFrame:
     return examples.groupBy(kind).agg(F.count("*").alias("n_examples"), F.max(F.size("embedding")).alias("dimension"))

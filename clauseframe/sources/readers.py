@@ -15,6 +15,29 @@ from clauseframe import schemas as S
 from clauseframe.functions.text import file_stem
 
 
+#: Passage, requirement, value, performed, confidence, source.
+CURATED = [
+    ("We collect your email address, phone number, and postal address for account management.", "Data Categories", "email address", True, 0.95, "example_policy_1"),
+    ("Your device identifiers, IP address, and browser information are collected for analytics.", "Data Categories", "device identifiers", True, 0.92, "example_policy_2"),
+    ("We do not collect sensitive personal data such as health information or financial records.", "Data Categories", "sensitive personal data", False, 0.88, "example_policy_3"),
+    ("Your data is used to provide customer support and respond to your inquiries.", "Processing Purpose", "provide customer support", True, 0.94, "example_policy_1"),
+    ("We process your information to improve our services and develop new features.", "Processing Purpose", "improve our services", True, 0.91, "example_policy_2"),
+    ("Your data is used for marketing purposes, including sending promotional emails.", "Processing Purpose", "marketing purposes", True, 0.89, "example_policy_4"),
+    ("We process your data based on your explicit consent for marketing communications.", "Legal Basis for Processing", "your explicit consent", True, 0.96, "example_policy_1"),
+    ("Data processing is necessary for the performance of our service contract with you.", "Legal Basis for Processing", "performance of our service contract", True, 0.93, "example_policy_2"),
+    ("We rely on legitimate interests to process data for fraud prevention.", "Legal Basis for Processing", "legitimate interests", True, 0.90, "example_policy_3"),
+    ("You have the right to request access to all personal data we hold about you.", "Right to Access", "right to request access", True, 0.95, "example_policy_1"),
+    ("You may request a copy of your personal data by contacting our data protection officer.", "Right to Access", "request a copy of your personal data", True, 0.92, "example_policy_2"),
+    ("We will provide you with access to your data within 30 days of your request.", "Right to Access", "within 30 days of your request", True, 0.88, "example_policy_3"),
+    ("We retain your personal data for 3 years after your last interaction with us.", "Data Retention Period", "3 years after your last interaction", True, 0.94, "example_policy_1"),
+    ("Account data is kept for 7 years to comply with legal obligations.", "Data Retention Period", "7 years to comply with legal obligations", True, 0.91, "example_policy_2"),
+    ("Marketing data is retained until you withdraw your consent.", "Data Retention Period", "until you withdraw your consent", True, 0.89, "example_policy_4"),
+    ("You have the right to request deletion of your personal data at any time.", "Right to Erasure", "right to request deletion", True, 0.95, "example_policy_1"),
+    ("We will delete your data upon request, subject to legal retention requirements.", "Right to Erasure", "delete your data upon request", True, 0.92, "example_policy_2"),
+    ("You can request erasure by contacting our support team or using the account settings.", "Right to Erasure", "request erasure by contacting our support team", True, 0.88, "example_policy_3"),
+]
+
+
 def _name() -> Column:
     return F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
 
@@ -105,12 +128,24 @@ def category_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def legal_records(spark: SparkSession, folder: str, glob: str = "gdpr_req_*.json") -> DataFrame:
-    """One row a label: the knowledge base, a few dozen rows."""
-    return _one_json(spark, S.LEGAL_RECORD, folder, glob=glob).where("label IS NOT NULL").dropDuplicates(["label"])
+    """One row a label: the knowledge base, a few dozen rows. Of several files with one label the first by name counts."""
+    return _first_by_file(_one_json(spark, S.LEGAL_RECORD, folder, glob=glob))
 
 
 def category_records(spark: SparkSession, folder: str, glob: str = "opp_cat_*.json") -> DataFrame:
-    return _one_json(spark, S.CATEGORY_RECORD, folder, glob=glob).where("label IS NOT NULL").dropDuplicates(["label"])
+    return _first_by_file(_one_json(spark, S.CATEGORY_RECORD, folder, glob=glob))
+
+
+def _first_by_file(records: DataFrame) -> DataFrame:
+    row = F.struct(*records.columns)
+    first = records.where("label IS NOT NULL").groupBy("label").agg(F.min_by(row, F.col("_metadata.file_path")).alias("r"))
+    return first.select("r.*")
+
+
+def fallback_examples(spark: SparkSession) -> DataFrame:
+    """The curated examples that serve where no example index is at hand, with ``ord``, their order."""
+    rows = [(*r[:4], float(r[4]), r[5], "normal", i) for i, r in enumerate(CURATED)]
+    return spark.createDataFrame(rows, T.StructType([*S.STATIC_EXAMPLE, T.StructField("ord", T.IntegerType())]))
 
 
 def category_files(spark: SparkSession, folder: str, glob: str = "opp_cat_*.json") -> DataFrame:

@@ -20,12 +20,24 @@ def scratch_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="clauseframe-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -33,13 +45,9 @@ def write_stage(df: DataFrame, path: str) -> None:
 def append_stage(df: DataFrame, path: str, keys: list[str]) -> int:
     """Add the rows whose keys the table doesn't hold yet; how many there were."""
     spark = df.sparkSession
-    try:
-        held = spark.read.parquet(path).select(*keys)
-        new = df.dropDuplicates(keys).join(held, keys, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = df.dropDuplicates(keys)
+    new = df.dropDuplicates(keys)
+    if exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     new = new.persist()
     n = new.count()
     new.write.mode("append").parquet(path)

@@ -85,7 +85,7 @@ def test_top_k_is_brute_force_with_ties(spark):
 
 
 def test_top_k_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "BLOCK_EXAMPLES", 7)
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 7 * 16)
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(99, None)], "example_id long, embedding array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<double>")
     assert [r.example_id for r in retrieve.top_k(q, df, 3).orderBy("rank").collect()] == [29, 28, 27]

@@ -97,7 +97,7 @@ def test_embedded_repair(spark):
 def test_prompt_lines(spark):
     df = spark.createDataFrame([(["DPO Contact", "Nothing"],), ([],)], "l array<string>")
     got = [r.x for r in df.select(vocab.requirement_lines(F.col("l"), vocab.article_map()).alias("x")).collect()]
-    assert got == ['"DPO Contact": 13(1)(b)\n"Nothing": GDPR', "(No relevant requirements predicted for this passage.)"]
+    assert got == ['"DPO Contact": Article 13(1)(b)\n"Nothing": GDPR', "(No relevant requirements predicted for this passage.)"]
 
 
 def test_languages(spark):
