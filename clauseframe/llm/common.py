@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,24 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from clauseframe.sources.sinks import scratch_folder
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="clauseframe-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
 #: Bytes of an Arrow batch on its way to a Python worker: whole texts may be long, and a worker holds a few batches at once.
 BATCH_BYTES = 8 << 20
 
@@ -53,42 +40,59 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Whatever is drawn or numbered before this point is data after it, so a recomputed task can't change it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _record is not None:
-        _record.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(path)
+    else:
+        _left.setdefault(spark.sparkContext.applicationId, []).append(path)
+        if len(_left) == 1:
+            atexit.unregister(_clear)
+            atexit.register(_clear, spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Where tables are noted that this context writes, if anywhere; tables of results that are read later, by application.
+_noted: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
+_left: dict[str, list[str]] = {}
 
 
-_record: list[str] | None = None
+def _clear(spark: SparkSession) -> None:
+    """At the driver's end nothing reads its tables any more."""
+    with contextlib.suppress(Exception):
+        for p in _left.pop(spark.sparkContext.applicationId, []):
+            _delete(spark, p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 @contextlib.contextmanager
 def recorded(paths: list[str]) -> Iterator[None]:
-    """Note the tables that are written meanwhile."""
-    global _record  # noqa: PLW0603
-    before, _record = _record, paths
+    """Note the tables that are written meanwhile, by this thread."""
+    token = _noted.set(paths)
     try:
         yield
     finally:
-        _record = before
+        _noted.reset(token)
 
 
-def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+def release(spark: SparkSession, paths: list[str], needed: DataFrame | None = None) -> None:
     """Delete noted tables, but for those that ``needed`` still reads."""
-    held = {f.rsplit("/", 1)[0].removeprefix("file://") for f in needed.inputFiles()}
+    held = {f.rsplit("/", 1)[0].removeprefix("file://") for f in needed.inputFiles()} if needed is not None else set()
     for p in [p for p in paths if p.removeprefix("file://") not in held]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
         paths.remove(p)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote; call it only when nothing will read it any more."""
-    spark = df.sparkSession
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f)
 
 
 def first_by_hash(df: DataFrame, key: Column, rows: int, seed: int) -> DataFrame:

@@ -7,7 +7,9 @@ its target. The q-th slot of a source takes the block at q of a pseudorandom per
 takes a new permutation each time it has gone through all blocks; slots and blocks then meet by an equi-join on
 (source, block). So every word of a source is taken either k or k + 1 times, with k = target // size.
 
-What reaches the driver is one row a source, and the plan of its slots by shard.
+Sources stay in Spark, however many: their order, targets and slots are worked out there. The driver draws for bundles
+of sources, one source each up to MOST_BUNDLES sources; of a larger bundle the slots are dealt to its counts by a
+pseudorandom permutation, which is the same law.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseframe.llm.common import SPACE, WORD, materialize, word_count
+from clauseframe.llm.common import SPACE, WORD, drop_table, materialize, word_count
 
 BLOCK_WORDS = 512
 OUTPUT_SHARDS = 64
@@ -27,45 +29,12 @@ MOST_TIMES = 3
 ROUNDS = 24
 #: Documents of a bucket, about: what one task orders. Buckets whose sums are added up at once. Slots that one row of the plan stands for.
 BUCKET_ROWS, GROUP_BUCKETS, RUN_SLOTS = 4_000, 4096, 4096
-#: More sources than this don't fit the driver's plan.
-MOST_SOURCES = 200_000
-
-
-def targets(sizes: list[int], weights: list[float], total: float | None = None, most: float = MOST_TIMES) -> list[float]:
-    """Shares of ``total`` (default: all sizes) by weight, none above ``most`` times its size; the excess is shared anew by weight."""
-    total = float(sum(sizes)) if total is None else float(total)
-    caps = [most * s for s in sizes]
-    out, open_ = [0.0] * len(sizes), [i for i in range(len(sizes)) if caps[i] > 0 and weights[i] > 0]
-    rest = total
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = [i for i in open_ if rest * weights[i] / weight > caps[i]]
-        if not over:
-            for i in open_:
-                out[i] = rest * weights[i] / weight
-            break
-        for i in over:
-            out[i] = caps[i]
-            rest -= caps[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
-
-
-@dataclass(frozen=True)
-class SourcePlan:
-    name: str | None
-    size: int
-    target: float
-    #: Words to take, slots that take them.
-    words: int
-    slots: int
-
-    def blocks(self, length: int) -> int:
-        return -(-self.size // length)
+#: Bundles of sources that the driver draws for, at most.
+MOST_BUNDLES = 1 << 16
 
 
 def draw_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
-    """Slots by shard and source: multinomial draws over what is still owed; columns add up to ``slots``."""
+    """Slots by shard and bundle: multinomial draws over what is still owed; columns add up to ``slots``."""
     rng = np.random.default_rng(seed)
     owed = np.array(slots, dtype=np.int64)
     out = np.zeros((shards, len(slots)), dtype=np.int64)
@@ -80,9 +49,12 @@ def draw_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permuted(x: Column, n: Column, key: Column) -> Column:
-    """A keyed pseudorandom permutation of 0 .. n - 1 for any n: swap-or-not rounds, each exchanging x and k - x or not."""
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+def permuted(x: Column, n: Column, key: Column, back: bool = False) -> Column:
+    """A keyed pseudorandom permutation of 0 .. n - 1 for any n: swap-or-not rounds, each exchanging x and k - x or not.
+
+    ``back``: the other way; as each round undoes itself, that is the rounds in reverse.
+    """
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS))
 
     def swap(x: Column, r: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
@@ -91,20 +63,51 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
     return F.aggregate(rounds, x, swap)
 
 
-def plan_sources(stats: list[tuple[str | None, int]], weights: dict | None, block_words: int) -> list[SourcePlan]:
-    """Sources by code point, null last; without weights they weigh 1, 2, 3, repeating."""
-    stats = sorted(stats, key=lambda s: (s[0] is None, s[0] or ""))
-    w = [float(weights.get(s, 0) if weights else i % 3 + 1) for i, (s, _) in enumerate(stats)]
-    goal = targets([n for _, n in stats], w)
-    out = []
-    for (s, size), t in zip(stats, goal, strict=True):
-        words = min(int(round(t)), MOST_TIMES * size)
-        whole, rest = divmod(words, size) if size else (0, 0)
-        blocks = -(-size // block_words)
-        # Of the last time through, slots enough even if the short block is among them; the last ones may take nothing.
-        slots = whole * blocks + (min(blocks, -(-rest // block_words) + 1) if rest else 0)
-        out.append(SourcePlan(s, size, t, words, slots))
-    return out
+def plan_sources(sizes: DataFrame, weights: dict | None, block_words: int) -> DataFrame:
+    """sizes: (__source, n). One row a source: __source, number, size, target, words (to take), slots (that take them), blocks.
+
+    Sources are numbered by code point, null last; without weights they weigh 1, 2, 3, repeating. Targets are shares of
+    all words by weight, none above MOST_TIMES its source's size, the excess shared anew by weight: a level per unit of
+    weight rises until what is above its source's limit no longer changes.
+    """
+    spark = sizes.sparkSession
+    order = [F.col("__source").isNull(), F.col("__source")]
+    placed = sizes.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.select("__source", "n", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i")), "mixing-order")
+    counts = sorted((r["__p"], r["count"]) for r in placed.groupBy("__p").count().collect())  # one row a partition
+    firsts = spark.createDataFrame([(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)], "__p int, __first long")
+    numbered = placed.join(F.broadcast(firsts), "__p").select("__source", "n", (F.col("__first") + F.col("__i")).alias("number"))
+    if weights is None:
+        weight = (F.col("number") % 3 + 1).cast("double")
+    else:  # given by the caller, one for each source it names
+        weight = F.lit(0.0)
+        for name, w in weights.items():
+            weight = F.when(F.col("__source").eqNullSafe(F.lit(name)), float(w)).otherwise(weight)
+    cap = MOST_TIMES * F.col("n")
+    weighed = numbered.withColumn("weight", weight)
+    open_ = weighed.where("n > 0 AND weight > 0")
+    total = weighed.agg(F.sum("n")).first()[0] or 0
+    level = float("inf")
+    rest = open_.agg(F.sum("weight")).first()[0]
+    while rest:
+        before, level = level, total / rest if level == float("inf") else level
+        above = F.lit(level) * F.col("weight") > cap
+        capped, rest = open_.agg(F.coalesce(F.sum(F.when(above, cap)), F.lit(0)), F.sum(F.when(~above, F.col("weight")))).first()
+        level = (total - capped) / rest if rest else float("inf")
+        if level == before:
+            break
+    share = F.least(F.lit(level) * F.col("weight"), cap.cast("double")) if level != float("inf") else cap.cast("double")
+    target = F.when((F.col("n") > 0) & (F.col("weight") > 0), share).otherwise(0.0)
+    blocks = F.ceil(F.col("n") / block_words).cast("long")
+    words = F.least(F.round(target).cast("long"), cap)
+    made = weighed.select("__source", "number", F.col("n").alias("size"), target.alias("target"), words.alias("words"), blocks.alias("blocks"))
+    part = F.col("words") - F.floor(F.col("words") / F.col("size")) * F.col("size")
+    # Of the last time through, slots enough even if the short block is among them; the last ones may take nothing.
+    more = F.when(part > 0, F.least(F.col("blocks"), F.ceil(part / block_words) + 1)).otherwise(0)
+    slots = F.when(F.col("size") > 0, F.floor(F.col("words") / F.col("size")) * F.col("blocks") + more).otherwise(0)
+    plan = materialize(made.withColumn("slots", slots.cast("long")), "mixing-plan")
+    drop_table(placed)
+    return plan
 
 
 @dataclass
@@ -115,7 +118,8 @@ class Mix:
     stream: DataFrame
     #: (shard, slot, __source, __times, __block, __from, __to): which words of the source's stream a slot takes.
     slots: DataFrame
-    plan: list[SourcePlan]
+    #: One row a source, from ``plan_sources``.
+    sources: DataFrame
     block_words: int
 
 
@@ -140,11 +144,9 @@ def mix(
         ),
         "mixing",
     )
-    found = sized.groupBy("__source").agg(F.sum("__size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    plan = plan_sources([(r["__source"], r["n"]) for r in found], weights, block_words)
-    buckets = max(1, -(-sum(r["rows"] for r in found) // BUCKET_ROWS))
+    sizes = materialize(sized.groupBy("__source").agg(F.sum("__size").alias("n"), F.count("*").alias("rows")), "mixing-sizes")
+    sources = plan_sources(sizes.select("__source", "n"), weights, block_words)
+    buckets = max(1, -(-(sizes.agg(F.sum("rows")).first()[0] or 0) // BUCKET_ROWS))
 
     # Offsets: sums by (source, group of buckets), then by bucket inside a group, then inside each bucket, so that no source meets in one task.
     keyed = sized.where("__size > 0").select("__key", "__source", "__size", "__h", "__id", F.pmod(F.xxhash64("__h", "__id"), F.lit(buckets)).cast("int").alias("__bucket"))
@@ -160,36 +162,41 @@ def mix(
         .join(before, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
         .select("__key", "__source", "__size", (F.col("__base") + F.col("__in")).alias("__offset"))
     )
-    return Mix(sized, stream, _slots(spark, plan, draw_counts([s.slots for s in plan], shards, seed), seed, block_words), plan, block_words)
-
-
-def _slots(spark, plan: list[SourcePlan], counts: np.ndarray, seed: int, length: int) -> DataFrame:
-    """All slots with the words they take, from one row for each run of a shard's slots of one source."""
-    # One row a source comes from the driver, with its counts by shard as one string.
-    rows = [(i, s.name, s.size, s.blocks(length), s.words, " ".join(map(str, counts[:, i].tolist()))) for i, s in enumerate(plan) if s.slots]
-    made = spark.createDataFrame(rows, "number int, __source string, size long, blocks long, words long, counts string")
-    made = made.withColumn("counts", F.split("counts", " ").cast("array<bigint>"))
-    sum_before = lambda k: F.aggregate(F.slice("counts", F.lit(1), k), F.lit(0).cast("long"), lambda x, y: x + y)
-    firsts = F.transform("counts", lambda n, k: F.struct(n.alias("n"), sum_before(k).alias("q0")))
-    made = made.select("number", "__source", "size", "blocks", "words", F.posexplode(firsts).alias("shard", "x")).where("x.n > 0").select("*", "x.n", "x.q0").drop("x")
-    made = made.withColumn("at", F.sum("n").over(Window.partitionBy("shard").orderBy("number")) - F.col("n"))
-    cut = lambda n, step: F.sequence(F.lit(0).cast("long"), F.ceil(n / step) - 1)
-    runs = made.withColumn("run", F.explode(cut(F.col("n"), RUN_SLOTS)))
-    each = runs.withColumn("in_run", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(RUN_SLOTS), F.col("n") - F.col("run") * RUN_SLOTS) - 1)))
-    each = each.withColumn("j", F.col("run") * RUN_SLOTS + F.col("in_run"))
-    q = each.select("shard", (F.col("at") + F.col("j")).alias("slot"), "number", "__source", "size", "blocks", "words", (F.col("q0") + F.col("j")).alias("q"))
+    return Mix(sized, stream, _slots(spark, sources, shards, seed, block_words), sources, block_words)
+
+
+def _slots(spark: SparkSession, sources: DataFrame, shards: int, seed: int, length: int) -> DataFrame:
+    """All slots with the words they take."""
+    per = max(1, -(-sources.count() // MOST_BUNDLES))
+    used = sources.where("slots > 0").withColumn("bundle", F.floor(F.col("number") / per))
+    owed = sorted((r["bundle"], r["n"]) for r in used.groupBy("bundle").agg(F.sum("slots").alias("n")).collect())  # MOST_BUNDLES rows at most
+    counts = draw_counts([n for _, n in owed], shards, seed)
+    at = np.cumsum(counts, axis=1) - counts  # slots of a shard before a bundle's
+    text = lambda x: " ".join(map(str, x.tolist()))
+    rows = [(b, n, text(np.cumsum(counts[:, i])), text(at[:, i] - np.cumsum(counts[:, i]) + counts[:, i])) for i, (b, n) in enumerate(owed)]
+    drawn = spark.createDataFrame(rows, "bundle long, of long, ends string, shifts string")
+    longs = lambda c: F.split(c, " ").cast("array<bigint>").alias(c)
+    met = used.join(drawn.select("bundle", "of", longs("ends"), longs("shifts")), "bundle")
+    base = F.sum("slots").over(Window.partitionBy("bundle").orderBy("number")) - F.col("slots") if per > 1 else F.lit(0).cast("long")
+    met = met.withColumn("base", base)
+
     key = lambda t: F.xxhash64(F.lit(seed), "number", t)
+    whole = F.floor(F.col("words") / F.col("size"))
+    # Where the short block comes in the last, partial time through: the place that its permutation gives the last block.
+    met = met.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), key(whole), back=True))
+    runs = met.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / RUN_SLOTS) - 1)))
+    each = runs.withColumn("in_run", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(RUN_SLOTS), F.col("slots") - F.col("run") * RUN_SLOTS) - 1)))
+    q = each.withColumn("q", F.col("run") * RUN_SLOTS + F.col("in_run")).withColumn("p", F.col("base") + F.col("q"))
+    if per > 1:
+        q = q.withColumn("p", permuted(F.col("p"), F.col("of"), F.xxhash64(F.lit(seed), F.lit("bundle"), "bundle")))
+    q = q.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("p"))))
+    q = q.withColumn("slot", F.col("p") + F.get("shifts", F.col("shard")))
     times = F.floor(F.col("q") / F.col("blocks"))
     q = q.withColumn("__times", times).withColumn("k", F.col("q") - F.col("__times") * F.col("blocks"))
     q = q.withColumn("__block", permuted(F.col("k"), F.col("blocks"), key(F.col("__times"))))
     # In the last, partial time through, the words taken before a slot: whole blocks, but for the short block if it came earlier.
-    whole = F.floor(F.col("words") / F.col("size"))
     short = F.col("blocks") * length - F.col("size")
-    # Where the short block comes in that permutation: of its slots, the one that has the last block number.
-    # One row a source at most, as there is one such slot.
-    ends = q.where((F.col("__times") == whole) & (F.col("__block") == F.col("blocks") - 1)).select(F.col("number").alias("__n"), F.col("k").alias("__k"))
-    q = q.join(F.broadcast(ends), F.col("number") == F.col("__n"), "left")
-    taken = F.col("k") * length - F.when(F.col("__k") < F.col("k"), short).otherwise(0)
+    taken = F.col("k") * length - F.when(F.col("short_at") < F.col("k"), short).otherwise(0)
     here = F.least(F.lit(length), F.col("size") - F.col("__block") * length)
     rest = F.when(F.col("__times") < whole, here).otherwise(F.least(here, F.greatest(F.lit(0), F.col("words") - whole * F.col("size") - taken)))
     start = F.col("__block") * length

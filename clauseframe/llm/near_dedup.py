@@ -8,7 +8,8 @@ and pairs that may reach the threshold are compared on their full sets.
 
 A bucket is never expanded into all its pairs: first all its members are compared with two of them, links are put
 together to components, and only members of different components that still share a bucket are compared further, block
-by block. Documents with equal sets are one class from the start.
+by block. Documents with equal sets are one class from the start. A shingle is known by its 64-bit hash throughout, so
+two documents are taken for more similar than they are only where hashes collide.
 """
 
 from __future__ import annotations

@@ -297,14 +297,57 @@ def _packed_words(found: DataFrame, v: Vocabulary) -> DataFrame:
     return found.mapInArrow(run, T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.BinaryType())]))
 
 
-def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD_WORDS) -> DataFrame:
+def _joined(df: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """Ids by the lattice of all words: words are exploded with their places, joined to their ids and put together again."""
+    text = F.translate(F.col(f"`{text_col}`"), MARK, " ")
+    words = F.when(text != "", F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(v.cuts.pattern), F.lit(0)))
+    numbered = df.select(F.monotonically_increasing_id().alias("__key"), F.col(f"`{id_col}`").alias("__id"), words.alias("__words"))
+    each = numbered.select("__key", "__id", F.posexplode_outer("__words").alias("__at", "word"))
+    distinct = materialize(each.where("word IS NOT NULL").select("word").distinct(), "pieces-all-words")
+    short = F.length("word") <= MASK_CHARS
+    long = distinct.where(~short).mapInArrow(_folded_here(v), "word string, ids binary")
+    known = _packed_words(folded(distinct.where(short), v), v).unionByName(long)
+    met = each.join(known, "word", "left").groupBy("__key").agg(F.first("__id").alias("__id"), F.array_sort(F.collect_list(F.struct("__at", "ids"))).alias("__parts"))
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *columns(ids="int[]", n_tokens="long", decoded="string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows(b.column(0), [b"".join(p or b"" for p in row) for row in b.column(1).to_pylist()], v, out)
+
+    return met.select("__id", F.transform("__parts", lambda p: p["ids"]).alias("__ids")).mapInArrow(handing_back(run), out)
+
+
+def _folded_here(v: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(v.fold(w)) for w in b.column(0).to_pylist()], pa.binary())], names=["word", "ids"])
+
+    return run
+
+
+def _rows(names: pa.Array, made: list[bytes], v: Vocabulary, out: T.StructType) -> pa.RecordBatch:
+    """Rows of the result from each document's packed ids."""
+    flat = np.frombuffer(b"".join(made), dtype=np.int32)
+    sizes = np.array([len(x) // 4 for x in made], dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+    texts = pa.array([v.decode(flat[x:y].tolist()) for x, y in pairwise(ends.tolist())], pa.string())
+    return pa.RecordBatch.from_arrays([names, lists, pa.array(sizes), texts], names=out.fieldNames())
+
+
+def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", head: int | None = HEAD_WORDS) -> DataFrame:
     """One row a document: its identifier, ``ids``, ``n_tokens`` and ``decoded``, the text read back from the ids.
 
+    ``head``: so many of the most frequent words go through Spark's lattice, and others through the same fold in the
+    task that meets them; None: all words go through the lattice and are joined back, whatever that takes.
+
     Defined cases: a null or empty text has no ids and an empty ``decoded``; texts are encoded whole, words of any
     length; U+2581 counts as a space, as in the library; repeated rows and null identifiers are rows of their own; an
     empty table gives an empty result; other columns are not read.
     """
     small_batches(df.sparkSession)
+    if head is None:
+        return _joined(df, v, id_col, text_col)
     spark = df.sparkSession
     got = _packed_words(folded(head_words(df, v, text_col, head), v), v).toArrow()  # at most ``head`` rows, about 30 bytes each
     sink = pa.BufferOutputStream()
@@ -335,12 +378,7 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
                             if hit is None:
                                 hits[k] = known.get(words[k]) or known.setdefault(words[k], _packed(v.fold(words[k])))
                     made.append(b"".join(hits))
-                flat = np.frombuffer(b"".join(made), dtype=np.int32)
-                sizes = np.array([len(x) // 4 for x in made], dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                texts = pa.array([v.decode(flat[x:y].tolist()) for x, y in pairwise(ends.tolist())], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes), texts], names=out.fieldNames())
+                yield _rows(b.column(0), made, v, out)
         known.clear()
 
     return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(handing_back(run), out)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, pieces, pii, quality, sharding, toxicity, url_filter
+from clauseframe.llm import pipeline as corpus
 from clauseframe.session import table
 
 SHARDS = 8
@@ -20,18 +21,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: The chain's order: junk first, as it changes what words look like, then toxic.
-CATEGORIES = ["low_quality", "toxic"]
-
-
-def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
-    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return toxicity.train(table(spark, sf_dir, "documents"), labels, CATEGORIES)
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the chain's probabilities; those that are probably toxic are not kept."""
-    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_chain(spark, sf_dir))
+    scored = toxicity.score(table(spark, sf_dir, "documents"), corpus.toxicity_chain(spark, sf_dir))
     toxic = F.col("p_toxic") >= toxicity.THRESHOLD
     return scored.select("doc_id", "p_low_quality", "p_toxic", toxic.alias("toxic"), (~toxic).alias("kept"))
 
@@ -107,6 +99,26 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+_UPPER, _LOWER = url_filter._UPPER, url_filter._LOWER
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.x JOIN n nb ON nb.doc_id = p.y WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+), c AS (
+  SELECT doc_id, doc_id AS met FROM documents
+  UNION SELECT c.doc_id, e.y FROM c JOIN e ON c.met = e.x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(met) AS component_id FROM c GROUP BY doc_id) r USING (doc_id)
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and the verdict for every document."""
     return quality.repetition_quality(table(spark, sf_dir, "documents"))
@@ -151,10 +163,8 @@ FROM base LEFT JOIN by_line USING (doc_id) JOIN by_n USING (doc_id)
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents by source weights takes of each."""
     m = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    goals = spark.createDataFrame([(s.name, s.size, s.target) for s in m.plan], "name string, source_size long, target double")
-    taken = mixing.taken_words(m)
-    # One row a source, and the plan bounds the sources.
-    met = taken.join(F.broadcast(goals), F.col("__source").eqNullSafe(F.col("name")))
+    goals = m.sources.select(F.col("__source").alias("name"), F.col("size").alias("source_size"), "target")
+    met = mixing.taken_words(m).join(goals, F.col("__source").eqNullSafe(F.col("name")))
     return met.select(F.col("__row.doc_id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", "taken")
 
 
@@ -173,9 +183,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # it imports this module
-
-    return corpus_pipeline.run(spark, sf_dir)
+    """The five stages of the corpus pipeline, one after the other."""
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -187,4 +196,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL}

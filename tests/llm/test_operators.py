@@ -108,12 +108,13 @@ def test_ids_are_the_librarys(spark, awkward, empty, vocabulary):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [t for _, t, _ in AWKWARD] + sentences(50) + ["  two  spaces ", "</s><s>[INST]", "▁ mark", "tab\tline\n\nend", "日本語 naïve", "ab" * 100]
     df = table(spark, [(i, t, "x") for i, t in enumerate(texts)])
-    for r in pieces.encode(df, vocabulary, head=200).collect():
-        text = texts[r.doc_id] or ""
-        assert r.ids == sp.encode(text) and r.n_tokens == len(r.ids)
-        assert r.decoded == text.replace("▁", " ")
-    assert pieces.encode(empty, vocabulary).count() == 0
-    assert pieces.encode(awkward, vocabulary).count() == len(AWKWARD)
+    for head in (200, None):
+        for r in pieces.encode(df, vocabulary, head=head).collect():
+            text = texts[r.doc_id] or ""
+            assert r.ids == sp.encode(text) and r.n_tokens == len(r.ids)
+            assert r.decoded == text.replace("▁", " ")
+        assert pieces.encode(empty, vocabulary, head=head).count() == 0
+        assert pieces.encode(awkward, vocabulary, head=head).count() == len(AWKWARD)
 
 
 def test_relational_fold_is_the_plain_one(spark, vocabulary):
@@ -206,6 +207,30 @@ def test_numbers_beside_cards_and_ibans(value, text):
     assert "/" in text or "123-45" in text or all(x in got for x in beside)  # a date and an SSN get pseudonyms too
 
 
+def test_values_are_found_in_any_text():
+    """A text of values and words between marks is what each value gives alone; places of spans don't matter."""
+    f, rng = pii.Feistel(b"k" * 16), random.Random(18)
+    parts = [CARD, CARD4, IBAN, "+1 (663) 555-6869", "233.233.171.252", "2024-02-29", "123-45-6789", "bob.s@mail2.example.com", "0123456789abcdef" * 2, "plain", "12", "v1.2.3", "31/02/2024", "999.1.1.1"]
+    for n in (3, 40, 3000):
+        chosen = [rng.choice(parts) for _ in range(n)]
+        got, counts = pii.pseudonymize("; ".join(chosen), f)
+        assert got == "; ".join(pii.pseudonymize(x, f)[0] for x in chosen)
+        assert sum(counts.values()) == sum(x not in ("plain", "12", "v1.2.3", "31/02/2024", "999.1.1.1") for x in chosen)
+
+
+def test_days_and_names_are_linked_as_wholes():
+    f = pii.Feistel(b"k" * 16)
+    one = lambda x: pii.pseudonymize(x, f)[0]
+    day = tuple(map(int, one("2024-01-02").split("-")))
+    assert tuple(map(int, one("2024-1-2").split("-"))) == day and tuple(map(int, one("02.01.2024").split(".")))[::-1] == day and day != (2024, 1, 2)
+    assert len({one(f"{y}-{m:02}-{d:02}") for y in (1999, 2024) for m in range(1, 13) for d in range(1, 29)}) == 2 * 12 * 28
+    names = [one(f"a.{c}@x.com").split("@")[0] for c in "bcdefghijklm"]
+    assert len(set(names)) == 12 and len({n[0] for n in names}) > 3  # the part before the dot isn't linked across names
+    assert one("a.b@x.com").split("@")[0] != one("a.b@y.com").split("@")[0] and one("a.b@x.com").endswith("@x.com")
+    long = "0a" * 5000
+    assert one(long) != long and len(one(long)) == len(long) and one("0b" + long[2:])[-100:] != one(long)[-100:]
+
+
 def test_failed_numbers_stay():
     f = pii.Feistel(b"k" * 16)
     for text in ("4111111111111112 123", "12 4111 1111 1111 1112", "AT61 1904 3002 3457 3202 EUR", "4111111111111111a", "4111111111111111.5", "x4111111111111111"):
@@ -263,6 +288,23 @@ def test_chain_learns_and_passes_awkward_tables(spark, awkward, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].p_toxic < 0.5}
     none = toxicity.train(docs, known.limit(0), ["junk", "toxic"])
     assert toxicity.score(docs, none).where("p_toxic > 0.5").count() == 0
+    for r in toxicity.score(docs, chain).limit(50).collect():  # the sums, word by word
+        sums = np.zeros(2)
+        for w in set(rows[r.doc_id][1].split()):
+            sums += np.sum([chain.weights.get(f, (0, 0)) for f in toxicity.features_of(w)], axis=0)
+        z = sums[0] + chain.biases[0]
+        first = np.log(np.clip(1 / (1 + np.exp(-z)), 0.01, 0.99) / (1 - np.clip(1 / (1 + np.exp(-z)), 0.01, 0.99)))
+        assert r.p_junk == pytest.approx(1 / (1 + np.exp(-z))) and r.p_toxic == pytest.approx(1 / (1 + np.exp(-(sums[1] + chain.biases[1] + chain.links[1][0] * first))))
+
+
+def test_labels_and_repeated_rows_are_defined(spark):
+    """Of several labels the larger counts, of several texts the smallest; a very frequent row is one row of the sample."""
+    docs = table(spark, [(1, "b", "x")] * 200 + [(1, "a bad", "x"), (2, "fine", "x"), (3, None, "x"), (4, "y" * 60_000, "x")])
+    known = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, toxic int")
+    chain = toxicity.train(docs, known, ["toxic"], rows=10)
+    plain = toxicity.fit_chain([np.array([f for w in toxicity.words_of(t) for f in toxicity.features_of(w)], dtype=np.int32) for t in ("a bad", "fine")], np.array([[1.0], [0.0]]), ["toxic"])
+    assert chain.weights == plain.weights and chain.biases == plain.biases
+    assert [r.doc_id for r in toxicity.score(docs, chain).groupBy("doc_id").count().where("count = 201").collect()] == [1]
 
 
 # ---- 6
@@ -439,7 +481,7 @@ def plain_quality(text):
 
 def test_quality_is_the_plain_one(spark, empty):
     rng = random.Random(11)
-    texts = [t for _, t, _ in AWKWARD if len(t or "") < 50_000] + sentences(40, 11, 120)
+    texts = [t for _, t, _ in AWKWARD] + sentences(40, 11, 120) + [" ".join(f"w{i}" for i in range(30_000))]
     for t in sentences(30, 12, 60):
         w = t.split()
         texts.append("\n".join([" ".join(w), " ".join(w[: rng.randrange(1, len(w) + 1)]), " ".join(w), "# | <b>"]))
@@ -460,9 +502,64 @@ def test_quality_survives_collisions(monkeypatch):
 # ---- 9
 
 
+def plain_targets(sizes, weights, most=3):
+    """Shares of all sizes by weight; as long as any is above its limit, it is held there and the rest shared anew."""
+    held = {}
+    while True:
+        rest = sum(sizes) - sum(held.values())
+        free = [i for i, (n, w) in enumerate(zip(sizes, weights, strict=True)) if i not in held and n and w]
+        share = {i: rest * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = [i for i in free if share[i] > most * sizes[i]]
+        if not over:
+            return [float(held.get(i, share.get(i, 0))) for i in range(len(sizes))]
+        held |= {i: most * sizes[i] for i in over}
+
+
+def planned(spark, sizes, weights=None):
+    rows = spark.createDataFrame(sizes, "__source string, n long").repartition(3)
+    return mixing.plan_sources(rows, weights, 16).orderBy("number").collect()
+
+
 def test_targets_reshare_what_is_above(spark):
-    assert mixing.targets([10, 10, 100], [1, 2, 3]) == pytest.approx([22.5, 30.0, 67.5])  # 40 is above 30: 10 more for the others, by 1 and 3
-    assert mixing.targets([0, 5], [1, 1]) == [0.0, 5.0] and mixing.targets([], []) == []
+    got = planned(spark, [("b", 10), (None, 100), ("a", 10)])
+    assert [r["__source"] for r in got] == ["a", "b", None]
+    assert [r.target for r in got] == pytest.approx([22.5, 30.0, 67.5])  # 40 is above 30: 10 more for the others, by 1 and 3
+    assert [r.target for r in planned(spark, [("x", 0), ("y", 5)], {"x": 1, "y": 1})] == [0.0, 5.0] and planned(spark, []) == []
+    rng = random.Random(13)
+    for _ in range(3):
+        sizes = [(f"s{i:02}", rng.choice([0, 1, 5, 40, 1000])) for i in range(rng.randrange(1, 30))]
+        got = planned(spark, sizes)
+        assert [r.target for r in got] == pytest.approx(plain_targets([n for _, n in sizes], [i % 3 + 1 for i in range(len(sizes))]))
+        assert all(r.words == round(r.target) or abs(r.words - r.target) <= 0.5 for r in got)
+
+
+def test_permutations_run_back(spark):
+    x, n, key = F.col("id"), F.lit(100), F.lit(9)
+    assert spark.range(100).where(mixing.permuted(mixing.permuted(x, n, key), n, key, back=True) != x).count() == 0
+
+
+def test_mix_in_bundles(spark, monkeypatch):
+    """More sources than the driver draws for: several share a bundle."""
+    monkeypatch.setattr(mixing, "MOST_BUNDLES", 3)
+    rows = [(i, t, f"s{i % 11}") for i, t in enumerate(sentences(200, 17, 60))]
+    m = mixing.mix(table(spark, rows), block_words=16, shards=4)
+    taken, words = collections.Counter(), {r["__source"]: r.words for r in m.sources.collect()}
+    for r in mixing.taken_words(m).collect():
+        taken[r["__source"]] += r.taken
+    assert dict(taken) == words
+    slots = m.slots.collect()
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) and len({(r["__source"], r["__times"], r["__block"]) for r in slots}) == len(slots)
+    by_shard = collections.Counter(r.shard for r in slots)
+    assert len(by_shard) == 4 and max(by_shard.values()) - min(by_shard.values()) <= 11 and all(len({r["__source"] for r in slots if r.shard == k}) > 5 for k in range(4))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "", "a"), (2, None, "a")], [(7, "word " * 40_000, "long"), (8, "one two", None)]])
+def test_mix_of_awkward_tables(spark, rows):
+    m = mixing.mix(table(spark, rows))
+    got = {r["__row"].doc_id: r.taken for r in mixing.taken_words(m).collect()}
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    assert set(got) == set(size) and all(got[i] <= 3 * n for i, n in size.items())
+    assert sum(got.values()) == sum(r.words for r in m.sources.collect())
 
 
 def test_permutations_of_any_size(spark):
@@ -487,8 +584,9 @@ def test_mix_takes_exactly_its_targets(spark, empty):
         assert r["__size"] == len(WORD.findall(r["__row"].text or "")) and r.taken <= 3 * r["__size"]
         size[r["__source"]] += r["__size"]
         taken[r["__source"]] += r.taken
-    assert {s.name: s.size for s in m.plan} == dict(size)
-    assert all(taken[s.name] == s.words and abs(s.words - s.target) < 1 for s in m.plan)
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, plain_targets([size[s] for s in names], [i % 3 + 1 for i in range(len(names))]), strict=True))
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in names)
     texts_out = mixing.mixed_documents(m).collect()
     assert sum(len(WORD.findall(r.text)) for r in texts_out) == sum(taken.values())
     slots = m.slots.collect()
