@@ -1,82 +1,5 @@
-"""A training corpus from raw documents: toxic ones out, exact and near duplicates out, sources mixed, texts as piece ids.
+"""The corpus pipeline: its stages, in order, and the whole run. See ``clauseframe.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a table; all but the last
-return the columns of ``documents``.
-"""
+from clauseframe.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import functools
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from clauseframe.llm import exact_dedup, mixing, near_dedup, pieces, toxicity
-from clauseframe.llm.common import recorded, release, shared_dir
-from clauseframe.llm.queries import toxicity_chain
-
-#: Tables that stages wrote on their way. As a stage's result is written before the next begins, that one can delete them.
-_LEFT: list[str] = []
-
-
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    @functools.wraps(work)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _LEFT, docs)
-        with recorded(_LEFT):
-            return work(spark, docs, sf_dir)
-
-    return run_stage
-
-
-
-@_stage
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't call toxic, as they were."""
-    return toxicity.keep_clean(docs, toxicity_chain(spark, sf_dir))
-
-
-@_stage
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest identifier."""
-    return exact_dedup.drop_exact_duplicates(docs, keep="largest")
-
-
-@_stage
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of similar shingle sets connect, the one with the smallest identifier."""
-    return near_dedup.drop_near_duplicates(docs)
-
-
-@_stage
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, or parts of them, as often as a mix by source weights takes them."""
-    mixed = mixing.mixed_documents(mixing.mix(docs))
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-@_stage
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and the text read back from them."""
-    return pieces.encode(docs, pieces.Vocabulary.load())
-
-
-STAGES = [
-    ("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies),
-    ("source mixing", mix_sources), ("piece encoding", encode_pieces),
-]
-
-#: The models of the first stage and the draws of the fourth have no counterpart in SQL; tests hold each stage against a plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
-        docs = spark.read.parquet(f"{top}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
