@@ -33,6 +33,8 @@ def _literal(v: object) -> str:
         return "NULL"
     if isinstance(v, str):
         return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        return f"{v}::DOUBLE"
     return str(v)
 
 
