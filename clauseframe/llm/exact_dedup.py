@@ -9,11 +9,12 @@ touch the edge of a range are put together by their full text, and their rows jo
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,7 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from clauseframe.llm.common import handing_back, materialize, small_batches
 
 #: Bytes of a text that take part in a splitter.
-PREFIX_BYTES = 64
+PREFIX_BYTES = 32
+#: Rows that Spark samples for each range: the ranges' sizes vary by about a quarter, and the driver sees few rows.
+SAMPLES = 20
 #: Rows of an output batch, and characters of texts carried in it.
 OUT_ROWS, OUT_CHARS = 20_000, 16_000_000
 
@@ -98,6 +101,16 @@ def _scan(schema: T.StructType, carry: bool, inside: int | None):
     return scan
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def exact_groups(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalize: Column | None = None, carry: bool = False
 ) -> DataFrame:
@@ -130,7 +143,8 @@ def exact_groups(
         T.StructField("__last", T.BooleanType()), T.StructField("__part", T.IntegerType()), T.StructField("__run", T.LongType()),
         T.StructField("__run_size", T.LongType()), T.StructField("__edge_text", T.StringType()), *([T.StructField("__row", rows.schema["__row"].dataType)] if carry else []),
     ])
-    scanned = materialize(ranged.mapInArrow(handing_back(_scan(schema, carry, inside)), schema), "exact-dedup")
+    with _setting(df.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SAMPLES)):
+        scanned = materialize(ranged.mapInArrow(handing_back(_scan(schema, carry, inside)), schema), "exact-dedup")
     # Only rows of runs at edges need the join: a few runs a range, and the ranges of copies that fill several.
     edge = scanned.where("__run IS NOT NULL")
     runs = edge.where("__edge_text IS NOT NULL").select("__edge_text", "__part", "__run", "__run_size", "__id")
