@@ -1,6 +1,6 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for all other URLs.
 
-The trees are fitted on the driver from a bounded, hash-ordered sample of labelled URLs: second-order boosting of the
+The trees are fitted in one task from a bounded, hash-ordered sample of labelled URLs: second-order boosting of the
 logistic loss over binned features. Features are lengths, depth, digit ratio, entropy, counts of parameters and marks,
 and what the labelled URLs say of a host's suffixes. The labels of a training row's whole host are left out of its own
 suffix statistics, so the trees learn how far suffixes tell of hosts that no label names.
@@ -9,12 +9,14 @@ suffix statistics, so the trees learn how far suffixes tell of hosts that no lab
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from clauseframe.llm.common import first_by_hash
 
 #: Labelled URLs that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
+#: Longest URL that is trained on.
+TRAIN_CHARS = 2_000
 TREES, DEPTH, RATE, BINS, LEAST_HESSIAN, RIDGE = 60, 4, 0.2, 32, 5.0, 1.0
 #: Weight of the overall share in a suffix's share.
 PRIOR = 10.0
@@ -194,14 +198,23 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked", rows: int = TRAIN_ROWS, seed: int = 1) -> UrlModel:
-    """Fit on at most ``rows`` labelled URLs, the first by a hash of the URL; rows without URL or label are passed over.
+    """Fit on at most ``rows`` labelled URLs, the first by a hash of the URL, in one task; rows without URL or label, and URLs
+    of more than TRAIN_CHARS characters, are passed over.
 
     Copies of a URL with the same label count once, so a frequent URL doesn't take the places of others.
     """
     url = F.col(f"`{url_col}`")
     picked = labelled.select(url.alias("u"), host_of(url).alias("h"), path_of(url).alias("p"), F.col(f"`{blocked_col}`").cast("boolean").alias("b"))
-    got = first_by_hash(picked.where("u IS NOT NULL AND b IS NOT NULL"), F.col("u"), rows, seed).collect()
-    return UrlModel.fit([(r["u"], r["h"], r["p"]) for r in got], [r["b"] for r in got])
+    sample = first_by_hash(picked.where((F.length("u") <= TRAIN_CHARS) & F.col("b").isNotNull()), F.col("u"), rows, seed)
+
+    def fit(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values(["u", "b"])
+        model = UrlModel.fit(list(zip(got["u"], got["h"], got["p"], strict=True)), got["b"].astype(bool).tolist())
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # The sample is bounded, so one task can hold it; the driver gets the model only.
+    made = sample.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(fit, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else UrlModel.fit([], [])
 
 
 def judge(df: DataFrame, rules: list[Rule], model: UrlModel | None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
