@@ -33,7 +33,9 @@ MARK = "▁"
 #: Words that are folded once for all tasks, at most; longest word that a 64-bit mask holds.
 HEAD_WORDS, MASK_CHARS = 200_000, 60
 #: Words a task remembers besides; words that it counts before it passes them on.
-CACHE_WORDS, COUNT_WORDS = 200_000, 300_000
+CACHE_WORDS, COUNT_WORDS = 300_000, 400_000
+#: Ids whose bytes are looked up at once.
+DECODE_IDS = 500_000
 _NONE = float("-inf")
 _ENDS = "\n\t\r\x0b\x0c"
 
@@ -165,6 +167,30 @@ class Vocabulary:
     def by_id(self) -> dict[int, bytes]:
         return {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes_)}
 
+    @cached_property
+    def _spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces' bytes in a row, and by id where each begins and how long it is."""
+        most = max(self.by_id, default=0) + 1
+        each = [self.by_id.get(i, b"\xe2\x81\x87") for i in range(most + 1)]  # the last for ids beyond
+        sizes = np.array([len(x) for x in each], dtype=np.int64)
+        return np.frombuffer(b"".join(each), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def decode_many(self, flat: np.ndarray, ends: list[int]) -> list[str]:
+        """The texts of several lists of ids that lie one after the other: of each, where it ends; as ``decode`` gives them."""
+        blob, starts, sizes = self._spelled
+        parts, cut = [], [np.zeros(1, dtype=np.int64)]
+        done = 0
+        for i in range(0, len(flat), DECODE_IDS):
+            ids = flat[i : i + DECODE_IDS]
+            ids = np.where((ids < 0) | (ids >= len(sizes)), len(sizes) - 1, ids)
+            size = sizes[ids]
+            to = np.cumsum(size)
+            parts.append(blob[np.arange(to[-1]) + np.repeat(starts[ids] - (to - size), size)].tobytes())
+            cut.append(to + done)
+            done += int(to[-1])
+        data, at = b"".join(parts), np.concatenate(cut)[ends].tolist()
+        return [x.removeprefix(" ") for x in (data[a:b].decode("utf-8", "replace") for a, b in pairwise([0, *at]))]
+
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; the space that encoding puts in front is taken off, bytes that are no UTF-8 become U+FFFD."""
         try:
@@ -331,7 +357,7 @@ def _rows(names: pa.Array, made: list[bytes], v: Vocabulary, out: T.StructType)
     sizes = np.array([len(x) // 4 for x in made], dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-    texts = pa.array([v.decode(flat[x:y].tolist()) for x, y in pairwise(ends.tolist())], pa.string())
+    texts = pa.array(v.decode_many(flat, ends[1:].tolist()), pa.string())
     return pa.RecordBatch.from_arrays([names, lists, pa.array(sizes), texts], names=out.fieldNames())
 
 
@@ -364,8 +390,8 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
         fill = lambda: known.update(zip(*(c.to_pylist() for c in head.columns), strict=True))
         fill()
         for whole in batches:
-            for i in range(0, whole.num_rows, 200):
-                b = whole.slice(i, 200)
+            for i in range(0, whole.num_rows, 300):
+                b = whole.slice(i, 300)
                 made: list[bytes] = []
                 for text in b.column(1).to_pylist():
                     words = v.words(text or "")

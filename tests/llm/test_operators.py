@@ -153,6 +153,15 @@ def test_best_paths_of_unigram_models(spark):
         assert abs(sum(score.get(i, low) for i in v.fold(w)) - brute(w)) < 1e-6
 
 
+def test_many_texts_are_decoded_as_one_by_one(vocabulary, monkeypatch):
+    rng = random.Random(20)
+    lists = [[], [0], [-1, 10**6], *([rng.randrange(32_000) for _ in range(rng.randrange(60))] for _ in range(40)), vocabulary.fold(" hello"), [3 + b for b in "é".encode()]]
+    for most in (7, 500_000):
+        monkeypatch.setattr(pieces, "DECODE_IDS", most)
+        flat = np.array([i for x in lists for i in x], dtype=np.int32)
+        assert vocabulary.decode_many(flat, np.cumsum([len(x) for x in lists]).tolist()) == [vocabulary.decode(x) for x in lists]
+
+
 def test_decode_table(spark, vocabulary):
     df = spark.createDataFrame([(1, vocabulary.fold(" hello")), (2, None), (3, [])], "k long, ids array<int>")
     assert {r.k: r.decoded for r in pieces.decode(df, vocabulary).collect()} == {1: "hello", 2: None, 3: ""}
