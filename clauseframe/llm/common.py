@@ -24,7 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch on its way to a Python worker: whole texts may be long, and a worker holds a few batches at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of a row group of a table between steps: what a writing task holds.
+GROUP_BYTES = 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -42,7 +44,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     noted = _noted.get()
     if noted is not None:
         noted.append(path)

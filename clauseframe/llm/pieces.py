@@ -33,7 +33,7 @@ MARK = "▁"
 #: Words that are folded once for all tasks, at most; longest word that a 64-bit mask holds.
 HEAD_WORDS, MASK_CHARS = 200_000, 60
 #: Words a task remembers besides; words that it counts before it passes them on.
-CACHE_WORDS, COUNT_WORDS = 300_000, 400_000
+CACHE_WORDS, COUNT_WORDS = 100_000, 200_000
 #: Ids whose bytes are looked up at once.
 DECODE_IDS = 500_000
 _NONE = float("-inf")
@@ -378,34 +378,33 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
     got = _packed_words(folded(head_words(df, v, text_col, head), v), v).toArrow()  # at most ``head`` rows, about 30 bytes each
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, got.schema) as writer:
-        writer.write_table(got)
+        writer.write_table(got, max_chunksize=10_000)
     shared = spark.sparkContext.broadcast((v, sink.getvalue().to_pybytes()))
     del got, sink
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *columns(ids="int[]", n_tokens="long", decoded="string")])
-    known: dict[str, bytes] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, stream = shared.value
-        head = pa.ipc.open_stream(stream).read_all()
-        fill = lambda: known.update(zip(*(c.to_pylist() for c in head.columns), strict=True))
-        fill()
+        head: dict[str, bytes] = {}
+        for b in pa.ipc.open_stream(stream):
+            head.update(zip(*(c.to_pylist() for c in b.columns), strict=True))
+        others: dict[str, bytes] = {}
         for whole in batches:
             for i in range(0, whole.num_rows, 300):
                 b = whole.slice(i, 300)
                 made: list[bytes] = []
                 for text in b.column(1).to_pylist():
                     words = v.words(text or "")
-                    hits = list(map(known.get, words))
+                    hits = list(map(head.get, words))
                     if None in hits:
-                        if len(known) >= head.num_rows + CACHE_WORDS:
-                            known.clear()
-                            fill()
                         for k, hit in enumerate(hits):
                             if hit is None:
-                                hits[k] = known.get(words[k]) or known.setdefault(words[k], _packed(v.fold(words[k])))
+                                word = words[k]
+                                hits[k] = others.get(word) or others.setdefault(word, _packed(v.fold(word)))
+                        if len(others) > CACHE_WORDS:
+                            others.clear()
                     made.append(b"".join(hits))
                 yield _rows(b.column(0), made, v, out)
-        known.clear()
 
     return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(handing_back(run), out)
 
