@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -64,3 +64,17 @@ def passages(df: DataFrame, key_cols: list[str], html_col: str = "cleaned_html")
     """
     parsed = _column(df.select(*key_cols, html_col), html_col, "__passages", T.ArrayType(PASSAGE), _rows)
     return parsed.select(*key_cols, F.explode("__passages").alias("p")).select(*key_cols, "p.idx", "p.type", "p.context", "p.passage")
+
+
+@F.udtf(returnType="idx int, type string, context array<struct<text:string,type:string>>, passage string")
+class PassagesOf:
+    """Passages of one cleaned page, as a table function: for SQL, where a page is a lateral argument."""
+
+    def eval(self, cleaned_html: str):
+        for r in _rows(cleaned_html):
+            yield r["idx"], r["type"], r["context"], r["passage"]
+
+
+def register(spark: SparkSession, name: str = "passages_of") -> None:
+    """Let SQL call ``passages_of(html)``."""
+    spark.udtf.register(name, PassagesOf)

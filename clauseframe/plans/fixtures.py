@@ -163,6 +163,30 @@ def fixture_store_metadata(spark, sf_dir):
     return got.select("pkg", F.explode(F.array(*fields)).alias("f")).select("pkg", "f.field", "f.value").where("value IS NOT NULL")
 
 
+@expect("pkg, idx, type, passage", ("blocks", 0, "headline", "A"), ("blocks", 7, "text", "w"), ("table", 5, "table_cell", "c"))
+def fixture_passages_in_sql(spark, sf_dir):
+    """The same passages by a table function, for SQL."""
+    html.register(spark)
+    spark.createDataFrame(PARSED, "pkg string, cleaned_html string").createOrReplaceTempView("fixture_pages")
+    return spark.sql("SELECT pkg, p.idx, p.type, p.passage FROM fixture_pages, LATERAL passages_of(cleaned_html) p WHERE p.passage IN ('A', 'w', 'c')")
+
+
+@expect("name, charset, text", ("mark", "utf-8-sig", "é"), ("utf-8", "utf-8", "é ü"), ("latin", "cp1252", "café à"), ("wide", "utf-16-le", "plain"), ("russian", "cp1251", "Политика конфиденциальности"), ("japanese", "shift_jis", "これはプライバシーポリシーです"), ("korean", "euc_kr", "개인정보 처리방침입니다"), ("ascii", "utf-8", "plain"))
+def fixture_charsets(spark, sf_dir):
+    rows = [
+        ("mark", "é".encode("utf-8-sig")), ("utf-8", "é ü".encode()), ("latin", "café à".encode("cp1252")), ("wide", "plain".encode("utf-16-le")),
+        ("russian", "Политика конфиденциальности".encode("cp1251")), ("japanese", "これはプライバシーポリシーです".encode("shift_jis")), ("korean", "개인정보 처리방침입니다".encode("euc_kr")), ("ascii", b"plain"),
+    ]
+    return spark.createDataFrame([(n, readers.charset_of(b), readers.decode_bytes(b)) for n, b in rows], "name string, charset string, text string")
+
+
+@expect("label, known, ratio", ("abcd", "bcde", 0.75), ("abcd", "zz", 0.0), ("zz", "zz", 1.0))
+def fixture_similarity(spark, sf_dir):
+    """Ratios of matching blocks: three letters of four in both are 2 * 3 / 8; a label that is known is like itself only."""
+    rows = [(x, k, r) for x in ("abcd", "zz") for k, r in vocab.similarity_map(x, ["bcde", "zz"]).items()]
+    return spark.createDataFrame(rows, "label string, known string, ratio double")
+
+
 # ---- texts ---------------------------------------------------------------------------------------------------------
 
 

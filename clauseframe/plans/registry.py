@@ -494,6 +494,32 @@ def stream_upsert(spark, sf_dir):
     return spark.read.parquet(f"{top}/table").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query(_EVENT_HOURS)
+def stream_event_windows(spark, sf_dir):
+    """The hourly counts of a stream with a watermark: what each micro-batch changes replaces the windows it is of."""
+    top = f"{sinks.scratch_folder(spark)}/windows-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counted = incremental.event_counts(stream)
+    writer = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{top}/checkpoint")
+    writer.foreachBatch(lambda df, _: sinks.write_stage(df, f"{top}/table")).trigger(availableNow=True).start().awaitTermination()
+    return _hours(spark.read.parquet(f"{top}/table"))
+
+
+@query("""
+SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+WHERE before IS DISTINCT FROM event_type
+""")
+def stream_state_changes(spark, sf_dir):
+    """Changes of state in a stream, the last state of each user kept between micro-batches."""
+    top = f"{sinks.scratch_folder(spark)}/changes-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    changed = incremental.state_changes(stream, "user_id", "ts", "event_type", "event_id")
+    changed.writeStream.option("checkpointLocation", f"{top}/checkpoint").format("parquet").option("path", f"{top}/table").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changed.schema).parquet(f"{top}/table")
+
+
 # ---- built-in relational operators, unchanged --------------------------------------------------------------------
 
 

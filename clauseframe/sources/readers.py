@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,16 +44,48 @@ def _name() -> Column:
 
 
 def decode_bytes(content: bytes | None) -> str | None:
-    """Text of a file: by its byte order mark, else as UTF-8, else as Windows-1252."""
-    if content is None:
-        return None
+    """Text of a file in the charset that it seems to have."""
+    return None if content is None else content.decode(charset_of(content), "replace")
+
+
+def charset_of(content: bytes) -> str:
+    """By the byte order mark; else UTF-16 by the zero bytes of its plain letters, UTF-8 if it is valid, Windows-1251 if the
+    bytes beyond ASCII look like words of it, a charset of East Asia if it is valid and most of its wide characters are common
+    letters there; else Windows-1252."""
     for mark, charset in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if content.startswith(mark):
-            return content.decode(charset, "replace")
+            return charset
+    even, odd = content[0::2].count(0), content[1::2].count(0)
+    if max(even, odd) > len(content) // 5:
+        return "utf-16-le" if odd > even else "utf-16-be"
+    if _valid(content, "utf-8") is not None:
+        return "utf-8"
+    high = re.findall(rb"[\x80-\xff]+", content)
+    if (most := sum(map(len, high))) >= 8:
+        # In Windows-1251 the small letters are the bytes from 0xe0 on, and capitals begin words.
+        small = sum(len(re.sub(rb"^[\xc0-\xdf]|[\xe0-\xff]", b"", h)) for h in high)
+        if small < 0.1 * most and sum(len(h) for h in high if len(h) > 2) > 0.8 * most:
+            return "cp1251"
+        for charset, common in _WIDE:
+            text = _valid(content, charset)
+            wide = [c for c in text or "" if c > "\x7f"]
+            if wide and sum(bool(common.match(c)) for c in wide) > 0.9 * len(wide):
+                return charset
+    return "cp1252"
+
+
+def _valid(content: bytes, charset: str) -> str | None:
     try:
-        return content.decode("utf-8")
+        return content.decode(charset)
     except UnicodeDecodeError:
-        return content.decode("cp1252", "replace")
+        return None
+
+
+#: Charsets with characters of two bytes, and the letters that make up most texts in them.
+_WIDE = [
+    ("shift_jis", re.compile("[\u3040-\u30ff\u3000-\u303f\u4e00-\u9fff\uff01-\uff60]")), ("euc_kr", re.compile("[\uac00-\ud7a3\u3000-\u303f]")), ("euc_jp", re.compile("[\u3040-\u30ff\u3000-\u303f\u4e00-\u9fff\uff01-\uff60]")),
+    ("gb18030", re.compile("[\u4e00-\u9fff\u3000-\u303f\uff01-\uff60]")), ("big5", re.compile("[\u4e00-\u9fff\u3000-\u303f\uff01-\uff60]")),
+]
 
 
 def stage_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState
 
 from clauseframe.operators import html, ledger
 from clauseframe.sources import sinks
@@ -53,6 +56,27 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return counted.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def state_changes(stream: DataFrame, key: str, order: str, state: str, row: str) -> DataFrame:
+    """(key, row, state) of a stream at which a key's state differs from the one before, the first included.
+
+    The last state of each key is kept between micro-batches; inside one, rows are taken in the order of ``order``, then
+    ``row``. What a later batch brings is taken to come later.
+    """
+    kinds = stream.schema
+    out = T.StructType([kinds[key], kinds[row], kinds[state]])
+    kept = T.StructType([T.StructField("last", T.StringType())])
+
+    def work(keys: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values([order, row])
+        last = held.get[0] if held.exists else None
+        before = rows[state].shift(1, fill_value=last)
+        held.update((rows[state].iat[-1],))
+        changed = rows[rows[state].ne(before) & ~(rows[state].isna() & before.isna())]
+        yield changed[[key, row, state]]
+
+    return stream.select(key, order, row, state).groupBy(key).applyInPandasWithState(work, out, kept, "append", "NoTimeout")
+
+
 def wait_for_batch(status: Callable[[], str], states: dict[str, str] = ledger.STATES_A, every: float = 60.0, most: float = 86_400.0, sleep: Callable[[float], None] = time.sleep) -> str:
     """Ask for a batch's state until it is one that doesn't change any more; a state that is never left doesn't keep it for ever."""
     waited = 0.0
