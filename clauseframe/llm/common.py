@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch on its way to a Python worker: whole texts may be long, and a worker holds a few batches at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of a row group of a table between steps: what a writing task holds.
 GROUP_BYTES = 32 << 20
 

@@ -33,9 +33,9 @@ MARK = "▁"
 #: Words that are folded once for all tasks, at most; longest word that a 64-bit mask holds.
 HEAD_WORDS, MASK_CHARS = 200_000, 60
 #: Words a task remembers besides; words that it counts before it passes them on.
-CACHE_WORDS, COUNT_WORDS = 100_000, 200_000
+CACHE_WORDS, COUNT_WORDS = 30_000, 200_000
 #: Ids whose bytes are looked up at once.
-DECODE_IDS = 500_000
+DECODE_IDS = 50_000
 _NONE = float("-inf")
 _ENDS = "\n\t\r\x0b\x0c"
 
@@ -390,8 +390,8 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
             head.update(zip(*(c.to_pylist() for c in b.columns), strict=True))
         others: dict[str, bytes] = {}
         for whole in batches:
-            for i in range(0, whole.num_rows, 300):
-                b = whole.slice(i, 300)
+            for i in range(0, whole.num_rows, 100):
+                b = whole.slice(i, 100)
                 made: list[bytes] = []
                 for text in b.column(1).to_pylist():
                     words = v.words(text or "")
