@@ -37,14 +37,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors.
-
-    Whatever is drawn or numbered before this point is data after it, so a recomputed task can't change it.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when nothing reads it any more."""
     path = f"{scratch_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     noted = _noted.get()
     if noted is not None:
         noted.append(path)
@@ -53,7 +48,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         if len(_left) == 1:
             atexit.unregister(_clear)
             atexit.register(_clear, spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, tag: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
+    """Write a table to the shared folder (a new path there, if none is given) and read it again: cuts the lineage and
+    survives lost executors.
+
+    Whatever is drawn or numbered before this point is data after it, so a recomputed task can't change it.
+    """
+    path = path or new_path(df.sparkSession, tag)
+    df.write.option("parquet.block.size", GROUP_BYTES).option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Where tables are noted that this context writes, if anywhere; tables of results that are read later, by application.

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, pieces, pii, quality, sharding, toxicity, url_filter
+from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, pieces, pii, prefix_trie, quality, sharding, toxicity, url_filter
 from clauseframe.llm import pipeline as corpus
+from clauseframe.llm.common import materialize
 from clauseframe.session import table
 
 SHARDS = 8
@@ -182,6 +183,71 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, model)
 
 
+#: The first turns of every so many conversations come from the first of them, fewer than so many.
+FAMILY, BORROWED = 20, 4
+
+
+def rebuilt_conversations(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and conversations as ``prefix_trie`` takes them, the first turns of each borrowed from its family's first."""
+    convs = numbered.groupBy("conv_id").agg(F.max("pos").alias("n_own")).withColumns(
+        {"base": F.col("conv_id") - F.col("conv_id") % FAMILY, "h": F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")) % BORROWED}
+    )
+    firsts = numbered.where((F.col("conv_id") % FAMILY == 0) & (F.col("pos") < BORROWED)).groupBy(F.col("conv_id").alias("base"))
+    firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("pos", "turn_id", "words"))).alias("firsts"))  # three at most
+    met = convs.join(firsts, "base", "left").withColumn("borrowed", F.slice(F.coalesce("firsts", F.array().cast(firsts.schema["firsts"].dataType)), 1, F.col("h").cast("int")))
+    met = met.withColumn("n_turns", F.size("borrowed") + F.greatest(F.col("n_own") - F.col("h"), F.lit(0)))
+    met = materialize(met.select("conv_id", "h", "n_turns", "borrowed"), "trie-rebuilt")
+    lent = met.select("conv_id", "n_turns", F.explode("borrowed").alias("t")).select("conv_id", "t.pos", "t.turn_id", "t.words", "n_turns")
+    shift = met.select("conv_id", "h", "n_turns", F.size("borrowed").alias("n_borrowed"))
+    own = numbered.join(shift, "conv_id").where("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("n_borrowed")).alias("pos"), "turn_id", "words", "n_turns")
+    return lent.unionByName(own), met.select("conv_id", "n_turns")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    numbered = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*rebuilt_conversations(numbered))
+
+
+_TURN_ID = "sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+OP12_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, {_TURN_ID} AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN_ID}) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (  -- CRC-32, a byte and eight shifts at a time
+  SELECT conv_id, xor(4294967295, list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x::BIGINT) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT)) % {BORROWED} AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS depth, id, words FROM (
+    SELECT c.conv_id, 0 AS own, t.k, t.id, t.words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % {FAMILY} AND t.k <= c.h
+    UNION ALL SELECT t.conv_id, 1, t.k, t.id, t.words FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h)
+), m AS (
+  SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS words FROM c
+  UNION ALL SELECT conv_id, depth, sha256(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth)), words FROM r
+), l AS (
+  SELECT conv_id, max(depth) AS n_turns FROM m GROUP BY conv_id
+), n AS (
+  SELECT depth, prefix, min(m.conv_id) AS node, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+         sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (n_turns = depth), '')) AS ends_sha256
+  FROM m JOIN l USING (conv_id) GROUP BY depth, prefix
+), p AS (
+  SELECT m.conv_id, m.depth, n.node FROM m JOIN n USING (depth, prefix)
+), o AS (
+  SELECT n.*, p.node AS parent FROM n LEFT JOIN p ON p.conv_id = n.node AND p.depth = n.depth - 1
+), k AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM o WHERE depth > 0 GROUP BY ALL
+), f AS (
+  SELECT o.*, coalesce(k.n_children, 0) AS n_children FROM o LEFT JOIN k USING (node, depth)
+), s AS (
+  SELECT p.node, p.depth, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.own)::BIGINT AS saved_tokens
+  FROM f JOIN p ON p.conv_id = f.node AND p.depth <= f.depth GROUP BY ALL
+)
+SELECT f.node AS conv_id, f.depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256 FROM f JOIN s USING (node, depth)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline, one after the other."""
     return corpus.run(spark, sf_dir)
@@ -191,9 +257,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding, "op2_sentencepiece": op2_sentencepiece, "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op4_chat_format": op4_chat_format, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
-        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter, "pipeline": pipeline,
+        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter, "op12_prefix_trie": op12_prefix_trie, "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_prefix_trie": OP12_SQL}
