@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, pieces, pii, prefix_trie, quality, sharding, toxicity, url_filter
+from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, pieces, pii, prefix_trie, quality, sharding, toxicity, url_filter, warc
 from clauseframe.llm import pipeline as corpus
 from clauseframe.llm.common import materialize
 from clauseframe.session import table
@@ -183,6 +183,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, model)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back from the archives."""
+    read = warc.archive(table(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+    return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+#: Base 32 of a hexadecimal digest, five hexadecimal digits to four letters.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+  (('0x' || substr({h}, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '')"""
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(html) AS payload_bytes, {_BASE32.format(h="sha1(html)")} AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p
+"""
+
 #: The first turns of every so many conversations come from the first of them, fewer than so many.
 FAMILY, BORROWED = 20, 4
 
@@ -257,9 +274,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding, "op2_sentencepiece": op2_sentencepiece, "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op4_chat_format": op4_chat_format, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
-        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter, "op12_prefix_trie": op12_prefix_trie, "pipeline": pipeline,
+        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter, "op11_warc": op11_warc, "op12_prefix_trie": op12_prefix_trie, "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL, "op11_warc": OP11_SQL, "op12_prefix_trie": OP12_SQL}
