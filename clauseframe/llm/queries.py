@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseframe.llm import chat, exact_dedup, mixing, near_dedup, pieces, pii, prefix_trie, quality, sharding, toxicity, url_filter, warc
+from clauseframe.llm import alignment, chat, exact_dedup, mixing, near_dedup, pieces, pii, prefix_trie, quality, sharding, toxicity, url_filter, warc
 from clauseframe.llm import pipeline as corpus
 from clauseframe.llm.common import materialize
 from clauseframe.session import table
@@ -265,6 +265,12 @@ SELECT f.node AS conv_id, f.depth, f.parent AS parent_conv_id, f.n_convs, f.n_ch
 """
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two vocabularies, aligned, with the corpus-wide counts of their links."""
+    made = alignment.align(table(spark, sf_dir, "documents"), alignment.Tokenizer.byte_level(), alignment.Tokenizer.pieces())
+    return made.docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline, one after the other."""
     return corpus.run(spark, sf_dir)
@@ -274,7 +280,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding, "op2_sentencepiece": op2_sentencepiece, "op3_pii_pseudonyms": op3_pii_pseudonyms,
         "op4_chat_format": op4_chat_format, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules,
-        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter, "op11_warc": op11_warc, "op12_prefix_trie": op12_prefix_trie, "pipeline": pipeline,
+        "op9_source_mixing": op9_source_mixing, "op10_url_filter": op10_url_filter, "op11_warc": op11_warc, "op12_prefix_trie": op12_prefix_trie, "op13_token_alignment": op13_token_alignment, "pipeline": pipeline,
     }
 
 
