@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,7 @@ BLOCK_BYTES, SHORT = 4 << 20, 2
 DIMENSIONS = 256
 #: What a prompt says where there is no background.
 NO_REQUIREMENTS, NO_BACKGROUND = "(No requirements provided, no legal background available.)", "(No legal background available for these requirements.)"
-#: Largest example table that is scored by Spark's own expressions, and keyword queries that a task holds at most; more are asked in turns.
+#: Largest example table that is scored by Spark's own expressions, and keyword queries of a block.
 MOST_RELATIONAL, MOST_QUERIES = 1000, 10_000
 SIMILAR, PER_LABEL, LEAST_SCORE = 5, 2, 0.5
 Embedder = Callable[[list[str]], np.ndarray]
@@ -58,24 +59,31 @@ def effective_threshold(confidence: float) -> float:
 
 def top_k(
     queries: DataFrame, examples: DataFrame, k: int, query_id: str = "query_id", example_id: str = "example_id", vector: str = "embedding",
-    threshold: float | None = None, by: list[str] | None = None, exclude_self: bool = False,
+    threshold: float | None = None, by: list[str] | None = None, exclude_self: bool = False, digits: int = 12,
 ) -> DataFrame:
     """(query_id, example_id, score, rank, *by): the k best examples of each query by dot product, ties by example id.
 
     A query is compared with the examples whose vectors are as long as its own; null vectors match nothing. Both sides are
-    packed where they lie into blocks of bounded bytes; every block of queries meets every block of examples once, on
-    executors, in one matrix product, and only the k best of each query leave it: rows grow with queries and blocks, not
-    with pairs. Spark sends the smaller side's blocks to all tasks if they are few, else it deals out the pairs of blocks.
-    Scores are rounded to 12 decimals, so that equal vectors tie wherever they lie in a block. ``by``: columns of the
-    examples to search separately.
+    packed where they lie into blocks of bounded bytes. Blocks of examples are dealt to shards, and each block of queries is
+    repeated for every shard and joined by its number, so every pair of blocks meets once, in one matrix product, and
+    neither side is worked out twice. Only the k best of each query leave a pair: rows grow with queries and blocks, not
+    with pairs. Scores are rounded to ``digits`` decimals, so that equal vectors tie wherever they lie in a block. ``by``: columns
+    of the examples to search separately. For a search that doesn't compare with everything, see ``vector_index``.
     """
     by = by or []
-    q = _packed(queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v")), "q")
-    e = _packed(examples.select(F.col(example_id).alias("id"), F.col(vector).alias("v"), *by), "e")
-    met = q.crossJoin(e).where("q_width = e_width").select("q_width", "q_ids", "q_matrix", "e_ids", "e_matrix", *(f"e_{c}" for c in by))
-    names = ["query_id", "example_id", "score", *by]
-    kinds = [queries.schema[query_id].dataType, examples.schema[example_id].dataType, T.DoubleType(), *(examples.schema[c].dataType for c in by)]
-    out = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])
+    shards = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = packed(queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v")), "q").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    e = packed(examples.select(F.col(example_id).alias("id"), F.col(vector).alias("v"), *by), "e").withColumn("shard", F.pmod(F.xxhash64("e_matrix"), F.lit(shards)).cast("int"))
+    scored = scored_blocks(q.join(e, "shard").where("q_width = e_width"), k, queries.schema[query_id].dataType, e, by, threshold, exclude_self, digits)
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), F.asc("example_id"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def scored_blocks(met: DataFrame, k: int, query_kind: T.DataType, examples: DataFrame, by: list[str], threshold: float | None, exclude_self: bool, digits: int = 12) -> DataFrame:
+    """(query_id, example_id, score, *by): of every pair of blocks the k best of each query."""
+    kept = met.select("q_width", "q_ids", "q_matrix", "e_ids", "e_matrix", *(f"e_{c}" for c in by))
+    kinds = [query_kind, examples.schema["e_ids"].dataType.elementType, T.DoubleType(), *(examples.schema[f"e_{c}"].dataType.elementType for c in by)]
+    out = T.StructType([T.StructField(n, t) for n, t in zip(["query_id", "example_id", "score", *by], kinds, strict=True)])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,41 +91,49 @@ def top_k(
             for i in range(b.num_rows):
                 width, q_ids, q_bytes, e_ids, e_bytes, *keys = (c[i].as_py() for c in b.columns)
                 scores = np.frombuffer(q_bytes).reshape(-1, width) @ np.frombuffer(e_bytes).reshape(-1, width).T
-                rows = _best(np.round(scores, 12), q_ids, e_ids, keys, k, threshold, exclude_self)
+                rows = _best(np.round(scores, digits), q_ids, e_ids, keys, k, threshold, exclude_self)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(arrow)], schema=arrow)
 
-    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), F.asc("example_id"))
-    return met.mapInArrow(run, out).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return kept.mapInArrow(run, out)
 
 
-def _packed(rows: DataFrame, side: str) -> DataFrame:
-    """Rows (id, v, further columns) as blocks of vectors of one length, by id: ``<side>_width``, ``_ids``, ``_matrix`` and a list of each further column."""
-    rest = [c for c in rows.columns if c not in ("id", "v")]
+def packed(rows: DataFrame, side: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows (id, v, further columns) as blocks of vectors of one length, by id: ``<side>_width``, ``_ids``, ``_matrix`` and a list of
+    each further column. With ``keys``, by which the rows of a partition must be sorted, a block has one value of each, in its own column.
+    """
+    keys = keys or []
+    rest = [c for c in rows.columns if c not in ("id", "v", *keys)]
     out = T.StructType(
-        [T.StructField(f"{side}_width", T.IntegerType()), T.StructField(f"{side}_ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField(f"{side}_matrix", T.BinaryType())]
+        [*(rows.schema[c] for c in keys), T.StructField(f"{side}_width", T.IntegerType()), T.StructField(f"{side}_ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField(f"{side}_matrix", T.BinaryType())]
         + [T.StructField(f"{side}_{c}", T.ArrayType(rows.schema[c].dataType)) for c in rest]
     )
     arrow = to_arrow_schema(out)
+    n = len(keys)
 
-    def block(width: int, held: list[tuple]) -> pa.RecordBatch:
+    def block(key: tuple, width: int, held: list[tuple]) -> pa.RecordBatch:
         held = sorted(held, key=lambda r: (r[0] is None, r[0]))
         columns = list(zip(*held, strict=True))
-        made = [[width], [list(columns[0])], [np.stack(columns[1]).tobytes()], *([list(c)] for c in columns[2:])]
+        made = [*([x] for x in key), [width], [list(columns[0])], [np.stack(columns[1]).tobytes()], *([list(c)] for c in columns[2:])]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
+        at: tuple = ()
         for b in batches:
             for one, v, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if v and tuple(more[:n]) != at:
+                    for width, same in held.items():
+                        yield block(at, width, same)
+                    held, at = {}, tuple(more[:n])
                 if v:
                     same = held.setdefault(len(v), [])
-                    same.append((one, np.asarray(v, dtype=np.float64), *more))
+                    same.append((one, np.asarray(v, dtype=np.float64), *more[n:]))
                     if len(same) >= max(1, BLOCK_BYTES // (8 * len(v))):
-                        yield block(len(v), held.pop(len(v)))
+                        yield block(at, len(v), held.pop(len(v)))
         for width, same in held.items():
-            yield block(width, same)
+            yield block(at, width, same)
 
-    return rows.mapInArrow(run, out)
+    return rows.select("id", "v", *keys, *rest).mapInArrow(run, out)
 
 
 def _best(scores: np.ndarray, q_ids: list, e_ids: list, keys: list[list], k: int, threshold: float | None, exclude_self: bool) -> list[tuple]:
@@ -244,21 +260,65 @@ def examples_by_label(examples: DataFrame, requirement: str) -> DataFrame:
     return examples.where(F.exists("labels", lambda x: F.contains(F.lower(x), F.lit(requirement.lower()))))
 
 
-def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank): by how many of a query's words a text contains. All texts are searched for all queries, in
-    blocks of about MOST_QUERIES of them: as many passes over the texts as blocks. Each task passes on the k best of each query.
+def keyword_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", block_queries: int = MOST_QUERIES) -> DataFrame:
+    """(query_id, doc_id, score, rank): by how many of a query's distinct words, of any case, a text contains. All texts are searched for
+    all queries.
+
+    Queries stay in Spark: they are packed into blocks of bounded rows and bytes, and every block of them meets every block
+    of texts by a join on the text block's shard, as in ``top_k``. A task builds one automaton for a block of queries, and
+    passes on the k best of each query of each pair of blocks. Where the queries are one small block, Spark sends it to the texts.
     """
-    asked = queries.select("query_id", "query")
-    blocks = max(1, -(-asked.count() // MOST_QUERIES))
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_text_batches(docs.sparkSession)
+    asked = _query_blocks(queries.select("query_id", F.lower(F.col("query")).alias("query")), block_queries)
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     low = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("body"))
-    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.IntegerType())])
-    scored = None
-    for i in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)) == i)
-        hits = low.mapInArrow(_count_words([(r["query_id"], r["query"]) for r in part.collect()], docs.sparkSession, k, kinds), kinds)
-        scored = hits if scored is None else scored.unionByName(hits)
+    blocks = _text_blocks(low).withColumn("shard", F.pmod(F.xxhash64("doc_ids"), F.lit(shards)).cast("int"))
+    out = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.IntegerType())])
+    met = blocks.join(asked, "shard").select("block", "query_ids", "queries", "doc_ids", "bodies").mapInArrow(_count_words(k, out), out)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def small_text_batches(spark, most: int = 2 << 20) -> None:
+    """Hand texts to Python workers in batches of bounded bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= most):
+        spark.conf.set(key, str(most))
+
+
+def _query_blocks(queries: DataFrame, most: int) -> DataFrame:
+    """(block, query_ids, queries): as the rows lie, so many or BLOCK_BYTES of them."""
+    out = T.StructType([T.StructField("block", T.StringType()), T.StructField("query_ids", T.ArrayType(queries.schema["query_id"].dataType)), T.StructField("queries", T.ArrayType(T.StringType()))])
+    return queries.mapInArrow(_in_blocks(lambda q: len(q or ""), most, to_arrow_schema(out), named=True), out)
+
+
+def _text_blocks(texts: DataFrame) -> DataFrame:
+    """(doc_ids, bodies): as the rows lie, BLOCK_BYTES of them."""
+    out = T.StructType([T.StructField("doc_ids", T.ArrayType(texts.schema["doc_id"].dataType)), T.StructField("bodies", T.ArrayType(T.StringType()))])
+    return texts.mapInArrow(_in_blocks(len, MOST_QUERIES, to_arrow_schema(out)), out)
+
+
+def _in_blocks(size: Callable[[str], int], most: int, arrow: pa.Schema, named: bool = False):
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        columns = [[list(c)] for c in zip(*held, strict=True)]
+        name = [[hashlib.sha256(repr(held).encode()).hexdigest()]] if named else []
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*name, *columns], arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(row)
+                room += size(row[1])
+                if len(held) >= most or room >= BLOCK_BYTES:
+                    yield block(held)
+                    held, room = [], 0
+        if held:
+            yield block(held)
+
+    return run
 
 
 def _finder(words: list[str]) -> Callable[[str], list[int]]:
@@ -277,30 +337,35 @@ def _finder(words: list[str]) -> Callable[[str], list[int]]:
     return lambda body: [i for w, i in short if w in body] + (list({i for _, i in tree.iter(body)}) if long else [])
 
 
-def _count_words(rows: list[tuple], spark, k: int, kinds: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    holders: dict[str, list[int]] = {}  # the queries of each word: linear in their words, where a matrix would grow as a product
-    for j, (_, query) in enumerate(rows):
-        for w in dict.fromkeys((query or "").lower().split()):
-            holders.setdefault(w, []).append(j)
-    shared = spark.sparkContext.broadcast(([q for q, _ in rows], list(holders), [np.array(js) for js in holders.values()]))
-    arrow = to_arrow_schema(kinds)
+def _count_words(k: int, out: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    arrow = to_arrow_schema(out)
+
+    def made(queries: list[str | None]) -> tuple[Callable[[str], list[int]], list[np.ndarray]]:
+        """What finds a block's words in a text, and the queries of each word: linear in their words, where a matrix would grow as a product."""
+        holders: dict[str, list[int]] = {}
+        for j, query in enumerate(queries):
+            for w in dict.fromkeys((query or "").split()):
+                holders.setdefault(w, []).append(j)
+        return _finder(list(holders)), [np.array(js) for js in holders.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, words, held = shared.value
-        find = _finder(words)
-        best: list[list[tuple]] = [[] for _ in names]  # heaps of (score, least favoured id first)
+        last, find, held = None, None, []
         for b in batches:
-            for one, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hit = find(body)
-                scores = np.bincount(np.concatenate([held[i] for i in hit])) if hit else ()
-                for j in np.flatnonzero(scores).tolist():
-                    entry, heap = (int(scores[j]), _Last(one)), best[j]
-                    if len(heap) < k:
-                        heapq.heappush(heap, entry)
-                    elif heap[0] < entry:
-                        heapq.heapreplace(heap, entry)
-        out = [(names[j], entry.one, score) for j, heap in enumerate(best) for score, entry in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(arrow)], schema=arrow)
+            for block, names, queries, ids, bodies in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != last:
+                    last, (find, held) = block, made(queries)
+                best: list[list[tuple]] = [[] for _ in names]  # heaps of (score, least favoured id first)
+                for one, body in zip(ids, bodies, strict=True):
+                    hit = find(body)
+                    scores = np.bincount(np.concatenate([held[i] for i in hit])) if hit else ()
+                    for j in np.flatnonzero(scores).tolist():
+                        entry, heap = (int(scores[j]), _Last(one)), best[j]
+                        if len(heap) < k:
+                            heapq.heappush(heap, entry)
+                        elif heap[0] < entry:
+                            heapq.heapreplace(heap, entry)
+                rows = [(names[j], entry.one, score) for j, heap in enumerate(best) for score, entry in heap]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(arrow)], schema=arrow)
 
     return run
 

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseframe.functions import language, llmjson, vocab
+from clauseframe.functions import llmjson, ngrams, vocab
 from clauseframe.functions import text as X
-from clauseframe.operators import backends, filters, html, ledger, prompts, retrieve, stages
+from clauseframe.operators import backends, filters, html, ledger, prompts, retrieve, stages, vector_index, weighting
 from clauseframe.plans import fixtures, pipeline
 from clauseframe.session import table
 from clauseframe.sources import sinks
@@ -238,6 +238,75 @@ def vec_stats(spark, sf_dir):
     return retrieve.index_stats(table(spark, sf_dir, "embeddings"), "label")
 
 
+@query(f"""SELECT (SELECT count(*) FROM embeddings) AS n_indexed, (SELECT count(*) * 5 FROM embeddings WHERE vec_id % {QUERY_STEP} = 0) AS n_exact, true AS recall_is_enough""")
+def vec_index_recall(spark, sf_dir):
+    """A searched index of all vectors, and whether its searches find nine of ten of what the exact search finds."""
+    q, e = _vectors(spark, sf_dir)
+    index = vector_index.VectorIndex.build(e, f"{sinks.scratch_folder(spark)}/index-{uuid.uuid4().hex}", carry=["label"])
+    indexed = index.blocks.agg(F.sum(F.size("e_ids")).alias("n_indexed"))
+    met = vector_index.recall(index.search(q, 5), retrieve.top_k(q, e, 5))
+    return indexed.join(met).select("n_indexed", "n_exact", (F.col("recall") >= 0.9).alias("recall_is_enough"))  # a row each
+
+
+@query(_SCORES + """SELECT query_id, example_id, round(s, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, example_id) AS rank FROM s) WHERE rank <= 5""")
+def vec_index_topk(spark, sf_dir):
+    """The same rows as the exact search, from an index whose lists are all probed: every vector is in one of them."""
+    q, e = _vectors(spark, sf_dir)
+    index = vector_index.VectorIndex.build(e, f"{sinks.scratch_folder(spark)}/index-{uuid.uuid4().hex}")
+    return index.search(q, 5, probes=len(index.centroids)).withColumn("score", F.round("score", 6))
+
+
+_A, _B, _C = ngrams.MULTIPLIERS
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every document's hashed character trigrams with their counts.
+_GRAMS = f"""
+WITH c AS (SELECT doc_id, lang, i, unicode(ch)::BIGINT AS c FROM (
+    SELECT doc_id, lang, unnest(string_split(' ' || translate(text, '{_UPPER}', '{_LOWER}') || ' ', '')) AS ch, generate_subscripts(string_split(' ' || translate(text, '{_UPPER}', '{_LOWER}') || ' ', ''), 1) AS i
+    FROM documents WHERE length(text) > 0)),
+g AS (SELECT doc_id, lang, (c * {_A} + lead(c, 1) OVER w * {_B} + lead(c, 2) OVER w * {_C}) % {ngrams.BUCKETS} AS b FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, lang, b, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL)
+"""
+
+
+@query(_GRAMS + f""", w AS (SELECT b, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY b),
+v AS (SELECT doc_id, b, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY doc_id)) AS x FROM t JOIN w USING (b)),
+s AS (SELECT q.doc_id AS query_id, d.doc_id AS example_id, round(sum(q.x * d.x), 9) AS s FROM v q JOIN v d USING (b) WHERE q.doc_id % {QUERY_STEP} = 0 GROUP BY ALL)
+SELECT query_id, example_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, example_id) AS rank FROM s) WHERE rank <= 5""")
+def tfidf_topk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("example_id"), "text")
+    asked = docs.where(F.col("example_id") % QUERY_STEP == 0).select(F.col("example_id").alias("query_id"), "text")
+    return weighting.TfIdf.fit(docs).top_k(asked, docs, 5, digits=9).withColumn("score", F.round("score", 6))
+
+
+@query(_GRAMS + f""", p AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM documents WHERE length(text) > 0 AND lang IS NOT NULL)) AS prior FROM documents WHERE length(text) > 0 AND lang IS NOT NULL GROUP BY lang),
+k AS (SELECT lang, b, sum(n) AS n FROM t WHERE lang IS NOT NULL GROUP BY ALL),
+l AS (SELECT p.lang, r.b, ln((coalesce(k.n, 0) + 1) / (sum(coalesce(k.n, 0)) OVER (PARTITION BY p.lang) + {ngrams.BUCKETS})) AS l
+      FROM p CROSS JOIN range({ngrams.BUCKETS}) r(b) LEFT JOIN k ON k.lang = p.lang AND k.b = r.b),
+s AS (SELECT doc_id, l.lang, any_value(prior) + sum(t.n * l.l) AS s FROM t JOIN l USING (b) JOIN p ON p.lang = l.lang GROUP BY doc_id, l.lang),
+o AS (SELECT doc_id, max_by(lang, s) AS lang_found, max(s) AS best, list_sort(list(s), 'DESC')[2] AS next FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(lang_found, 'unknown') AS lang_found, round(best - next, 6) AS lang_odds FROM documents LEFT JOIN o USING (doc_id)""")
+def doc_language_model(spark, sf_dir):
+    """The language of every document by a model of at most 20,000 labelled ones, with its log odds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = weighting.LanguageModel.fit(vector_index.bounded_sample(docs, "doc_id", 20_000))
+    return model.identify(docs).select("doc_id", "lang_found", F.round("lang_odds", 6).alias("lang_odds"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
+n AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM c),
+u AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM e),
+s AS (SELECT vec_id, n.label, round(sum(u.x * n.x), 9) AS s FROM u JOIN n USING (i) GROUP BY ALL)
+SELECT vec_id, CASE WHEN s >= 0.3 THEN label END AS label, round(s, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM s) WHERE r = 1
+""")
+def vec_label_centroid(spark, sf_dir):
+    """Every vector's label by the centroids of all labels."""
+    rows = table(spark, sf_dir, "embeddings")
+    return weighting.label_by_cosine(rows, weighting.label_centroids(rows), "vec_id").withColumn("cosine", F.round("cosine", 6))
+
+
 # ---- labels, answers, prompts ------------------------------------------------------------------------------------
 
 _VOCAB_SQL = ", ".join(f"('{k}', '{v}')" for k, v in vocab.ARTICLES.items())
