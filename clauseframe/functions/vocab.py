@@ -100,9 +100,10 @@ def _with_repairs(df: DataFrame, label: Column, scheme: str, embed: Embed | None
 
 
 def correct_labels(df: DataFrame, column: str, scheme: str = TRANSPARENCY, embed: Embed | None = None) -> DataFrame:
-    """Labels of an array column put right: known ones stay, nulls go, others become their closest."""
-    got = _with_repairs(df, F.col(column), scheme, embed)
-    right = F.transform(F.filter(F.col(column), lambda x: x.isNotNull()), lambda x: F.coalesce(F.col("__fix")[x], x))  # a null map gives null
+    """Labels of an array column put right: known ones stay, nulls and Other go, others become their closest."""
+    named = F.filter(F.col(column), lambda x: x.isNotNull() & (x != OTHER))
+    got = _with_repairs(df, named, scheme, embed)
+    right = F.transform(named, lambda x: F.coalesce(F.col("__fix")[x], x))  # a null map gives null
     return got.withColumn(column, right).drop("__key", "__fix")
 
 

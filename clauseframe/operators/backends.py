@@ -4,20 +4,31 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from clauseframe.functions import text as X
 from clauseframe.operators import ledger
 from clauseframe.operators.ledger import with_answers
+from clauseframe.operators.retrieve import small_text_batches
 
-ANSWER = "response string, in_tokens long, out_tokens long, secs double, error string"
+_ANSWERS = T.StructType([
+    T.StructField("response", T.StringType()), T.StructField("in_tokens", T.LongType()), T.StructField("out_tokens", T.LongType()), T.StructField("secs", T.DoubleType()),
+    T.StructField("error", T.StringType()), T.StructField("tries", T.IntegerType()),
+])
 
 
 class Backend(Protocol):
@@ -83,38 +94,88 @@ class Batch:
         return Replay(readers.recorded_answers(spark, self.transport.results(batch), self.provider)).answer(requests)
 
 
+class RateLimited(Exception):
+    """What a client raises when a provider says that it is asked too often."""
+
+
+#: Failures after which it makes sense to ask again.
+TRANSIENT = (TimeoutError, ConnectionError, RateLimited)
+
+
+class Pace:
+    """At most so many calls a second, whichever thread makes them."""
+
+    def __init__(self, rate: float | None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.step, self.sleep, self.clock = 1 / rate if rate else 0.0, sleep, clock
+        self.free, self.lock = 0.0, threading.Lock()
+
+    def take(self) -> None:
+        """Wait for the next place in the line."""
+        if not self.step:
+            return
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.free)
+            self.free = at + self.step
+        if at > now:
+            self.sleep(at - now)
+
+
 @dataclass
 class Function:
     """A Python function from a message list to a text; the one place where code may reach a network.
 
-    Requests are dealt to ``parallel`` tasks. What a task asks again after a failure is asked twice, so write the answers
-    to the ledger before anything else reads them, and ask only what ``ledger.pending`` leaves.
+    Requests are dealt to ``parallel`` tasks (as many as Spark shuffles to, if none is said); each asks with ``threads``
+    threads, ``rate`` calls a second at most, and gives answers in the order of its requests. A failure that may pass is
+    tried again after a pause that grows, ``tries`` times in all; any other, and the last, is the row's ``error``. How long it
+    waits follows from the request and the try, so a task that runs again does the same. All of the request's columns
+    go along, so nothing is joined afterwards. What a task asks again after a failure of its own is asked twice, so write the
+    answers to the ledger before anything else reads them, and ask only what ``ledger.pending`` leaves.
     """
 
     ask: Callable[[list[dict]], str]
-    parallel: int = 16
+    parallel: int | None = None
+    threads: int = 8
+    tries: int = 3
+    rate: float | None = None
+    wait: Callable[[int, float, bool], float] = X.backoff_seconds
+    sleep: Callable[[float], None] = time.sleep
 
     def answer(self, requests: DataFrame) -> DataFrame:
-        ask = self.ask
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for messages in b["messages"]:
-                    said = [{"role": m["role"], "content": m["content"]} for m in messages]
-                    start = time.time()
-                    try:
-                        text, problem = ask(said), None
-                    except Exception as e:  # noqa: BLE001  one request's failure is a row, not the job's
-                        text, problem = None, f"{type(e).__name__}: {e}"
-                    n = sum(len((m["content"] or "").split()) for m in said)
-                    rows.append((text, n, len((text or "").split()), time.time() - start, problem))
-                made = pd.DataFrame(rows, columns=["response", "in_tokens", "out_tokens", "secs", "error"])
-                yield pd.concat([b[["custom_id"]].reset_index(drop=True), made], axis=1)
-
-        dealt = requests.select("custom_id", "messages").repartition(self.parallel)
-        answers = dealt.mapInPandas(run, f"custom_id string, {ANSWER}")
-        return requests.join(answers, "custom_id")
+        """The requests with response, in_tokens, out_tokens, secs, error, and tries: how often each was asked."""
+        ask, tries, wait, sleep, rate, threads = self.ask, self.tries, self.wait, self.sleep, self.rate, self.threads
+        kept = [c for c in requests.columns if c not in _ANSWERS.fieldNames()]
+        out = T.StructType([*(requests.schema[c] for c in kept), *_ANSWERS])
+        arrow = to_arrow_schema(_ANSWERS)
+
+        def one(pace: Pace, name: str, messages: list[dict]) -> tuple:
+            start, text, problem = time.time(), None, None
+            for n in range(1, tries + 1):
+                pace.take()
+                try:
+                    text, problem = ask(messages), None
+                    break
+                except Exception as e:  # noqa: BLE001  one request's failure is a row, not the job's
+                    problem = f"{type(e).__name__}: {e}"
+                    if not isinstance(e, TRANSIENT):
+                        break
+                    if n < tries:
+                        sleep(wait(n - 1, 0.5 + zlib.crc32(f"{name} {n}".encode()) / 2**32, isinstance(e, RateLimited)))
+            n_in = sum(len((m["content"] or "").split()) for m in messages)
+            return text, n_in, len((text or "").split()), time.time() - start, problem, n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pace = Pace(rate, sleep)
+            with ThreadPoolExecutor(threads) as pool:
+                for b in batches:
+                    said = [[{"role": m["role"], "content": m["content"]} for m in row] for row in b.column("messages").to_pylist()]
+                    made = list(pool.map(partial(one, pace), b.column("custom_id").to_pylist(), said))
+                    columns = list(zip(*made, strict=True)) or [()] * len(arrow)
+                    yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True))], names=out.fieldNames())
+
+        small_text_batches(requests.sparkSession)
+        tasks = self.parallel or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return requests.select(kept).repartition(tasks).mapInArrow(run, out)
 
 
 #: Phrases that point at each label, from the public definitions of the labels.
@@ -148,5 +209,5 @@ def lexical_answer(messages: list[dict], task: str) -> str:
     return json.dumps({"annotations": [{"requirement": k, "value": v, "performed": True} for k, v in hits]})
 
 
-def lexical(task: str, parallel: int = 8) -> Function:
+def lexical(task: str, parallel: int | None = None) -> Function:
     return Function(lambda messages: lexical_answer(messages, task), parallel)

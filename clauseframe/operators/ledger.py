@@ -23,10 +23,14 @@ def requests(passages: DataFrame, run: str, task: str, model: str, messages: Col
     """One row a request: custom_id, task, pkg, idx, model, messages, prompt_hash."""
     return passages.select(
         X.custom_id(F.lit(run), F.lit(task), F.col("pkg"), F.col("idx")).alias("custom_id"), F.lit(task).alias("task"), "pkg", "idx", F.lit(model).alias("model"),
-        messages.alias("messages"), F.sha2(F.concat(F.lit(model), F.to_json(messages)), 256).alias("prompt_hash"),
+        messages.alias("messages"), prompt_hash(model, messages).alias("prompt_hash"),
     )
 
 
+def prompt_hash(model: str, messages: Column) -> Column:
+    return F.sha2(F.concat(F.lit(model), F.to_json(messages)), 256)
+
+
 def pending(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Requests that the ledger has no answer to; asking again after a crash asks only for these."""
     return wanted.join(done.select("custom_id"), "custom_id", "left_anti")

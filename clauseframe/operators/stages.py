@@ -20,21 +20,24 @@ def passage_message(scheme: str = vocab.TRANSPARENCY) -> Column:
     return F.to_json(F.struct("type", "context", "passage") if scheme == vocab.TRANSPARENCY else F.struct("passage"))
 
 
-def _ask(rows: DataFrame, backend: Backend, run: str, task: str, model: str, messages: Column) -> DataFrame:
-    """Answers by custom_id, each prompt asked once however many passages share it."""
-    wanted = ledger.requests(rows, run, task, model, messages)
-    once = wanted.groupBy("prompt_hash").agg(F.min_by(F.struct("custom_id", "messages"), "custom_id").alias("r"))
-    asked = once.select("prompt_hash", "r.custom_id", "r.messages")
-    answered = backend.answer(asked).select("prompt_hash", "response", "in_tokens", "out_tokens", "secs", "error")
-    return wanted.select("custom_id", "pkg", "idx", "task", "model", "prompt_hash").join(answered, "prompt_hash", "left").drop("prompt_hash")
+def _ask(rows: DataFrame, backend: Backend, run: str, task: str, model: str, messages: Column, idx: Column | None = None) -> DataFrame:
+    """The rows with the answer to each (response, in_tokens, out_tokens, secs, error), each prompt asked once however many rows share it.
+
+    Rows whose messages are null aren't asked about. Prompts and rows meet again by the prompt's hash, in one join.
+    """
+    messages = messages.cast(prompts.MESSAGES)
+    wanted = ledger.requests(rows.withColumn("idx", F.col("idx") if idx is None else idx), run, task, model, messages).where("messages IS NOT NULL")
+    once = wanted.groupBy("prompt_hash").agg(F.min_by(F.struct("custom_id", "messages", "model"), "custom_id").alias("r"))
+    answered = backend.answer(once.select("prompt_hash", "r.custom_id", "r.messages", "r.model"))
+    answered = answered.select(F.col("prompt_hash").alias("__hash"), "response", "in_tokens", "out_tokens", "secs", "error")
+    return rows.withColumn("__hash", ledger.prompt_hash(model, messages)).join(answered, "__hash", "left").drop("__hash")
 
 
 def detect(docs: DataFrame, backend: Backend, system: str | None = None, run: str = "run", model: str = "rules") -> DataFrame:
     """docs (pkg, text) with ``verdict``: accepted, unknown or rejected, judged on the excerpt around the middle."""
-    rows = docs.select("pkg", F.lit(0).alias("idx"), X.excerpt(F.col("text")).alias("excerpt"))
-    messages = prompts.messages(F.lit(system).cast("string"), F.lit(None).cast("array<struct<rank:int,user:string,assistant:string>>"), F.col("excerpt"))
-    answers = _ask(rows, backend, run, "detect", model, messages)
-    return docs.join(answers.select("pkg", verdict(F.col("response")).alias("verdict")), "pkg", "left")
+    messages = prompts.messages(F.lit(system).cast("string"), F.lit(None).cast("array<struct<rank:int,user:string,assistant:string>>"), X.excerpt(F.col("text")))
+    answers = _ask(docs, backend, run, "detect", model, messages, F.lit(0))
+    return answers.select(*(c for c in docs.columns if c != "verdict"), verdict(F.col("response")).alias("verdict"))
 
 
 def verdict(response: Column) -> Column:
@@ -44,8 +47,7 @@ def verdict(response: Column) -> Column:
 def classify(passages: DataFrame, backend: Backend, system: str | None = None, fewshots: DataFrame | None = None, scheme: str = vocab.TRANSPARENCY, run: str = "run", model: str = "rules") -> DataFrame:
     """Passages with ``predicted_labels``: what the answer lists, put right against the vocabulary, without Other."""
     rows = _with_fewshots(passages, fewshots)
-    answers = _ask(rows, backend, run, "classify", model, prompts.messages(F.lit(system).cast("string"), F.col("fewshots"), passage_message(scheme)))
-    met = passages.join(answers.select("pkg", "idx", "response"), ["pkg", "idx"], "left")
+    met = _ask(rows, backend, run, "classify", model, prompts.messages(F.lit(system).cast("string"), F.col("fewshots"), passage_message(scheme))).select(*passages.columns, "response")
     listed = F.filter(llmjson.label_list(F.col("response")), lambda x: x != vocab.OTHER)
     made = met.withColumn("predicted_labels", F.coalesce(listed, F.array().cast("array<string>"))).drop("response")
     return vocab.correct_labels(made, "predicted_labels", scheme)
@@ -58,10 +60,11 @@ def _with_fewshots(passages: DataFrame, fewshots: DataFrame | None) -> DataFrame
     return passages.withColumn("query_id", F.concat_ws("_", "pkg", F.col("idx").cast("string"))).join(fewshots, "query_id", "left").drop("query_id")
 
 
-def _annotated(passages: DataFrame, rows: DataFrame, backend: Backend, task: str, system: Column, scheme: str, run: str, model: str, user: Column) -> DataFrame:
-    answers = _ask(rows, backend, run, task, model, prompts.messages(system, F.col("fewshots"), user))
-    keep = [c for c in passages.columns if c != "annotations"]
-    met = passages.select(keep).join(answers.select("pkg", "idx", "response"), ["pkg", "idx"], "left")
+def _annotated(passages: DataFrame, rows: DataFrame, backend: Backend, task: str, system: Column, scheme: str, run: str, model: str, user: Column, asked: Column | None = None) -> DataFrame:
+    """rows: the passages with what their prompts need; those for which ``asked`` isn't true get no annotations."""
+    messages = prompts.messages(system, F.col("fewshots"), user)
+    answers = _ask(rows, backend, run, task, model, messages if asked is None else F.when(asked, messages))
+    met = answers.select(*(c for c in passages.columns if c != "annotations"), "response")
     found = vocab.drop_other(llmjson.response_list(F.col("response"), "annotations", _ANNOTATION_DDL))
     made = met.withColumn("annotations", F.when(F.col("response").isNotNull(), found).otherwise(F.array().cast(ANNOTATIONS))).drop("response")
     return vocab.correct_annotations(made, "annotations", scheme)
@@ -89,8 +92,8 @@ def targeted_annotate(
     background: Column | None = None, run: str = "run", model: str = "rules",
 ) -> DataFrame:
     """Passages with ``annotations`` for their labels only. Passages without labels aren't asked about and get none."""
-    rows = _with_fewshots(passages.withColumn("__labels", target_labels(passages)).where(F.size("__labels") > 0), fewshots)
-    return _annotated(passages, rows, backend, "targeted_annotate", _filled(system, F.col("__labels"), background), scheme, run, model, passage_message(scheme))
+    rows = _with_fewshots(passages.withColumn("__labels", target_labels(passages)), fewshots)
+    return _annotated(passages, rows, backend, "targeted_annotate", _filled(system, F.col("__labels"), background), scheme, run, model, passage_message(scheme), F.size("__labels") > 0)
 
 
 def review(
