@@ -22,6 +22,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,8 @@ MARK = "▁"
 HEAD_WORDS, MASK_CHARS = 200_000, 60
 #: Words a task remembers besides; words that it counts before it passes them on.
 CACHE_WORDS, COUNT_WORDS = 30_000, 200_000
-#: Ids whose bytes are looked up at once.
-DECODE_IDS = 50_000
+#: Ids whose bytes are looked up at once; words that are looked up at once.
+DECODE_IDS, LOOKUP_WORDS = 50_000, 100_000
 _NONE = float("-inf")
 _ENDS = "\n\t\r\x0b\x0c"
 
@@ -353,12 +354,52 @@ def _folded_here(v: Vocabulary):
 
 def _rows(names: pa.Array, made: list[bytes], v: Vocabulary, out: T.StructType) -> pa.RecordBatch:
     """Rows of the result from each document's packed ids."""
-    flat = np.frombuffer(b"".join(made), dtype=np.int32)
-    sizes = np.array([len(x) // 4 for x in made], dtype=np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return _row_batch(names, np.frombuffer(b"".join(made), dtype=np.int32), np.cumsum([0, *(len(x) // 4 for x in made)]), v, out)
+
+
+def _row_batch(names: pa.Array, flat: np.ndarray, ends: np.ndarray, v: Vocabulary, out: T.StructType) -> pa.RecordBatch:
+    """Rows of the result from ids that lie one after the other, and where each document's end, from 0."""
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
     texts = pa.array(v.decode_many(flat, ends[1:].tolist()), pa.string())
-    return pa.RecordBatch.from_arrays([names, lists, pa.array(sizes), texts], names=out.fieldNames())
+    return pa.RecordBatch.from_arrays([names, lists, pa.array(np.diff(ends), pa.int64()), texts], names=out.fieldNames())
+
+
+def _some_words(texts: pa.Array, v: Vocabulary) -> Iterator[tuple[int, list[str], list[int]]]:
+    """Some texts at a time: where they begin, all their words, and behind which word each text ends."""
+    start, words, stops = 0, [], []
+    for i in range(len(texts)):
+        words += v.words(texts[i].as_py() or "")
+        stops.append(len(words))
+        if len(words) >= LOOKUP_WORDS or i == len(texts) - 1:
+            yield start, words, stops
+            start, words, stops = i + 1, [], []
+
+
+class _Head:
+    """The ids of the head's words, in the arrays that they came in."""
+
+    def __init__(self, stream: bytes):
+        table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+        self.words = table.column("word").chunk(0) if table.num_rows else pa.array([], pa.string())
+        packed = [x.as_buffer() for x in table.column("ids").chunk(0)] if table.num_rows else []
+        self.sizes = np.array([len(x) // 4 for x in packed] + [0], dtype=np.int64)
+        self.flat = np.frombuffer(b"".join(packed), dtype=np.int32)
+
+    def ids(self, words: list[str], v: Vocabulary, others: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, and where each word's end, from 0; words that aren't in the head are folded here and remembered."""
+        at = pc.index_in(pa.array(words, pa.string()), value_set=self.words).fill_null(-1).to_numpy()
+        begins = np.cumsum(self.sizes) - self.sizes
+        size, begin = self.sizes[at], begins[at]
+        missing = np.flatnonzero(at < 0)
+        more = []
+        for i in missing.tolist():
+            word = words[i]
+            more.append(others.get(word) or others.setdefault(word, _packed(v.fold(word))))
+        size[missing] = [len(x) // 4 for x in more]
+        begin[missing] = len(self.flat) + np.cumsum(size[missing]) - size[missing]
+        ends = np.cumsum(np.concatenate([[0], size]))
+        source = np.concatenate([self.flat, np.frombuffer(b"".join(more), dtype=np.int32)])
+        return source[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)], ends
 
 
 def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", head: int | None = HEAD_WORDS) -> DataFrame:
@@ -385,26 +426,14 @@ def encode(df: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, stream = shared.value
-        head: dict[str, bytes] = {}
-        for b in pa.ipc.open_stream(stream):
-            head.update(zip(*(c.to_pylist() for c in b.columns), strict=True))
+        found = _Head(stream)
         others: dict[str, bytes] = {}
         for whole in batches:
-            for i in range(0, whole.num_rows, 100):
-                b = whole.slice(i, 100)
-                made: list[bytes] = []
-                for text in b.column(1).to_pylist():
-                    words = v.words(text or "")
-                    hits = list(map(head.get, words))
-                    if None in hits:
-                        for k, hit in enumerate(hits):
-                            if hit is None:
-                                word = words[k]
-                                hits[k] = others.get(word) or others.setdefault(word, _packed(v.fold(word)))
-                        if len(others) > CACHE_WORDS:
-                            others.clear()
-                    made.append(b"".join(hits))
-                yield _rows(b.column(0), made, v, out)
+            for start, words, stops in _some_words(whole.column(1), v):
+                flat, ends = found.ids(words, v, others)
+                yield _row_batch(whole.column(0).slice(start, len(stops)), flat, np.concatenate([[0], ends[stops]]), v, out)
+                if len(others) > CACHE_WORDS:
+                    others.clear()
 
     return df.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(handing_back(run), out)
 
