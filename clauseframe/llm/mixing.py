@@ -185,6 +185,7 @@ def _slots(spark: SparkSession, sources: DataFrame, shards: int, seed: int, leng
     # Where the short block comes in the last, partial time through: the place that its permutation gives the last block.
     met = met.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), key(whole), back=True))
     runs = met.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / RUN_SLOTS) - 1)))
+    runs = runs.repartition("number", "run")  # a source's row makes all its runs, and any task may make a run's slots
     each = runs.withColumn("in_run", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(RUN_SLOTS), F.col("slots") - F.col("run") * RUN_SLOTS) - 1)))
     q = each.withColumn("q", F.col("run") * RUN_SLOTS + F.col("in_run")).withColumn("p", F.col("base") + F.col("q"))
     if per > 1:
