@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from clauseframe.functions import llmjson, ngrams, vocab
 from clauseframe.functions import text as X
-from clauseframe.operators import backends, filters, html, ledger, prompts, retrieve, stages, vector_index, weighting
+from clauseframe.operators import asof, backends, filters, html, ledger, prompts, retrieve, stages, vector_index, weighting
 from clauseframe.plans import fixtures, pipeline
 from clauseframe.session import table
-from clauseframe.sources import sinks
+from clauseframe.sources import readers, sinks
 from clauseframe.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,6 +551,32 @@ def union_examples(spark, sf_dir):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("""
+WITH r AS (SELECT user_id, ts, max(event_id) AS event_id, t.event_type FROM events e JOIN (SELECT DISTINCT event_type FROM events) t ON t.event_type <> e.event_type GROUP BY user_id, ts, t.event_type)
+SELECT l.event_id, r.event_id AS other_id FROM events l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.event_type = r.event_type AND l.ts > r.ts
+""")
+def event_asof_other(spark, sf_dir):
+    """Each event with the user's last earlier one of another type."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    kinds = events.select(F.col("event_type").alias("for_type")).distinct()  # a vocabulary
+    others = events.join(kinds, F.col("event_type") != F.col("for_type")).select("user_id", F.col("for_type").alias("event_type"), "ts", "event_id")
+    met = asof.asof_join(events, others, ["user_id", "event_type"], "ts", ["event_id"], "other", allow_equal=False)
+    return met.select("event_id", F.col("other.event_id").alias("other_id"))
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY doc_id) AS line, CASE WHEN doc_id % 10 <> 3 THEN doc_id END AS doc_id, doc_id % 10 = 3 AS broken FROM documents
+""")
+def jsonl_line_order(spark, sf_dir):
+    """All documents as lines of JSON, one in ten of them broken, read back split by split with their line numbers."""
+    folder = f"{sinks.scratch_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    broken = F.concat(F.lit("{"), F.col("value"))
+    sinks.write_lines(docs.orderBy("doc_id").select(F.when(F.col("doc_id") % 10 == 3, broken).otherwise(F.col("value")).alias("value")), folder)
+    good, bad = readers.jsonl_lines(spark, folder, "doc_id long, text string")
+    return good.select("line", "record.doc_id", F.lit(False).alias("broken")).unionByName(bad.select("line", F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("broken")))
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------
 
 _EVENT_HOURS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"

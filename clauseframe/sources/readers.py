@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clauseframe.sources.sinks import scratch_folder
 from clauseframe import schemas as S
 from clauseframe.functions.text import file_stem
 
@@ -125,6 +127,34 @@ def policy_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     return kept.join(order, "pkg").select("pkg", place.cast("int").alias("idx"), "r.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, value: the lines of text files of any size, numbered from 1 in the order of the files' names and of their lines.
+
+    Files are read split by split, in parallel. A split's lines have consecutive numbers where they are read; what is added
+    to them is the sum of the lines of all splits before it, a row for each split. The lines are written to the shared
+    folder once, so that a task that runs again finds the same numbers.
+    """
+    split = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    read = spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("id"), "value")
+    top = f"{scratch_folder(spark)}/lines-{uuid.uuid4().hex}"
+    read.write.parquet(top)
+    held = spark.read.schema(read.schema).parquet(top)
+    sizes = held.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    shifts = sizes.select("path", "start", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return held.join(shifts, ["path", "start"]).select("path", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
+def jsonl_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Files with a JSON value a line: (path, line, record), and apart from them (path, line, value) of the lines that aren't one. Blank
+    lines are in neither, and count as lines."""
+    whole = T.StructType([*T._parse_datatype_string(schema), T.StructField("__bad", T.StringType())])
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    read = lines.withColumn("record", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    bad = F.col("record.__bad").isNotNull() | F.col("record").isNull()
+    return read.where(~bad).select("path", "line", F.col("record").dropFields("__bad").alias("record")), read.where(bad).select("path", "line", "value")
+
+
 def policies(spark: SparkSession, jsonl_folder: str, json_folder: str) -> DataFrame:
     """Line files first; array files for packages that have none."""
     lines = policy_jsonl(spark, jsonl_folder)
