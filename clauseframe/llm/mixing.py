@@ -185,7 +185,8 @@ def _slots(spark: SparkSession, sources: DataFrame, shards: int, seed: int, leng
     # Where the short block comes in the last, partial time through: the place that its permutation gives the last block.
     met = met.withColumn("short_at", permuted(F.col("blocks") - 1, F.col("blocks"), key(whole), back=True))
     runs = met.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / RUN_SLOTS) - 1)))
-    runs = runs.repartition("number", "run")  # a source's row makes all its runs, and any task may make a run's slots
+    # A source's row makes all its runs, and any task may make a run's slots; a number of tasks is named, as the rows are few and what they make isn't.
+    runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "number", "run")
     each = runs.withColumn("in_run", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(RUN_SLOTS), F.col("slots") - F.col("run") * RUN_SLOTS) - 1)))
     q = each.withColumn("q", F.col("run") * RUN_SLOTS + F.col("in_run")).withColumn("p", F.col("base") + F.col("q"))
     if per > 1:
@@ -210,7 +211,7 @@ def pieces(m: Mix) -> DataFrame:
     spans = m.stream.withColumn(
         "__block", F.explode(F.sequence(F.floor(F.col("__offset") / length), F.floor((F.col("__offset") + F.col("__size") - 1) / length)))
     )
-    slots = m.slots.withColumnsRenamed({"__source": "__s", "__block": "__b"})
+    slots = m.slots.withColumnsRenamed({"__source": "__s", "__block": "__b"}).hint("merge")  # they grow with the words: nothing to broadcast
     met = spans.join(slots, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     begin = F.greatest(F.col("__from"), F.col("__offset")) - F.col("__offset")
     end = F.least(F.col("__to"), F.col("__offset") + F.col("__size")) - F.col("__offset")
