@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from clauseframe.functions import llmjson, ngrams, vocab
 from clauseframe.functions import text as X
-from clauseframe.operators import asof, backends, filters, html, ledger, prompts, retrieve, stages, vector_index, weighting
+from clauseframe.operators import asof, backends, filters, html, ledger, prompts, retrieve, sketches, stages, vector_index, weighting
 from clauseframe.plans import fixtures, pipeline
 from clauseframe.session import table
-from clauseframe.sources import readers, sinks
-from clauseframe.streaming import incremental
+from clauseframe.sources import keyed, readers, sinks
+from clauseframe.streaming import event_time, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -638,6 +638,120 @@ def stream_state_changes(spark, sf_dir):
     return spark.read.schema(changed.schema).parquet(f"{top}/table")
 
 
+#: Which batch an event arrives in: eight days each, and every 40th event with the batch after its own.
+_ARRIVES = "(day(ts) - 1) // 8 + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END"
+_N_ARRIVALS = 5
+_LATE = f"""
+a AS (SELECT *, {_ARRIVES} AS b FROM events),
+m AS (SELECT b, max(max(epoch_ms(ts))) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000 AS mark FROM a GROUP BY b),
+e AS (SELECT a.*, epoch_us(ts) AS us, coalesce(mark, 0) * 1000 AS seen, epoch_us(ts) < seen AS late FROM a JOIN m USING (b)),
+w AS (SELECT (max(epoch_ms(ts)) - 600000) * 1000 AS mark FROM events)
+"""
+
+
+def _arrivals(spark, sf_dir, top: str, then: Callable[[DataFrame], None]) -> None:
+    """Events put into a folder batch by batch, and after each batch a run of the stream over it, which goes on where the last one ended."""
+    events = table(spark, sf_dir, "events")
+    batch = F.floor((F.dayofmonth("ts") - 1) / 8) + F.when(F.col("event_id") % 40 == 0, 1).otherwise(0)
+    for i in range(_N_ARRIVALS):
+        events.where(batch == i).write.mode("append").parquet(f"{top}/in")
+        then(spark.readStream.schema(events.schema).parquet(f"{top}/in"))
+
+
+@query(f"""
+WITH {_LATE},
+g AS (SELECT *, CASE WHEN us - lag(us) OVER u < 1800000000 THEN 0 ELSE 1 END AS new FROM e WHERE NOT late WINDOW u AS (PARTITION BY user_id ORDER BY us, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g),
+c AS (SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM s GROUP BY user_id, s)
+SELECT 'session' AS kind, user_id, NULL::BIGINT AS event_id, start_us, end_us, n FROM c, w WHERE end_us + 1800000000 <= mark
+UNION ALL SELECT 'late', user_id, event_id, us, us, 1 FROM e WHERE late
+""")
+def stream_closed_sessions(spark, sf_dir):
+    """Sessions of a stream, each once the watermark has passed it, and the rows that came too late for any."""
+    top = f"{sinks.scratch_folder(spark)}/sessions-{uuid.uuid4().hex}"
+
+    def run(stream: DataFrame) -> None:
+        found = event_time.closed_sessions(stream, "user_id", "ts", "event_id")
+        found.writeStream.option("checkpointLocation", f"{top}/checkpoint").format("parquet").option("path", f"{top}/table").trigger(availableNow=True).start().awaitTermination()
+
+    with event_time.state_store(spark):
+        _arrivals(spark, sf_dir, top, run)
+    found = spark.read.schema(event_time.SESSION_OUT).parquet(f"{top}/table")
+    return found.select("kind", F.col("key").cast("long").alias("user_id"), F.col("row_id").alias("event_id"), "start_us", "end_us", "n")
+
+
+@query(f"""
+WITH {_LATE}
+SELECT strftime(make_timestamp(h * 3600000000), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT *, us // 3600000000 AS h FROM e), w WHERE (h + 1) * 3600000000 <= w.mark AND (h + 1) * 3600000000 > seen GROUP BY ALL
+""")
+def stream_closed_windows(spark, sf_dir):
+    """Hourly counts in append mode: a window comes out once, when the watermark has passed it, and its state goes."""
+    top = f"{sinks.scratch_folder(spark)}/closed-{uuid.uuid4().hex}"
+
+    def run(stream: DataFrame) -> None:
+        counted = incremental.event_counts(stream)
+        counted.writeStream.option("checkpointLocation", f"{top}/checkpoint").format("parquet").option("path", f"{top}/table").trigger(availableNow=True).start().awaitTermination()
+
+    _arrivals(spark, sf_dir, top, run)
+    return _hours(spark.read.schema("window_start timestamp, event_type string, n long, total double").parquet(f"{top}/table"))
+
+
+_BATCHES = 3
+
+
+@query(_SQL["batch_join"])
+def stream_answers(spark, sf_dir):
+    """Requests and their answers as two streams, the answers a batch later; requests without one are missing once their time is up."""
+    top = f"{sinks.scratch_folder(spark)}/answers-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("custom_id"), F.lit(_BATCHES)).cast("int")
+    hour = lambda n: F.timestamp_seconds(F.lit(1_704_067_200) + n * 3600)
+    asked = _requests(spark, sf_dir).select("custom_id", part.alias("b")).withColumn("asked_at", hour(F.col("b")))
+    said = _recorded(spark, sf_dir).withColumn("b", part + 1).withColumn("answered_at", hour(F.col("b")))
+    end = spark.range(1).select(F.lit("").alias("custom_id"), hour(F.lit(1000)).alias("at"))  # moves both streams' time on, as the next day's rows would
+    for i in range(_BATCHES + 2):
+        last = i == _BATCHES + 1
+        new = end.withColumnRenamed("at", "asked_at") if last else asked.where(F.col("b") == i).drop("b")
+        new.write.mode("append").parquet(f"{top}/asked")
+        new = said.where(F.col("b") == i).drop("b")
+        new = new.unionByName(end.withColumnRenamed("at", "answered_at"), allowMissingColumns=True) if last else new
+        new.write.mode("append").parquet(f"{top}/said")
+        streams = [spark.readStream.schema(spark.read.parquet(f"{top}/{n}").schema).parquet(f"{top}/{n}") for n in ("asked", "said")]
+        found = event_time.answers_in_time(*streams).select("custom_id", "response", "error")
+        found.writeStream.option("checkpointLocation", f"{top}/checkpoint").format("parquet").option("path", f"{top}/table").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("custom_id string, response string, error string").parquet(f"{top}/table").where("custom_id <> ''")
+
+
+@query("""
+SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id
+""")
+def stream_keyed_table(spark, sf_dir):
+    """Each user's last event, kept by upserts of micro-batches that read the buckets they touch; the last batch comes twice."""
+    top = f"{sinks.scratch_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    kinds = table(spark, sf_dir, "events").schema
+    held = keyed.KeyedTable(spark, f"{top}/table", kinds, ["user_id"], ["ts", "event_id"], buckets=32)
+
+    def run(stream: DataFrame) -> None:
+        incremental.upsert_keyed(stream, held, "events", f"{top}/checkpoint").awaitTermination()
+
+    _arrivals(spark, sf_dir, top, run)
+    if held.upsert(spark.read.schema(kinds).parquet(f"{top}/in"), "events", held.manifest()["applied"]["events"]).applied:
+        raise AssertionError("a batch was applied twice")
+    return held.read().select("user_id", "event_id", "event_type", "value")
+
+
+@query("""
+SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS n_distinct, true AS distinct_fits, true AS quantiles_fit FROM lineitem GROUP BY l_returnflag
+""")
+def sketch_report(spark, sf_dir):
+    """Parts and prices by return flag from stored sketches of days, beside the exact values that they are held against."""
+    items = table(spark, sf_dir, "lineitem")
+    path = f"{sinks.scratch_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    sinks.write_stage(sketches.day_sketches(items, "ship", "l_shipdate", "l_returnflag", "l_partkey", "l_extendedprice"), path)
+    found = sketches.report(spark.read.parquet(path), "l_returnflag")
+    return sketches.against_rows(found, items, "l_returnflag", "l_partkey", "l_extendedprice")
+
+
 # ---- built-in relational operators, unchanged --------------------------------------------------------------------
 
 

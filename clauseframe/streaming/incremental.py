@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from clauseframe.operators import html, ledger
 from clauseframe.sources import sinks
+from clauseframe.sources.keyed import KeyedTable
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 50) -> DataFrame:
@@ -33,6 +34,12 @@ def upsert(stream: DataFrame, path: str, keys: list[str], checkpoint: str, avail
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def upsert_keyed(stream: DataFrame, held: KeyedTable, writer: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Rows of a stream into a keyed table; a micro-batch costs the buckets it touches, and a batch run again is known by its number."""
+    writing = stream.writeStream.foreachBatch(lambda df, batch: held.upsert(df, writer, batch) and None).option("checkpointLocation", checkpoint)
+    return (writing.trigger(availableNow=True) if available_now else writing).start()
+
+
 def unseen(stream: DataFrame, key: str = "url", time_col: str | None = None, horizon: str = "7 days") -> DataFrame:
     """One row for each key: for good, or among rows no further apart than the horizon, so that state stays bounded."""
     if time_col is None:
