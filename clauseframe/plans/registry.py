@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 from clauseframe.functions import llmjson, ngrams, vocab
 from clauseframe.functions import text as X
 from clauseframe.operators import asof, backends, filters, html, ledger, prompts, retrieve, sketches, stages, vector_index, weighting
-from clauseframe.plans import fixtures, pipeline
+from clauseframe.plans import pipeline, stage_queries  # noqa: F401  the import registers
+from clauseframe.plans.register import QUERIES, SQL, Query, query
 from clauseframe.session import table
 from clauseframe.sources import keyed, readers, sinks
 from clauseframe.streaming import event_time, incremental
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
 #: DuckDB's words of a text, white space as everywhere here.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _FLAT = rf"trim(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g'))"
@@ -28,22 +25,12 @@ _WORDS = f"CASE WHEN {_FLAT} = '' THEN []::VARCHAR[] ELSE string_split({_FLAT},
 QUERY_STEP = 50
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[name or f.__name__] = f
-        if sql:
-            _SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return _QUERIES | fixtures.QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | fixtures.SQL
+    return dict(SQL)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -700,7 +687,7 @@ def stream_closed_windows(spark, sf_dir):
 _BATCHES = 3
 
 
-@query(_SQL["batch_join"])
+@query(SQL["batch_join"])
 def stream_answers(spark, sf_dir):
     """Requests and their answers as two streams, the answers a batch later; requests without one are missing once their time is up."""
     top = f"{sinks.scratch_folder(spark)}/answers-{uuid.uuid4().hex}"

@@ -1,6 +1,6 @@
-"""Queries over small inputs written out here, each held against rows worked out by hand from the operators' rules.
+"""Operators over small inputs written out here, each held against rows worked out by hand from the operators' rules.
 
-The driver's tables have no store pages, tables, knowledge bases, prompts or provider files; these queries put such
+The driver's tables have no store pages, tables, knowledge bases, prompts or provider files; these put such
 inputs through the operators themselves. Expected rows are literals, never computed by the code they test.
 """
 
