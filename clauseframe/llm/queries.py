@@ -126,6 +126,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SHARES = ", ".join(f"({n}, {most})" for n, most in quality.MOST_COVERED.items())
+#: Of each word and each length the window that begins there, null where the text ends before it does.
+_LEADS = ", ".join(f"lead(word, {i}) OVER o AS w{i}" for i in range(1, max(quality.MOST_COVERED)))
+_WINDOWS = ", ".join(f"({n}, word || " + " || ".join(f"' ' || w{i}" for i in range(1, n)) + ")" for n in quality.MOST_COVERED)
 OP8_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -139,13 +142,18 @@ WITH d AS (
 ), by_line AS (
   SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(length(line)) FILTER (again), 0)::BIGINT AS dup_line_chars,
          sum(length(line))::BIGINT AS line_chars FROM lines GROUP BY doc_id
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d
+), starts AS (
+  SELECT doc_id, p, word, {_LEADS} FROM placed WINDOW o AS (PARTITION BY doc_id ORDER BY p)
 ), windows AS (
-  SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (VALUES {_SHARES}) AS s(n, most) WHERE len(words) >= n
+  SELECT doc_id, p, length(word) AS chars, n, win FROM starts CROSS JOIN LATERAL (VALUES {_WINDOWS}) AS v(n, win)
 ), twice AS (
-  SELECT doc_id, n, words, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, n, array_to_string(words[i:i + n - 1], ' ')) > 1
+  SELECT doc_id, n, p, chars, win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, n, win) > 1 AS again FROM windows
 ), covered AS (
-  SELECT doc_id, n, count(*) AS words, sum(chars)::BIGINT AS chars
-  FROM (SELECT DISTINCT doc_id, n, p, length(words[p]) AS chars FROM (SELECT doc_id, n, words, unnest(range(i, i + n)) AS p FROM twice)) GROUP BY doc_id, n
+  SELECT doc_id, n, count(*) AS words, sum(chars)::BIGINT AS chars FROM (
+    SELECT doc_id, n, chars, p, max(CASE WHEN again THEN p END) OVER (PARTITION BY doc_id, n ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM twice)
+  WHERE p - last < n GROUP BY doc_id, n
 ), full_cover AS (
   SELECT doc_id, n, most, coalesce(c.words, 0) AS words, coalesce(c.chars, 0) AS chars
   FROM d CROSS JOIN (VALUES {_SHARES}) AS s(n, most) LEFT JOIN covered c USING (doc_id, n)
