@@ -18,11 +18,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import pairwise
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -376,20 +375,28 @@ def _some_words(texts: pa.Array, v: Vocabulary) -> Iterator[tuple[int, list[str]
 
 
 class _Head:
-    """The ids of the head's words, in the arrays that they came in."""
+    """The head's words by number, and their ids one after the other."""
 
     def __init__(self, stream: bytes):
         table = pa.ipc.open_stream(stream).read_all().combine_chunks()
-        self.words = table.column("word").chunk(0) if table.num_rows else pa.array([], pa.string())
-        packed = [x.as_buffer() for x in table.column("ids").chunk(0)] if table.num_rows else []
-        self.sizes = np.array([len(x) // 4 for x in packed] + [0], dtype=np.int64)
-        self.flat = np.frombuffer(b"".join(packed), dtype=np.int32)
+        n = table.num_rows
+        self.number: dict[str, int] = {}
+        for i in range(0, n, 10_000):
+            part = table.column("word").slice(i, 10_000).to_pylist()
+            self.number.update(zip(part, range(i, i + len(part)), strict=True))
+        ends, self.flat = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        if n:
+            packed = table.column("ids").chunk(0)
+            _, offsets, data = packed.buffers()
+            ends = np.frombuffer(offsets, dtype=np.int32)[packed.offset : packed.offset + n + 1].astype(np.int64)
+            self.flat = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].copy().view(np.int32)
+            ends = (ends - ends[0]) // 4
+        self.sizes, self.begins = np.append(np.diff(ends), 0), ends  # the last for words that aren't here
 
     def ids(self, words: list[str], v: Vocabulary, others: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some words, and where each word's end, from 0; words that aren't in the head are folded here and remembered."""
-        at = pc.index_in(pa.array(words, pa.string()), value_set=self.words).fill_null(-1).to_numpy()
-        begins = np.cumsum(self.sizes) - self.sizes
-        size, begin = self.sizes[at], begins[at]
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        size, begin = self.sizes[at], self.begins[at]
         missing = np.flatnonzero(at < 0)
         more = []
         for i in missing.tolist():
